@@ -67,7 +67,7 @@ def encode_one(t: Tokenizer, text: str) -> np.ndarray:
     return np.array(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-# --- tree concatenation of one pre-token -----------------------------------------------------------------------------
+# tree concatenation of one pre-token
 
 
 def join_halves(path: str, left: str, right: str, a: np.ndarray, b: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -141,7 +141,7 @@ def encode_tree(path: str, text: str, size: int = LONG) -> np.ndarray:
     return np.concatenate([*out, encode_one(t, normal[at:])])
 
 
-# --- batches ---------------------------------------------------------------------------------------------------------
+# batches
 
 
 class Encoder:
