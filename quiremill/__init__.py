@@ -1,0 +1 @@
+"""Document-layout analytics on Spark DataFrames: words, lines, regions, tables, forms, routing and verification."""
