@@ -36,7 +36,7 @@ END = np.uint64(0x00E2D00E2D00E2D1)
 FREQUENT = {2: 1e-4, 3: 1e-3}
 KEEP = 1e-6
 DISCOUNT = 0.75
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 WORDS_OF_A_SHARE = 1 << 20
 
 
