@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -312,12 +312,15 @@ def has_long(text: str) -> object:
     return F.coalesce(F.length(text) > LONG, F.lit(False)) & F.exists(F.split(F.col(text), " "), lambda x: F.length(x) > LONG)
 
 
-def encode(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and ids (binary: little-endian unsigned 32-bit) of every row."""
+def encode(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", then: Callable | None = None, schema: str = "") -> DataFrame:
+    """id and ids (binary: little-endian unsigned 32-bit) of every row.
+
+    then: a step over batches of these, with its schema, that runs in the same worker.
+    """
     small_batches(docs.sparkSession)
     rows = only(docs, id=id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, ids binary"
+    schema = schema or f"id {kind}, ids binary"
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -326,7 +329,11 @@ def encode(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
             raw = flat.astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([raw[4 * x : 4 * y] for x, y in zip(edges[:-1], edges[1:])], pa.binary())], names=["id", "ids"])
 
-    return rows.where(~has_long("text")).mapInArrow(plain, schema).unionByName(_encode_long(rows.where(has_long("text")), path, kind))
+    def piped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(plain(batches)) if then else plain(batches)
+
+    long = _encode_long(rows.where(has_long("text")), path, kind)
+    return rows.where(~has_long("text")).mapInArrow(piped, schema).unionByName(long.mapInArrow(then, schema) if then else long)
 
 
 def _encode_long(rows: DataFrame, path: str, kind: str) -> DataFrame:
@@ -392,6 +399,5 @@ def digests(path: str):
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    ids = encode(docs, path)
-    kind = ids.schema["id"].dataType.simpleString()
-    return ids.mapInArrow(digests(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return encode(docs, path, then=digests(path), schema=f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
