@@ -130,17 +130,17 @@ def image_coverage(d: Data) -> DataFrame:
     return signals.image_coverage(d.sql(I.IMAGES)).withColumn("coverage", F.round("coverage", 9))
 
 
-_RANK = r"""
+_RANK = rf"""
 CASE WHEN starts_with(up, 'DISTRIBUTION STATEMENT') AND length(up) > 23 AND substr(up, 24, 1) BETWEEN 'B' AND 'F' THEN 1 WHEN starts_with(up, 'DISTRIBUTION AUTHORIZED TO') THEN 1 WHEN length(t) > 80 THEN NULL
   WHEN level <> '' AND contains(t, level) THEN CASE level WHEN 'TOP SECRET' THEN 5 WHEN 'SECRET' THEN 4 ELSE 3 END
-  WHEN regexp_matches(t, '(^|[^A-Z0-9])CUI(//[A-Z0-9][A-Z0-9/ -]*)?([^A-Z0-9]|$)') OR contains(up, 'CONTROLLED UNCLASSIFIED INFORMATION') OR regexp_matches(t, '^CONTROLLED(//[A-Z0-9][A-Z0-9/ -]*)?$') OR contains(t, 'U//CUI') OR starts_with(up, 'CONTROLLED BY:')
+  WHEN regexp_matches(t, '{signals.CUI}') OR contains(up, 'CONTROLLED UNCLASSIFIED INFORMATION') OR regexp_matches(t, '{signals.CONTROLLED}') OR contains(t, 'U//CUI') OR starts_with(up, 'CONTROLLED BY:')
     OR starts_with(up, 'CUI CATEGORY:') OR starts_with(up, 'LIMITED DISSEMINATION CONTROL:') OR starts_with(up, 'LDC:') OR contains(t, 'REL TO USA') OR contains(up, '[CONTAINS CUI]') THEN 2
   WHEN contains(up, 'FOR OFFICIAL USE ONLY') OR contains(t, 'FOUO') OR contains(up, 'SENSITIVE BUT UNCLASSIFIED') OR contains(up, 'LAW ENFORCEMENT SENSITIVE') OR t = 'SBU' THEN 1 END"""
 
 
 @query(
     f"""WITH b AS (SELECT *, trim(text) AS t, upper(trim(text)) AS up FROM ({I.BANNERS}) x WHERE is_furniture OR y1 <= height_px * 0.12 OR y2 >= height_px * 0.88),
-c AS (SELECT *, regexp_extract(up, '^(TOP SECRET|SECRET|CONFIDENTIAL)(//[A-Z0-9][A-Z0-9/ -]*)?$', 1) AS level FROM b), r AS (SELECT *, {_RANK} AS rank FROM c),
+c AS (SELECT *, regexp_extract(up, '{signals.CLASSIFIED}', 1) AS level FROM b), r AS (SELECT *, {_RANK} AS rank FROM c),
 s AS (SELECT *, CASE WHEN starts_with(up, 'DISTRIBUTION STATEMENT') AND rank = 1 AND length(up) > 23 THEN 'DISTRIBUTION STATEMENT ' || substr(up, 24, 1) WHEN starts_with(up, 'DISTRIBUTION AUTHORIZED TO') THEN 'DISTRIBUTION STATEMENT' WHEN rank >= 2 THEN t
   WHEN contains(up, 'FOR OFFICIAL USE ONLY') THEN 'FOR OFFICIAL USE ONLY' WHEN contains(t, 'FOUO') THEN 'FOUO' WHEN contains(up, 'SENSITIVE BUT UNCLASSIFIED') THEN 'SENSITIVE BUT UNCLASSIFIED' WHEN contains(up, 'LAW ENFORCEMENT SENSITIVE') THEN 'LAW ENFORCEMENT SENSITIVE' ELSE t END AS marking,
   row_number() OVER (PARTITION BY doc_id, page_number ORDER BY rank DESC, is_furniture DESC, line_idx) AS i FROM r WHERE rank IS NOT NULL)

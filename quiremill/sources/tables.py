@@ -12,6 +12,15 @@ TOKENS_PER_ROW, ROWS_PER_PAGE, CHAR, ROW, LINE = 10, 40, 10, 30, 20
 PAGE_HEIGHT = 1200
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores: for small inputs whose rows grow many-fold.
+
+    A large table has more splits than that already and is left alone.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
+
+
 def document_bytes(spark: SparkSession, path: str, glob: str = "*.pdf", stream: bool = False) -> DataFrame:
     """path, modificationTime, length, content of every matching file; stream: as they arrive."""
     reader = spark.readStream if stream else spark.read
@@ -29,13 +38,14 @@ def page_numbers(docs: DataFrame, pages: list[int] | None = None) -> DataFrame:
 def token_boxes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Words with boxes on a fixed grid: ten words a row, forty rows a page, a gutter in every third document.
 
-    Per row only: no shuffle. Boxes are whole numbers.
+    Row by row: no window. Boxes are whole numbers.
     """
-    rows = docs.select(F.col(id).alias("doc_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = spread(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("t"))).select("doc_id", words(F.col("t")).alias("w")).where(F.size("w") > 0)
     count = F.ceil(F.size("w") / TOKENS_PER_ROW).cast("int")
     rows = rows.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda r: F.slice("w", r * TOKENS_PER_ROW + 1, TOKENS_PER_ROW))).alias("row", "w"))
-    rows = rows.select("doc_id", "row", F.transform("w", lambda t: F.length(t) + 1).alias("n"), F.posexplode("w").alias("i", "text"), )
-    before = F.aggregate(F.slice("n", 1, F.col("i")), F.lit(0), lambda a, x: a + x)
+    rows = rows.select("doc_id", "row", "w", F.posexplode("w").alias("i", "text"))
+    # characters before a word, one for each space: no lambda, so it stays in generated code
+    before = F.length(F.array_join(F.slice("w", 1, F.col("i")), " ")) + F.when(F.col("i") > 0, 1).otherwise(0)
     gutter = F.when((F.col("doc_id") % 3 == 0) & (F.col("i") >= 5), 200).otherwise(0)
     x1 = (before * CHAR + gutter).cast("double")
     y1 = (F.col("row") % ROWS_PER_PAGE * ROW).cast("double")

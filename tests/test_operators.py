@@ -292,7 +292,7 @@ def test_sources(spark, tmp_path):
     assert tables.document_bytes(spark, str(tmp_path)).first().length == 4
     d = spark.createDataFrame([(1, 3), (2, 0)], "doc_id long, page_count int")
     assert tables.page_numbers(d).count() == 3 and tables.page_numbers(d, [9, 2, 2]).count() == 1
-    (tmp_path / "t.template.json").write_text('{"TemplateId": "T", "Name": "n", "Fingerprint": "f", "Elements": [{"Kind": "Text", "Page": 1, "Label": "l", "Rect": {"X1": 0.1, "Y1": 0.2, "X2": 0.3, "Y2": 0.4}}]}')
+    (tmp_path / "t.template.json").write_text('{"TemplateId": "T", "Name": "n", "Fingerprint": "f", "Elements": [{"Rect": {"Y1": 0.2, "X1": 0.1, "Y2": 0.4, "X2": 0.3}, "Label": "l", "Page": 1, "Kind": "Text"}]}')
     t = tables.templates(spark, str(tmp_path / "t.template.json")).first()
     assert (t.template_id, t.kind, t.x2, t.grp) == ("T", "Text", 0.3, None)
     (tmp_path / "s.csv").write_text('pdf,page,name\n"a, b.pdf", 1 ,"say ""x"""\n')
