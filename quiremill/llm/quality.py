@@ -2,9 +2,11 @@
 
 A text is cut into pieces of PIECE bytes, each compressed under both dictionaries, so that a long text cannot serve as
 its own dictionary. The score is a logistic function, fitted on other labelled rows than those in the dictionaries, of
-the normalised difference of the two compressed sizes and of each size against the text's own. Whole texts are scored.
+the normalised difference of the two compressed sizes and of each size against the text's own. A short text says little,
+so these are drawn towards their means there, and the text's length has a weight as well. The sample holds both labels
+alike; the fit weighs them by their shares among all labels, so that the score is a probability. Whole texts are scored.
 
-Defined results: a null or empty text scores the share of label 1 in the sample; with labels of one class only, every
+Defined results: a null or empty text scores the share of label 1 among all labels; with labels of one class only, every
 text scores that share; without any labelled row, 0.5. A document labelled twice counts with its lower label. Labels of
 unknown documents, null labels and null ids are not learnt from. Other columns are never read.
 """
@@ -26,8 +28,10 @@ PIECE = 256
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 #: The bounded training sample: so many labelled rows of each class, texts above MAX_TEXT characters left out.
-PER_CLASS = 1600
+PER_CLASS = 3000
 MAX_TEXT = 1 << 16
+#: Bytes of text at which its own figures and their means weigh the same.
+HALF = 100
 
 
 def pieces(text: str | None) -> list[bytes]:
@@ -64,6 +68,7 @@ class QualityModel:
     bad: bytes
     weights: list[float]  # intercept, then one for each feature
     base: float
+    center: tuple[float, ...] = ()
 
     def sizers(self) -> tuple[Sizer, Sizer]:
         return Sizer(self.good), Sizer(self.bad)
@@ -72,7 +77,7 @@ class QualityModel:
         parts = pieces(text)
         if not parts or not self.weights:
             return self.base
-        x = features(parts, *sizers)
+        x = drawn(features(parts, *sizers), self.center, sum(map(len, parts)))
         z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
@@ -94,32 +99,40 @@ def features(parts: list[bytes], good: Sizer, bad: Sizer) -> tuple[float, float,
     return (b - g) / max(1, b + g), g / n, b / n
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> list[float]:
-    """Newton's method on standardised features; the weights for the plain ones."""
+def drawn(x: tuple[float, ...], center: tuple[float, ...], size: int) -> tuple[float, ...]:
+    """Features as distances from their means, less for short texts, and how short the text is."""
+    return (*[(v - c) * size / (size + HALF) for v, c in zip(x, center)], 1 / (size + 20) ** 0.5)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> list[float]:
+    """Newton's method on standardised features and weighted rows; the weights for the plain features."""
     mean, sd = x.mean(0), x.std(0) + 1e-9
     a = np.c_[np.ones(len(x)), (x - mean) / sd]
     w = np.zeros(a.shape[1])
-    for _ in range(50):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return [float(w[0] - (w[1:] * mean / sd).sum()), *(float(v) for v in w[1:] / sd)]
 
 
-def fit_texts(good: list[str], bad: list[str]) -> QualityModel:
-    """Every second text goes into a dictionary, the others calibrate."""
-    base = len(good) / (len(good) + len(bad)) if good or bad else 0.5
+def fit_texts(good: list[str], bad: list[str], share: float | None = None) -> QualityModel:
+    """Every second text goes into a dictionary, the others calibrate. share: of label 1 among all labels."""
+    base = share if share is not None else len(good) / (len(good) + len(bad)) if good or bad else 0.5
     if not good or not bad:
         return QualityModel(b"", b"", [], base)
     dicts = [dictionary([p for t in texts[::2] for p in pieces(t)]) for texts in (good, bad)]
     sizers = Sizer(dicts[0]), Sizer(dicts[1])
-    rows = [(features(p, *sizers), y) for y, texts in ((1, good), (0, bad)) for t in (texts[1::2] or texts) if (p := pieces(t))]
-    if len({y for _, y in rows}) < 2:
+    rows = [(features(p, *sizers), sum(map(len, p)), y) for y, texts in ((1, good), (0, bad)) for t in (texts[1::2] or texts) if (p := pieces(t))]
+    y = np.array([r[2] for r in rows], float)
+    if len(set(y)) < 2:
         return QualityModel(*dicts, [], base)
-    return QualityModel(*dicts, logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float)), base)
+    center = tuple(float(v) for v in np.array([r[0] for r in rows]).mean(0))
+    weight = np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean()))
+    return QualityModel(*dicts, logistic(np.array([drawn(x, center, n) for x, n, _ in rows]), y, weight), base, center)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", train: Column | None = None, per_class: int = PER_CLASS, max_text: int = MAX_TEXT) -> QualityModel:
@@ -137,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     # at most 2 * per_class ids: the bound that the broadcast needs
     rows = only(docs, id=id, text=text).join(F.broadcast(picked), "id").where(F.length("text") <= max_text).select("id", "label", "text").collect()
     rows = sorted({(r.id, r.label, r.text) for r in rows}, key=lambda r: (hash_id(r[0]), r))
-    return fit_texts([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0])
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    share = counts.get(1, 0) / sum(counts.values()) if counts else None
+    return fit_texts([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0], share)
 
 
 def hash_id(key: object) -> int:
