@@ -475,9 +475,9 @@ _BULLETS = rf"""li AS ({LINES}), bu AS (SELECT doc_id, line_no, trim(regexp_repl
 ba AS ({_attributes_sql("bu", "doc_id, line_no")})"""
 
 
-@query(f"WITH {_BULLETS} SELECT b.doc_id, 1000000 + b.line_no AS seq, b.text AS description, n AS n_attributes FROM bu b JOIN (SELECT doc_id, line_no, count(*) AS n FROM ba GROUP BY ALL) a USING (doc_id, line_no)")
+@query(f"WITH {_BULLETS} SELECT b.doc_id, CAST(1000000 + b.line_no AS BIGINT) AS seq, b.text AS description, n AS n_attributes FROM bu b JOIN (SELECT doc_id, line_no, count(*) AS n FROM ba GROUP BY ALL) a USING (doc_id, line_no)")
 def spec_bullets(d: Data) -> DataFrame:
-    return specs.bullets(d.sql(LINES)).select("doc_id", "seq", "description", F.size("attributes").alias("n_attributes"))
+    return specs.bullets(d.sql(LINES)).select("doc_id", "seq", "description", F.size("attributes").cast("long").alias("n_attributes"))
 
 
 _LABELS = "CASE " + " ".join(f"WHEN regexp_matches(label, '^\\s*({'|'.join(w.replace(' ', chr(92) + 's*') for w in p)})\\s*$', 'i') THEN '{c}'" for c, p in H.LABELS) + " END"
@@ -493,7 +493,7 @@ def spec_key_values(d: Data) -> DataFrame:
 
 @query(f"WITH {_KEYED} SELECT doc_id, count(*) AS n_attributes FROM kv GROUP BY doc_id HAVING count(*) >= 2")
 def spec_sheets(d: Data) -> DataFrame:
-    return specs.spec_sheets(specs.key_values(d.sql(LINES))).select("doc_id", F.size("attributes").alias("n_attributes"))
+    return specs.spec_sheets(specs.key_values(d.sql(LINES))).select("doc_id", F.size("attributes").cast("long").alias("n_attributes"))
 
 
 PARTS_TABLE = """
@@ -508,7 +508,7 @@ td AS (SELECT doc_id, table_id, row, q, p, u, CASE WHEN doc_id % 4 = 1 THEN l EL
 
 @query(rf"WITH {_TABLE_ROWS} SELECT t.doc_id, table_id * 1000000 + row AS seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS description, CAST(q AS INT) AS quantity, p AS part_number, u AS unit_of_issue, n AS n_attributes FROM td t JOIN (SELECT doc_id, table_id, row, count(*) AS n FROM ta GROUP BY ALL) a USING (doc_id, table_id, row)")
 def spec_table_rows(d: Data) -> DataFrame:
-    return specs.table_rows(d.sql(PARTS_TABLE)).select("doc_id", "seq", "description", "quantity", "part_number", "unit_of_issue", F.size("attributes").alias("n_attributes"))
+    return specs.table_rows(d.sql(PARTS_TABLE)).select("doc_id", "seq", "description", "quantity", "part_number", "unit_of_issue", F.size("attributes").cast("long").alias("n_attributes"))
 
 
 def _components(d: Data) -> DataFrame:
@@ -704,7 +704,7 @@ _AN = r"regexp_matches(l.text, '[\p{L}\p{Nd}]')"
   (SELECT arg_min(l.text, l.y1 * 1000 + l.line_idx) FROM fl l WHERE l.doc_id = a.doc_id AND l.line_idx <> a.line_idx AND l.y1 >= a.y2 - 1 AND l.y1 - a.y2 < 2.5 * greatest(1, a.y2 - a.y1) AND least(l.x2, a.x2) > greatest(l.x1, a.x1) AND {_AN}) AS bl,
   EXISTS (SELECT 1 FROM fl l WHERE l.doc_id = a.doc_id AND {_ROW} AND l.x2 <= a.x1 + 0.5 * greatest(1, a.y2 - a.y1) AND a.x1 - l.x2 < 12 * greatest(1, a.y2 - a.y1) AND regexp_matches(l.text, '(^|[^0-9A-Za-z])[xX☒✓✗]([^0-9A-Za-z]|$)')) AS mk FROM a),
 w AS (SELECT *, CASE WHEN kind = 'Checkbox' THEN CASE WHEN mk THEN 'checked' ELSE 'unchecked' END ELSE coalesce(CASE WHEN regexp_matches(inl, '[\p{{L}}\p{{Nd}}]') THEN inl END, CASE WHEN anchor IN ('Right', 'RightThenBelow') THEN rt END, CASE WHEN anchor IN ('Below', 'RightThenBelow') THEN bl END) END AS value FROM v)
-SELECT doc_id, page_number, profile, spec_idx, name, kind, trim(value) AS value, 0.8 AS confidence FROM w WHERE trim(value) <> ''"""
+SELECT doc_id, page_number, profile, spec_idx, name, kind, trim(value) AS value, CAST(0.8 AS DOUBLE) AS confidence FROM w WHERE trim(value) <> ''"""
 )
 def geometric_fields(d: Data) -> DataFrame:
     return forms.geometric_fields(d.sql(I.FORM_LINES), *_specs(d))
