@@ -419,7 +419,11 @@ def field_verdicts(d: Data) -> DataFrame:
     return verify.verdicts(v).select("id", F.round("similarity", 9).alias("similarity"), "verdict")
 
 
-@query()
+@query(
+    f"""WITH {I.TOKENS}, nb AS (SELECT doc_id, page_number, token_idx, CAST(floor(y1 / 200) AS INT) AS region_idx, {norm('text')} AS w FROM box), u AS (SELECT doc_id, page_number, w, min(token_idx) AS t FROM nb WHERE length(w) >= 4 GROUP BY ALL HAVING count(*) = 1),
+j AS (SELECT r.*, t FROM (SELECT DISTINCT doc_id, page_number, region_idx, w FROM nb) r JOIN u USING (doc_id, page_number, w)), a AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS n FROM j), m AS (SELECT doc_id, page_number, region_idx, median(t) AS median FROM a WHERE n >= 8 GROUP BY ALL),
+k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_number) AS c, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY median, region_idx) AS i FROM m) SELECT doc_id, page_number, region_idx, median, CASE WHEN c >= 2 THEN CAST(i AS INT) END AS gold_rank FROM k"""
+)
 def gold_reading_ranks(d: Data) -> DataFrame:
     w = d.words()
     r = w.withColumn("region_idx", F.floor(F.col("y1") / 200).cast("int"))
@@ -833,9 +837,13 @@ def bio_decode(d: Data) -> DataFrame:
     return forms.bio_spans(d.sql(BIO)).withColumn("confidence", F.round("confidence", 9))
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM ({I.FORM_LINES}) f), e AS (SELECT *, unnest(ws) AS word, CAST(generate_subscripts(ws, 1) - 1 AS INT) AS word_idx FROM w),
+u AS (SELECT *, greatest(1, x2 - x1) / greatest(1, list_sum(list_transform(ws, lambda x: length(x))) + len(ws) - 1) AS unit, coalesce(list_sum(list_transform(ws[1:word_idx], lambda x: length(x) + 1)), 0) AS before FROM e)
+SELECT doc_id, page_number, line_idx, word_idx, word AS text, round(x1 + before * unit, 6) AS x1, y1, round(least(x1 + before * unit + length(word) * unit, x2), 6) AS x2, y2 FROM u"""
+)
 def proportional_word_boxes(d: Data) -> DataFrame:
-    return forms.word_boxes(d.sql(I.FORM_LINES))
+    return forms.word_boxes(d.sql(I.FORM_LINES)).withColumns({"x1": F.round("x1", 6), "x2": F.round("x2", 6)})
 
 
 @query(f"WITH {I.TOKENS}, n AS (SELECT doc_id, page_number, count(*) AS k FROM box GROUP BY ALL) SELECT doc_id, page_number, CAST(w AS INT) AS window, CAST(w * 72 AS INT) AS first_word, CAST(least(w * 72 + 96, k) - 1 AS INT) AS last_word FROM n, range(0, greatest(0, CAST(ceil((k - 96) / 72) AS BIGINT)) + 1) r(w)")
