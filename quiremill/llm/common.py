@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -71,6 +72,15 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on from stage to stage, and two share an executor's rest."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def regroup(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes, and at most about `rows` rows."""
     held: list[pa.RecordBatch] = []
@@ -81,10 +91,15 @@ def regroup(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES, rows: in
             total += batch.nbytes
             count += batch.num_rows
         if total >= size or count >= rows:
-            yield pa.concat_batches(held)
-            held, total, count = [], 0, 0
+            whole, held, total, count = pa.concat_batches(held), [], 0, 0
+            yield whole
+            del whole
+            release()
     if held:
-        yield pa.concat_batches(held)
+        whole, held = pa.concat_batches(held), []
+        yield whole
+        del whole
+    release()
 
 
 def blocks_for(docs: DataFrame, text: str, size: int = BLOCK_BYTES) -> int:

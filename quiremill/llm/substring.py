@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_for, small_batches
+from .common import blocks_for, release, small_batches
 from .words import Words, grams, mix, whole
 
 WINDOW = 20
@@ -250,6 +250,7 @@ def _rebuild(shares: int, window: int, report: bool):
             keep = np.flatnonzero(~gone[lo:hi]) + lo
             kept = b" ".join([data[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist())])
             out.append(hashlib.sha256(kept).hexdigest() if report else kept.decode())
+        release()
         columns = {"rest": docs["rest"], "n_words": pa.array(b.words.counts(), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "out": pa.array(out, pa.string())}
         return pa.table(columns)
 
