@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Text of one block, where documents are grouped by a hash of their id.
 BLOCK_BYTES = 16 << 20
+#: Spark 4.1 on: a query removes its shuffle files when it ends. Other versions ignore it.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -44,8 +46,16 @@ class Scratch:
         self.base = f"{checkpoint_root(spark)}/quiremill/{name}-{uuid.uuid4().hex}"
         atexit.register(self.delete, self.base)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """free: the files of its shuffles go as soon as the table is written, not when the driver collects garbage."""
+        old = self.spark.conf.get(FREE_SHUFFLES, "false")
+        if free:
+            self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        finally:
+            if free:
+                self.spark.conf.set(FREE_SHUFFLES, old)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def path(self, name: str) -> str:

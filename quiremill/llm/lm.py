@@ -5,11 +5,13 @@ the model holds, an arc a word seen in it, and where a state has no arc for a wo
 shorter context at the weight left over there. A text is read once from left to right: the state goes from word to word
 and the arcs' log-probabilities add up. All probabilities of a context sum to 1, unknown words being one more word.
 
-Documents are turned once into blocks of bounded bytes: word hashes, and each word of the block by its index among the
-block's distinct words. Unigrams cover every word; as their number grows with the input, no task ever holds them all:
-blocks send their distinct words with counts, combined, and get the totals back. Longer n-grams are held whole, which
-their definition bounds: words of a bigram or trigram have a relative frequency of at least FREQUENT[order], and kept
-n-grams occur at least KEEP times per token, so there are at most 1 / KEEP of them at any size of input.
+Documents are turned once into blocks of bounded bytes, each a file in the shared folder: word hashes, and each word of
+the block by its index among the block's distinct words. Every n-gram of the training text counts, whatever its words
+and however rare it is. As their number grows with the input, no task ever holds them all: blocks send their distinct
+n-grams with counts to shares of the hash space and get the totals back. Orders go from 3 down to 1, since a share also
+names one block as an n-gram's owner, and owners tell the context how many different words follow it, which is what its
+failure arc weighs. So every block ends up with the arcs of its own texts, at any size of input. N-grams are told apart by
+64-bit hashes. `Automaton` is the same model written out.
 
 Defined results: a null or empty text is its end alone. Without training text every token is unknown with probability
 1, so that both scores are 0. Rows with a null id are training rows. Repeated rows count and are scored each. Other columns are never read.
@@ -26,26 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, regroup, small_batches
-from .words import Words
+from .common import Scratch, only, regroup, release, small_batches
+from .tokenfile import get, put
+from .words import Words, grams, whole
 
 #: Bounds on the discount of unigrams, which follows from how many words occur once and twice.
 LEAST, MOST = 0.1, 0.95
 #: The end of a text, as a word's hash. (Words' hashes are mixed; none is likely to be this.)
 END = np.uint64(0x00E2D00E2D00E2D1)
-FREQUENT = {2: 1e-4, 3: 1e-3}
-KEEP = 1e-6
 DISCOUNT = 0.75
 BLOCK = 8 << 20
-WORDS_OF_A_SHARE = 1 << 20
+GRAMS_OF_A_SHARE = 1 << 21
 
 
 def _held(ids: list) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids], bool)
 
 
-def _blocks(kind: str):
-    """Documents -> blocks: ids, which are held out, tokens of each, token stream, distinct words, training counts."""
+def _blocks(uri: str):
+    """Documents -> block files: ids, which are held out, tokens of each, token stream, distinct words; and their figures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -60,23 +61,58 @@ def _blocks(kind: str):
             size = np.concatenate(counts)
             distinct, token = np.unique(np.concatenate(h), return_inverse=True)
             held = _held(b["id"].to_pylist())
-            train = np.bincount(token[np.repeat(~held, size)], minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays(
+            block = (task << 24) + seq
+            whole_block = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([(task << 24) + seq], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b["id"]),
                     pa.array([held.tobytes()], pa.binary()),
                     pa.array([planes(size)], pa.binary()),
                     pa.array([planes(token)], pa.binary()),
                     pa.array([distinct.tobytes()], pa.binary()),
-                    pa.array([planes(train)], pa.binary()),
-                    pa.array([int(train.sum())], pa.int64()),
                 ],
-                names=["block", "ids", "held", "size", "token", "words", "train", "n_train"],
+                names=["ids", "held", "size", "token", "words"],
             )
+            put(uri, f"block-{block}", _packed(whole_block))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "n_train": pa.array([int(size[~held].sum())], pa.int64()), "n": pa.array([len(token)], pa.int64())})
             seq += 1
 
-    return run, f"block long, ids array<{kind}>, held binary, size binary, token binary, words binary, train binary, n_train long"
+    return run
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
+
+class Block:
+    """A block read again. Of each order: distinct n-grams ascending by hash, and which of them ends at a position, or -1."""
+
+    def __init__(self, uri: str, block: int) -> None:
+        b = _unpacked(get(uri, f"block-{block}"))
+        self.ids = b["ids"].values
+        held, size, token, words = (b[c][0].as_py() for c in ("held", "size", "token", "words"))
+        self.held, self.size, self.token, self.words = np.frombuffer(held, bool), unplanes(size), unplanes(token), np.frombuffer(words, np.uint64)
+        self.doc = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.train = np.repeat(~self.held, self.size)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        if order == 1:
+            return self.words, self.token
+        ok = whole(self.doc, order)
+        distinct, index = np.unique(grams(self.words[self.token], order)[ok], return_inverse=True)
+        at = np.full(len(self.token), -1, np.int64)
+        at[np.flatnonzero(ok) + order - 1] = index
+        return distinct, at
+
+    def counts(self, n: int, at: np.ndarray) -> np.ndarray:
+        """How often each of n distinct n-grams occurs in training text."""
+        return np.bincount(at[(at >= 0) & self.train], minlength=n)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -97,113 +133,129 @@ def _edges(shares: int) -> np.ndarray:
     return np.array([(i << 64) // shares for i in range(shares)], np.uint64)
 
 
-def _requests(shares: int):
-    """Blocks -> for each share of the hash space, a block's distinct words there and their counts."""
+def _request(block: int, grams: np.ndarray, train: np.ndarray, follow: np.ndarray | None, shares: int) -> dict:
+    """For each share of the hash space a block's distinct n-grams there, as steps, and their figures; at least one row."""
+    bounds = _edges(shares)
+    edges = np.append(np.searchsorted(grams, bounds), len(grams))
+    at = [(s, edges[s], edges[s + 1]) for s in range(shares) if edges[s + 1] > edges[s] or not s]
+    return {
+        "block": pa.array([block] * len(at), pa.int64()),
+        "share": pa.array([s for s, _, _ in at], pa.int64()),
+        "grams": pa.array([planes(np.diff(grams[x:y], prepend=bounds[s])) for s, x, y in at], pa.binary()),
+        "train": pa.array([planes(train[x:y]) for _, x, y in at], pa.binary()),
+        "follow": pa.array([None if follow is None else planes(follow[x:y]) for _, x, y in at], pa.binary()),
+    }
+
+
+REQUEST = "block long, share long, grams binary, train binary, follow binary"
+
+
+def _first(uri: str, shares: int):
+    """Blocks -> their requests for n-grams of order 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, words, train in zip(b["block"].to_pylist(), b["words"].to_pylist(), b["train"].to_pylist()):
-                w, c = np.frombuffer(words, np.uint64), unplanes(train)
-                edges = np.append(np.searchsorted(w, _edges(shares)), len(w))
-                at = [(s, edges[s], edges[s + 1]) for s in range(shares) if edges[s + 1] > edges[s]]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(at), pa.int64()), pa.array([s for s, _, _ in at], pa.int64()), pa.array([w[x:y].tobytes() for _, x, y in at], pa.binary()), pa.array([planes(c[x:y]) for _, x, y in at], pa.binary())], names=["block", "share", "words", "train"])
+            for block in b["block"].to_pylist():
+                x = Block(uri, block)
+                distinct, at = x.grams(3)
+                yield pa.RecordBatch.from_pydict(_request(block, distinct, x.counts(len(distinct), at), None, shares))
+        release()
+
+    return run
+
+
+def _whole(replies: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([unplanes(x.as_py()) for x in replies[column]])
+
+
+def _next(uri: str, order: int, shares: int):
+    """Replies for one order -> a file of them, and the block's requests for the order below, which its owned n-grams follow."""
+
+    def run(key: tuple, replies: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        replies = replies.sort_by("share")
+        total, own = _whole(replies, "total"), _whole(replies, "own").astype(bool)
+        types = _whole(replies, "types") if order == 2 else np.zeros(0, np.int64)
+        put(uri, f"totals-{order}-{block}", _packed(pa.RecordBatch.from_pydict({"total": pa.array([planes(total)], pa.binary()), "types": pa.array([planes(types)], pa.binary())})))
+        x = Block(uri, block)
+        distinct, at = x.grams(order)
+        last = np.zeros(len(distinct), np.int64)
+        ends = np.flatnonzero(at >= 0)
+        last[at[ends]] = ends
+        lower, below = x.grams(order - 1)
+        follow = np.bincount(below[last[own] - 1], minlength=len(lower))
+        out = pa.table(_request(block, lower, x.counts(len(lower), below), follow, shares))
+        release()
+        return out
 
     return run
 
 
-def _totals(least: float):
-    """Share -> each block's totals, in the order of its words; and under block -1 figures and the frequent words."""
+def _totals(order: int, shares: int):
+    """Share -> each block's totals, in the order of its n-grams: how often, how many words follow, whether it owns it.
+
+    The owner is the first block that has the n-gram in training text. Order 1 adds figures under block -1.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x.as_py(), np.uint64) for x in table["words"]]
-        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unplanes(x.as_py()) for x in table["train"]]), minlength=len(distinct)).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])
-        blocks = table["block"].to_pylist()
-        mine = [planes(total[at[e - len(w) : e]]) for w, e in zip(words, ends)]
-        top = total >= max(2, least)
-        n = len(blocks)
-        none = [None] * n
+        table = table.sort_by("block")
+        bound = _edges(shares)[key[0].as_py()]
+        parts = [np.cumsum(unplanes(x.as_py()).view(np.uint64), dtype=np.uint64) + bound for x in table["grams"]]
+        distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+        train = _whole(table, "train")
+        total = np.bincount(at, weights=train, minlength=len(distinct)).astype(np.int64)
+        ends = np.cumsum([len(x) for x in parts])
+        spans = [(e - len(x), e) for x, e in zip(parts, ends)]
+        blocks, extra = table["block"].to_pylist(), order == 1
+        out = {"total": [planes(total[at[a:e]]) for a, e in spans], "types": [None] * len(blocks), "own": [None] * len(blocks)}
+        if order < 3:
+            types = np.bincount(at, weights=_whole(table, "follow"), minlength=len(distinct)).astype(np.int64)
+            out["types"] = [planes(types[at[a:e]]) for a, e in spans]
+        if order > 1:
+            seen = np.flatnonzero(train)[::-1]
+            first = np.full(len(distinct), -1, np.int64)
+            first[at[seen]] = seen  # the last one written is the first there is
+            own = first[at] == np.arange(len(at))
+            out["own"] = [planes(own[a:e].astype(np.int64)) for a, e in spans]
+        figures = {"known": int((total > 0).sum()), "once": int((total == 1).sum()), "twice": int((total == 2).sum())}
+        tail = [None] * extra
+        release()
         return pa.table(
             {
-                "block": pa.array([*blocks, -1], pa.int64()),
-                "share": pa.array([key[0].as_py()] * (n + 1), pa.int64()),
-                "total": pa.array([*mine, None], pa.binary()),
-                "known": pa.array([*none, int((total > 0).sum())], pa.int64()),
-                "once": pa.array([*none, int((total == 1).sum())], pa.int64()),
-                "twice": pa.array([*none, int((total == 2).sum())], pa.int64()),
-                "top": pa.array([*none, distinct[top].tobytes()], pa.binary()),
-                "top_total": pa.array([*none, total[top].tobytes()], pa.binary()),
+                "block": pa.array([*blocks, *([-1] * extra)], pa.int64()),
+                "share": pa.array([key[0].as_py()] * (len(blocks) + extra), pa.int64()),
+                **{k: pa.array([*v, *tail], pa.binary()) for k, v in out.items()},
+                **{k: pa.array([*([None] * len(blocks)), *([v] * extra)], pa.int64()) for k, v in figures.items()},
             }
         )
 
     return run
 
 
+REPLY = "block long, share long, total binary, types binary, own binary, known long, once long, twice long"
+
+
 @dataclass
 class Frequent:
-    """Words that longer n-grams may hold, ascending by hash, and how often they occur. At most 1 / FREQUENT[2]."""
+    """Words of a model that is written out, ascending by hash, and how often they occur."""
 
     words: np.ndarray
     total: np.ndarray
     n: int  # training tokens
 
     def index(self, words: np.ndarray) -> np.ndarray:
-        """Place of each word among the frequent ones, or -1."""
+        """Place of each word among these, or -1."""
         if not len(self.words):
             return np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, at, -1)
 
 
-def _grams_of(f: np.ndarray, doc: np.ndarray, frequent: Frequent, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the last word of n-grams of frequent words within a document, and their codes."""
-    n = len(f) - order + 1
-    if n <= 0 or not len(frequent.words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fits = np.append(frequent.total >= FREQUENT[order] * frequent.n, False)[f]
-    ok = doc[:n] == doc[order - 1 :]
-    code = np.zeros(n, np.int64)
-    for k in range(order):
-        ok &= fits[k : k + n]
-        code = code * len(frequent.words) + f[k : k + n]
-    at = np.flatnonzero(ok)
-    return at + order - 1, code[at]
-
-
-def _gram_counts(frequent: Frequent, shares: int):
-    """Blocks -> distinct n-grams of frequent words in training text, counted, by share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for held, size, token, words in zip(*(b[c].to_pylist() for c in ("held", "size", "token", "words"))):
-                size = unplanes(size)
-                keep = np.repeat(~np.frombuffer(held, bool), size)
-                f = frequent.index(np.frombuffer(words, np.uint64))[unplanes(token)[keep]]
-                doc = np.repeat(np.arange(len(size), dtype=np.int32), size)[keep]
-                for order in (2, 3):
-                    code, count = np.unique(_grams_of(f, doc, frequent, order)[1], return_counts=True)
-                    share = code % shares
-                    o = np.argsort(share, kind="stable")
-                    e = np.searchsorted(share[o], np.arange(shares + 1))
-                    at = np.flatnonzero(np.diff(e))
-                    yield pa.RecordBatch.from_arrays([pa.array([order] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array([code[o[e[s] : e[s + 1]]].tobytes() for s in at], pa.binary()), pa.array([planes(count[o[e[s] : e[s + 1]]]) for s in at], pa.binary())], names=["order", "share", "code", "count"])
-
-    return run
-
-
-def _kept(least: float):
-    def run(table: pa.Table) -> pa.Table:
-        code, at = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["code"]]), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate([unplanes(x.as_py()) for x in table["count"]])).astype(np.int64)
-        keep = count >= max(2, least)
-        return pa.table({"order": table["order"].slice(0, 1), "code": pa.array([code[keep].tobytes()], pa.binary()), "count": pa.array([count[keep].tobytes()], pa.binary())})
-
-    return run
-
-
 class Automaton:
-    """States are contexts of frequent words, arcs their kept n-grams, failure arcs what they leave to shorter ones."""
+    """States are contexts, arcs their n-grams, failure arcs what they leave to shorter ones.
+
+    The model of a corpus that one process can hold; tests hold score() to it.
+    """
 
     def __init__(self, frequent: Frequent, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
         self.frequent = frequent
@@ -278,7 +330,7 @@ class Automaton:
 
 @dataclass
 class Model:
-    automaton: Automaton
+    automaton: Automaton | None
     n: int
     v: int
     discount: float
@@ -293,32 +345,44 @@ class Model:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def _scored(model: object, kind: str):
-    def run(key: tuple, blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        m: Model = model.value  # type: ignore[attr-defined]
-        out = []
-        for ids, held, size, token, words in zip(blocks["ids"], *(blocks[c].to_pylist() for c in ("held", "size", "token", "words"))):
-            size, token = unplanes(size), unplanes(token)
-            parts = replies.sort_by("share")["total"].to_pylist()
-            c = np.concatenate([unplanes(x) for x in parts])
-            starts = np.cumsum(size) - size
-            doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-            f = m.automaton.frequent.index(np.frombuffer(words, np.uint64))
-            p = m.automaton.probabilities(f[token], doc, m.unigrams(c)[token])
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": ids.values,
-                        "held_out": np.frombuffer(held, bool),
-                        "n_tokens": size,
-                        "n_known": np.add.reduceat((c > 0)[token].astype(np.int64), starts),
-                        "train_tokens": np.full(len(size), m.n, np.int64),
-                        "base_score": np.add.reduceat(m.base(c)[token], starts),
-                        "score": np.add.reduceat(np.log10(p), starts),
-                    }
-                )
-            )
-        return pa.concat_tables(out) if out else pa.table({})
+def _backed_off(p: np.ndarray, at: np.ndarray, count: np.ndarray, context: np.ndarray, types: np.ndarray) -> None:
+    """Probabilities of tokens at some positions, from those of the order below; a context without count has no state."""
+    ok = context > 0
+    at, count, context, types = at[ok], count[ok], context[ok], types[ok]
+    p[at] = np.maximum(count - DISCOUNT, 0) / context + DISCOUNT * types / context * p[at]
+
+
+def _scored(uri: str, m: Model):
+    def run(key: tuple, replies: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        x = Block(uri, block)
+        replies = replies.sort_by("share")
+        c, types = _whole(replies, "total"), _whole(replies, "types")
+        p = m.unigrams(c)[x.token]
+        below = x.token
+        lower, follow = c, types
+        for order in (2, 3):
+            b = _unpacked(get(uri, f"totals-{order}-{block}"))
+            total, more = unplanes(b["total"][0].as_py()), unplanes(b["types"][0].as_py())
+            _, at = x.grams(order)
+            ends = np.flatnonzero(at >= 0)
+            context = below[ends - 1]
+            _backed_off(p, ends, total[at[ends]], lower[context], follow[context])
+            below, lower, follow = at, total, more
+        starts = np.cumsum(x.size) - x.size
+        out = pa.table(
+            {
+                "doc_id": x.ids,
+                "held_out": x.held,
+                "n_tokens": x.size,
+                "n_known": np.add.reduceat((c > 0)[x.token].astype(np.int64), starts),
+                "train_tokens": np.full(len(x.size), m.n, np.int64),
+                "base_score": np.add.reduceat(m.base(c)[x.token], starts),
+                "score": np.add.reduceat(np.log10(p), starts),
+            }
+        )
+        release()
+        return out
 
     return run
 
@@ -331,34 +395,21 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", scratch: S
     spark = docs.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "lm")
+    uri = scratch.path("files")
     rows = only(docs, id=id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
-    make, schema = _blocks(kind)
-    blocks = scratch.save(rows.mapInArrow(make, schema), "blocks")
-    n, distinct, count = blocks.agg(F.sum("n_train"), F.sum(F.octet_length("words").cast("long") / 8), F.count("*")).first()
-    n, count = int(n or 0), int(count)
-    shares = max(1, -(-int(distinct or 0) // WORDS_OF_A_SHARE))
-    replies = blocks.select("block", "words", "train").mapInArrow(_requests(shares), "block long, share long, words binary, train binary")
-    replies = replies.repartition(shares, "share").groupBy("share").applyInArrow(_totals(FREQUENT[2] * n), "block long, share long, total binary, known long, once long, twice long, top binary, top_total binary")
-    replies = scratch.save(replies, "replies")
+    blocks = scratch.save(rows.mapInArrow(_blocks(uri), "block long, n_train long, n long"), "blocks")
+    n, tokens, count = (int(x or 0) for x in blocks.agg(F.sum("n_train"), F.sum("n"), F.count("*")).first())
+    shares = max(1, -(-tokens // GRAMS_OF_A_SHARE))
+    requests = blocks.select("block").repartition(max(1, count)).mapInArrow(_first(uri, shares), REQUEST)
+    for order in (3, 2, 1):
+        replies = requests.repartition(shares, "share").groupBy("share").applyInArrow(_totals(order, shares), REPLY)
+        replies = scratch.save(replies, f"replies-{order}", free=True)
+        scratch.drop(f"replies-{order + 1}")
+        if order > 1:
+            requests = replies.repartition(max(1, count), "block").groupBy("block").applyInArrow(_next(uri, order, shares), REQUEST)
     known, once, twice = (int(x or 0) for x in replies.agg(F.sum("known"), F.sum("once"), F.sum("twice")).first())
-    # at most 1 / FREQUENT[2] words in all
-    tops = replies.where("block = -1 and octet_length(top) > 0").select("top", "top_total").collect()
-    words, total = (np.concatenate([np.frombuffer(bytes(r[c]), k) for r in tops]) if tops else np.zeros(0, k) for c, k in ((0, np.uint64), (1, np.int64)))
-    order = np.argsort(words)
-    frequent = Frequent(words[order], total[order], n)
-    # the end is no context, as nothing follows it; it may be the last word of an n-gram
-    gram_shares = max(1, count // 8)
-    counted = blocks.select("held", "size", "token", "words").mapInArrow(_gram_counts(frequent, gram_shares), "order int, share long, code binary, count binary")
-    kept = counted.groupBy("order", "share").applyInArrow(_kept(KEEP * n), "order int, code binary, count binary").collect()  # at most 1 / KEEP n-grams of an order
-    grams = {}
-    for o in (2, 3):
-        code, c = (np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(bytes(r[x]), np.int64) for r in kept if r["order"] == o]]) for x in ("code", "count"))
-        at = np.argsort(code)
-        grams[o] = code[at], c[at]
     discount = min(MOST, max(LEAST, once / (once + 2 * twice))) if once + twice else DISCOUNT
-    model = spark.sparkContext.broadcast(Model(Automaton(frequent, grams), n, known, discount))
-    left = blocks.select("block", "ids", "held", "size", "token", "words").repartition(max(1, count), "block").groupBy("block")
-    right = replies.where("block >= 0").select("block", "share", "total").repartition(max(1, count), "block").groupBy("block")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return left.cogroup(right).applyInArrow(_scored(model, kind), out)
+    mine = replies.where("block >= 0").select("block", "share", "total", "types").repartition(max(1, count), "block")
+    return mine.groupBy("block").applyInArrow(_scored(uri, Model(None, n, known, discount)), out)

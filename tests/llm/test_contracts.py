@@ -152,6 +152,45 @@ def test_lm_automaton_sums_to_one_and_walks():
     assert math.isclose(np.log10(a.probabilities(f, np.zeros(len(f)), u)).sum(), a.walk(f.tolist(), u.tolist()))
 
 
+def test_lm_holds_every_ngram(spark):
+    """Texts of rare words against the automaton written out over all their n-grams, over several blocks, with one share and with many."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(5)
+    docs = [(i, " ".join(f"w{int(rnd.paretovariate(0.4)) % 4000}" for _ in range(rnd.randint(0, 60)))) for i in range(400)]
+    docs += [(400 + i, docs[i][1]) for i in range(40)] + [(None, "only here twice only here twice"), (900, ""), (901, None)]
+    held = {i for i, _ in docs if i is not None and zlib.crc32(str(i).encode()) % 10 == 0}
+    texts = [(i, [*(t or "").split(), None]) for i, t in docs]
+    words = sorted({w for _, t in texts for w in t}, key=str)
+    at = {w: k for k, w in enumerate(words)}
+    count = [defaultdict(int) for _ in range(4)]
+    for i, t in texts:
+        for order in (1, 2, 3):
+            for k in range(len(t) - order + 1) if i not in held else ():
+                count[order][tuple(at[w] for w in t[k : k + order])] += 1
+    size, n, v = len(words), sum(count[1].values()), len(count[1])
+    total = np.array([count[1][(k,)] for k in range(size)])
+    grams = {}
+    for order in (2, 3):
+        code = {sum(x * size ** (order - 1 - j) for j, x in enumerate(g)): c for g, c in count[order].items()}
+        grams[order] = np.array(sorted(code)), np.array([code[k] for k in sorted(code)])
+    a = lm.Automaton(lm.Frequent(np.arange(size, dtype=np.uint64), total, n), grams)
+    once, twice = (total == 1).sum(), (total == 2).sum()
+    unigram = lm.Model(a, n, v, min(lm.MOST, max(lm.LEAST, once / (once + 2 * twice)))).unigrams(total)
+    want = {i: a.walk([at[w] for w in t], [unigram[at[w]] for w in t]) for i, t in texts}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for grams_of_a_share in (1 << 21, 700):
+        old, lm.GRAMS_OF_A_SHARE = lm.GRAMS_OF_A_SHARE, grams_of_a_share
+        try:
+            got = {r.doc_id: r.score for r in lm.score(df).collect()}
+        finally:
+            lm.GRAMS_OF_A_SHARE = old
+        assert set(got) == set(want)
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
+
+
 def test_topk(spark, sf):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op4_exact_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect())
