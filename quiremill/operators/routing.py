@@ -21,15 +21,20 @@ def page_kind(cls: Column) -> Column:
 def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     """doc_id, page_number, kind, confidence, rulings of every page.
 
-    documents: doc_id, status, has_xfa, page_count. Not processed: all Unprocessable. XFA, or no classified page: all
-    Mixed. Pages without a signal are Mixed at confidence 0.
+    documents: doc_id, status, has_xfa, page_count. Not processed: pages 1 to page_count, all Unprocessable. No classified
+    page: the same, all Mixed. Else just the classified pages; XFA makes them Mixed. A page_count that is not set is the
+    number of classified pages. Filled pages without a signal have confidence 1 and no rulings.
     """
     n = signals.groupBy("doc_id").agg(F.count("*").alias("n"))
-    d = documents.join(n, "doc_id", "left").where("page_count > 0")
-    pages = d.select("doc_id", "status", "has_xfa", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(F.lit(1), F.col("page_count").cast("int"))).alias("page_number"))
-    p = pages.join(signals, PAGE, "left")
-    kind = F.when(F.col("status") != "Processed", "Unprocessable").when(F.col("has_xfa") | (F.col("n") == 0), "Mixed").otherwise(page_kind(F.col("class")))
-    return p.select(*PAGE, kind.alias("kind"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("rulings", F.lit(0)).alias("rulings"))
+    d = documents.join(n, "doc_id", "left").select("doc_id", "status", "has_xfa", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
+    stopped = F.col("status") != "Processed"
+    every = stopped | (F.col("n") == 0)
+    count = F.when(F.col("page_count") > 0, F.col("page_count")).otherwise(F.col("n")).cast("int")
+    filled = d.where(every).withColumn("count", count).where("count > 0").select("doc_id", "status", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("page_number"))
+    filled = filled.join(signals, PAGE, "left").select(*PAGE, F.when(stopped, "Unprocessable").otherwise("Mixed").alias("kind"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("rulings", F.lit(0)).alias("rulings"))
+    own = d.where(~every).select("doc_id", "has_xfa").join(signals, "doc_id")
+    own = own.select(*PAGE, F.when(F.col("has_xfa"), "Mixed").otherwise(page_kind(F.col("class"))).alias("kind"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("rulings", F.lit(0)).alias("rulings"))
+    return filled.unionByName(own)
 
 
 def lane_of(kind: Column, confidence: Column, rulings: Column, min_confidence: float = 0.6, ruling_threshold: int = 0) -> Column:

@@ -198,6 +198,21 @@ def test_recall_is_null_without_truth(spark):
     assert (r.truth_words, r.truth_found, r.recall_pct) == (0, 0, None)
 
 
+def test_classify_fills_pages_as_the_reference_does(spark):
+    docs = spark.createDataFrame([(1, "Failed", False, 4), (2, "Processed", False, 4), (3, "Processed", True, 4), (4, "Processed", False, 2), (5, "Failed", False, 0), (6, "Failed", False, None)], "doc_id long, status string, has_xfa boolean, page_count long")
+    signals = spark.createDataFrame([(1, 2, "form", 0.5, 3), (2, 1, "form", 0.5, 3), (2, 4, "other", 0.25, 0), (3, 3, "form", 0.75, 1), (5, 1, "form", 0.5, 2)], "doc_id long, page_number int, class string, confidence double, rulings int")
+    got = sorted(tuple(r) for r in routing.classify(docs, signals).collect())
+    assert got == [
+        *[(1, n, "Unprocessable", 0.5 if n == 2 else 1.0, 3 if n == 2 else 0) for n in (1, 2, 3, 4)],
+        (2, 1, "FormPage", 0.5, 3),
+        (2, 4, "Mixed", 0.25, 0),
+        (3, 3, "Mixed", 0.75, 1),
+        (4, 1, "Mixed", 1.0, 0),
+        (4, 2, "Mixed", 1.0, 0),
+        (5, 1, "Unprocessable", 0.5, 2),
+    ]
+
+
 def test_lane_rules(spark):
     rows = [(1, 1, "DigitalText", 0.6, 0), (1, 2, "DigitalText", 0.59, 0), (2, 1, "TableOrComplexLayout", 0.9, 0), (3, 1, "Unprocessable", 0.9, 0), (3, 2, "DigitalText", 0.9, 0)]
     p = spark.createDataFrame(rows, "doc_id long, page_number int, kind string, confidence double, rulings int")
