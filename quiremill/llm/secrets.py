@@ -27,12 +27,21 @@ class Rule:
     of: int = 0
 
 
+#: White space in a key, also as the \n of a quoted string.
+_GAP = r"(?:\s|\\[nr])*+"
+#: A private key from its BEGIN line through its headers and base64 body to the END line, or to the end of the body if there
+#: is none: chunks of 16 letters at least, or padded, or right before the END line. Possessive, so that no text takes long.
+PEM = (
+    r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z]++ )*+PRIVATE KEY-----"
+    rf"(?:{_GAP}(?:(?:Proc-Type|DEK-Info|Content-Domain|Key-Info|MIC-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{{16,}}+={{0,2}}+|[A-Za-z0-9+/]++(?:={{1,2}}+|(?={_GAP}-----END ))))*+"
+    rf"(?:{_GAP}-----END (?:(?!PRIVATE KEY-----)[A-Z]++ )*+PRIVATE KEY-----)?+"
+)
 #: The three base kinds first; their minima of whole runs are part of the pattern where that cannot change the matches.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
