@@ -119,11 +119,15 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *count, F.sha2(base, 256).alias("base_sha256"), joined(spans, rules).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", *, id: str = "doc_id", ledger: DataFrame | None = None) -> DataFrame:
     """The documents with each span of a secret replaced by [kind]; overlapping spans become one, named by the first.
 
-    Done in place, row by row: a filter that changes texts needs no join. A null text stays null.
+    The spans are those of scan(): one copy of each text that the ledger lacks is scanned. A null text stays null.
     """
+    _, seen = scan(docs, ledger, id=id, text=text, rules=rules)
+    if ledger is not None:
+        seen = seen.unionByName(ledger.where(F.col("rules") == version_of(rules)).select("blob", "rules", "spans"))
+    hits = seen.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
     t = F.col(f"`{text}`")
@@ -134,4 +138,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["done"]).alias("done"))
 
     merged = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["done"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return docs.withColumn("__spans", found_in(t, rules)).withColumn(text, F.when(F.size("__spans") > 0, merged).otherwise(t)).drop("__spans")
+    rows = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))).join(hits, "__blob", "left")
+    return rows.withColumn(text, F.when(F.size("__spans") > 0, merged).otherwise(t)).select(*[f"`{c}`" for c in docs.columns])
