@@ -2,8 +2,8 @@
 
 Counts of n-grams up to order 3 are smoothed by absolute discounting and become an automaton: a state is a context that
 the model holds, an arc a word seen in it, and where a state has no arc for a word, its failure arc leads to the next
-shorter context at the weight left over there. A text is read once from left to right: the state goes from word to word
-and the arcs' log-probabilities add up. All probabilities of a context sum to 1, unknown words being one more word.
+shorter context at the weight left over there. A state is fixed by the two words before, so scoring takes all positions'
+arcs at once by lookups; Automaton.walk reads from left to right instead, with equal results, in tests. All probabilities of a context sum to 1, unknown words being one more word.
 
 Documents are turned once into blocks of bounded bytes, each a file in the shared folder: word hashes, and each word of
 the block by its index among the block's distinct words. Every n-gram of the training text counts, whatever its words
