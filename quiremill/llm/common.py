@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 #: Text of one block, where documents are grouped by a hash of their id.
 BLOCK_BYTES = 16 << 20
+#: Reducers of one exchange. More would only add files to it: maps times reducers.
+MOST_TASKS = 20_000
 #: Spark 4.1 on: a query removes its shuffle files when it ends. Other versions ignore it.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir, as a full URI; a folder of our own only where
-    it names none, as in tests. Files written past Spark (shards) go to the same file system that way."""
+    it names none and the master is local, as in tests. Files written past Spark (shards) go to the same file system that way."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="quiremill-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = f"file://{own}"
@@ -118,6 +123,11 @@ def blocks_for(docs: DataFrame, text: str, size: int = BLOCK_BYTES) -> int:
     return max(1, -(-int(total) // size))
 
 
+def tasks(groups: int) -> int:
+    """Reducers for so many groups of bounded size: beyond MOST_TASKS a task takes many groups, one after another."""
+    return max(1, min(groups, MOST_TASKS))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under fixed names, so that nothing else in the table can clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

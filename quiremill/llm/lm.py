@@ -1,17 +1,20 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Counts of n-grams up to order 3 are smoothed by absolute discounting and become an automaton: a state is a context that
-the model holds, an arc a word seen in it, and where a state has no arc for a word, its failure arc leads to the next
-shorter context at the weight left over there. A state is fixed by the two words before, so scoring takes all positions'
-arcs at once by lookups; Automaton.walk reads from left to right instead, with equal results, in tests. All probabilities of a context sum to 1, unknown words being one more word.
+Counts of n-grams up to order 3 are smoothed by interpolated absolute discounting and become an automaton: a state is a
+context that training text holds, an arc a word seen after it, weighted by the word's log-probability there, and where a
+state has no arc for a word, its failure arc leads to the next shorter context at the weight that is left over there. A
+text is read once from left to right: its state goes from word to word along arcs and failure arcs, and their weights add
+up. Texts of a block are read side by side, a word of each at a time. A state is at most two words, so that a long text
+may be read in stretches of LANE words at once, each from two words before. All probabilities of a context sum to 1,
+unknown words being one more word.
 
 Documents are turned once into blocks of bounded bytes, each a file in the shared folder: word hashes, and each word of
 the block by its index among the block's distinct words. Every n-gram of the training text counts, whatever its words
 and however rare it is. As their number grows with the input, no task ever holds them all: blocks send their distinct
 n-grams with counts to shares of the hash space and get the totals back. Orders go from 3 down to 1, since a share also
 names one block as an n-gram's owner, and owners tell the context how many different words follow it, which is what its
-failure arc weighs. So every block ends up with the arcs of its own texts, at any size of input. N-grams are told apart by
-64-bit hashes. `Automaton` is the same model written out.
+failure arc weighs. So every block ends up with the states and arcs that its own texts can reach, at any size of input.
+Words and n-grams are told apart by 64-bit hashes.
 
 Defined results: a null or empty text is its end alone. Without training text every token is unknown with probability
 1, so that both scores are 0. Rows with a null id are training rows. Repeated rows count and are scored each. Other columns are never read.
@@ -21,16 +24,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, regroup, release, small_batches
+from .common import Scratch, only, regroup, release, small_batches, tasks
 from .tokenfile import get, put
-from .words import Words, grams, whole
+from .words import Words, extended, grams, whole
 
 #: Bounds on the discount of unigrams, which follows from how many words occur once and twice.
 LEAST, MOST = 0.1, 0.95
@@ -39,6 +42,8 @@ END = np.uint64(0x00E2D00E2D00E2D1)
 DISCOUNT = 0.75
 BLOCK = 8 << 20
 GRAMS_OF_A_SHARE = 1 << 21
+#: Tokens of a text that are read in one stretch.
+LANE = 256
 
 
 def _held(ids: list) -> np.ndarray:
@@ -128,20 +133,23 @@ def unplanes(raw: bytes) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
-def _edges(shares: int) -> np.ndarray:
-    """Bounds of the shares of the hash space."""
-    return np.array([(i << 64) // shares for i in range(shares)], np.uint64)
+def _bound(share: np.ndarray, bits: int) -> np.ndarray:
+    """Where shares of the hash space begin, of which there are 2**bits."""
+    return share.astype(np.uint64) << np.uint64(64 - bits) if bits else np.zeros(len(share), np.uint64)
 
 
-def _request(block: int, grams: np.ndarray, train: np.ndarray, follow: np.ndarray | None, shares: int) -> dict:
-    """For each share of the hash space a block's distinct n-grams there, as steps, and their figures; at least one row."""
-    bounds = _edges(shares)
-    edges = np.append(np.searchsorted(grams, bounds), len(grams))
-    at = [(s, edges[s], edges[s + 1]) for s in range(shares) if edges[s + 1] > edges[s] or not s]
+def _request(block: int, grams: np.ndarray, train: np.ndarray, follow: np.ndarray | None, bits: int) -> dict:
+    """For each share of the hash space where the block has n-grams, these as steps, and their figures; at least one row."""
+    share = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    first = np.flatnonzero(np.diff(share, prepend=-1))
+    names = share[first] if len(first) else np.zeros(1, np.int64)
+    edges = np.append(first, len(grams)) if len(first) else np.zeros(2, np.int64)
+    bounds = _bound(names, bits)
+    at = list(zip(bounds, edges[:-1].tolist(), edges[1:].tolist()))
     return {
         "block": pa.array([block] * len(at), pa.int64()),
-        "share": pa.array([s for s, _, _ in at], pa.int64()),
-        "grams": pa.array([planes(np.diff(grams[x:y], prepend=bounds[s])) for s, x, y in at], pa.binary()),
+        "share": pa.array(names),
+        "grams": pa.array([planes(np.diff(grams[x:y], prepend=s)) for s, x, y in at], pa.binary()),
         "train": pa.array([planes(train[x:y]) for _, x, y in at], pa.binary()),
         "follow": pa.array([None if follow is None else planes(follow[x:y]) for _, x, y in at], pa.binary()),
     }
@@ -150,7 +158,7 @@ def _request(block: int, grams: np.ndarray, train: np.ndarray, follow: np.ndarra
 REQUEST = "block long, share long, grams binary, train binary, follow binary"
 
 
-def _first(uri: str, shares: int):
+def _first(uri: str, bits: int):
     """Blocks -> their requests for n-grams of order 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +166,7 @@ def _first(uri: str, shares: int):
             for block in b["block"].to_pylist():
                 x = Block(uri, block)
                 distinct, at = x.grams(3)
-                yield pa.RecordBatch.from_pydict(_request(block, distinct, x.counts(len(distinct), at), None, shares))
+                yield pa.RecordBatch.from_pydict(_request(block, distinct, x.counts(len(distinct), at), None, bits))
         release()
 
     return run
@@ -168,7 +176,7 @@ def _whole(replies: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([unplanes(x.as_py()) for x in replies[column]])
 
 
-def _next(uri: str, order: int, shares: int):
+def _next(uri: str, order: int, bits: int):
     """Replies for one order -> a file of them, and the block's requests for the order below, which its owned n-grams follow."""
 
     def run(key: tuple, replies: pa.Table) -> pa.Table:
@@ -184,14 +192,14 @@ def _next(uri: str, order: int, shares: int):
         last[at[ends]] = ends
         lower, below = x.grams(order - 1)
         follow = np.bincount(below[last[own] - 1], minlength=len(lower))
-        out = pa.table(_request(block, lower, x.counts(len(lower), below), follow, shares))
+        out = pa.table(_request(block, lower, x.counts(len(lower), below), follow, bits))
         release()
         return out
 
     return run
 
 
-def _totals(order: int, shares: int):
+def _totals(order: int, bits: int):
     """Share -> each block's totals, in the order of its n-grams: how often, how many words follow, whether it owns it.
 
     The owner is the first block that has the n-gram in training text. Order 1 adds figures under block -1.
@@ -199,7 +207,7 @@ def _totals(order: int, shares: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        bound = _edges(shares)[key[0].as_py()]
+        bound = _bound(np.array([key[0].as_py()]), bits)[0]
         parts = [np.cumsum(unplanes(x.as_py()).view(np.uint64), dtype=np.uint64) + bound for x in table["grams"]]
         distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
         train = _whole(table, "train")
@@ -235,102 +243,8 @@ def _totals(order: int, shares: int):
 REPLY = "block long, share long, total binary, types binary, own binary, known long, once long, twice long"
 
 
-@dataclass
-class Frequent:
-    """Words of a model that is written out, ascending by hash, and how often they occur."""
-
-    words: np.ndarray
-    total: np.ndarray
-    n: int  # training tokens
-
-    def index(self, words: np.ndarray) -> np.ndarray:
-        """Place of each word among these, or -1."""
-        if not len(self.words):
-            return np.full(len(words), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
-
-
-class Automaton:
-    """States are contexts, arcs their n-grams, failure arcs what they leave to shorter ones.
-
-    The model of a corpus that one process can hold; tests hold score() to it.
-    """
-
-    def __init__(self, frequent: Frequent, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.frequent = frequent
-        size = max(1, len(frequent.words))
-        self.arcs: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # order: codes ascending, probability before backing off
-        self.fail: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # order: context codes ascending, weight of the failure arc
-        contexts = np.arange(len(frequent.words)), frequent.total
-        for order in (2, 3):
-            code, count = grams.get(order, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            context = code // size
-            at = np.minimum(np.searchsorted(contexts[0], context), max(0, len(contexts[0]) - 1))
-            share = (count - DISCOUNT) / contexts[1][at] if len(code) else np.zeros(0)
-            self.arcs[order] = code, share
-            heads, where = np.unique(context, return_inverse=True)
-            self.fail[order] = heads, 1 - np.bincount(where, weights=share, minlength=len(heads))
-            contexts = code, count
-
-    @staticmethod
-    def _look(table: tuple[np.ndarray, np.ndarray], code: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = table
-        if not len(keys):
-            return np.full(len(code), missing)
-        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-        return np.where(keys[at] == code, values[at], missing)
-
-    def probabilities(self, f: np.ndarray, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probability of each token given its state. f: frequent index or -1, p: unigram probability.
-
-        The state at a word is fixed by the two words before it, so all words take their arcs at once.
-        """
-        size = max(1, len(self.frequent.words))
-        p = p.copy()
-        for order in (2, 3):
-            context = np.full(len(f), -1, np.int64)
-            ok = np.zeros(len(f), bool)
-            n = len(f) - order + 1
-            if n > 0:
-                ok[order - 1 :] = doc[:n] == doc[order - 1 :]
-                code = np.zeros(n, np.int64)
-                for k in range(order - 1):
-                    ok[order - 1 :] &= f[k : k + n] >= 0
-                    code = code * size + f[k : k + n]
-                context[order - 1 :] = code
-            at = np.flatnonzero(ok)
-            left = self._look(self.fail[order], context[at], -1.0)
-            at, left = at[left >= 0], left[left >= 0]  # no such state: the shorter one holds
-            arc = np.where(f[at] >= 0, self._look(self.arcs[order], context[at] * size + f[at], 0.0), 0.0)
-            p[at] = arc + left * p[at]
-        return p
-
-    def walk(self, f: list[int], p: list[float]) -> float:
-        """One text from left to right, by the automaton's arcs alone: log10 probability."""
-        arcs = {o: dict(zip(*(x.tolist() for x in t))) for o, t in self.arcs.items()}
-        fail = {o: dict(zip(*(x.tolist() for x in t))) for o, t in self.fail.items()}
-        size, state, total = max(1, len(self.frequent.words)), (), 0.0
-        for w, unigram in zip(f, p):
-
-            def arc(s: tuple[int, ...]) -> float:
-                if not s:
-                    return unigram
-                code = 0
-                for x in s:
-                    code = code * size + x
-                return (arcs[len(s) + 1].get(code * size + w, 0.0) if w >= 0 else 0.0) + fail[len(s) + 1][code] * arc(s[1:])
-
-            total += float(np.log10(arc(state)))
-            state = (*state, w)[-2:] if w >= 0 else ()
-            while state and sum(x * size ** (len(state) - 1 - i) for i, x in enumerate(state)) not in fail[len(state) + 1]:
-                state = state[1:]
-        return total
-
-
 @dataclass
 class Model:
-    automaton: Automaton | None
     n: int
     v: int
     discount: float
@@ -345,11 +259,112 @@ class Model:
         return np.log10((c + 0.1) / (self.n + 0.1 * (self.v + 1)))
 
 
-def _backed_off(p: np.ndarray, at: np.ndarray, count: np.ndarray, context: np.ndarray, types: np.ndarray) -> None:
-    """Probabilities of tokens at some positions, from those of the order below; a context without count has no state."""
-    ok = context > 0
-    at, count, context, types = at[ok], count[ok], context[ok], types[ok]
-    p[at] = np.maximum(count - DISCOUNT, 0) / context + DISCOUNT * types / context * p[at]
+@dataclass
+class Order:
+    """Distinct n-grams of one order, ascending by hash, and their figures in training text."""
+
+    hash: np.ndarray
+    total: np.ndarray  # how often
+    types: np.ndarray  # how many different words follow
+    context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # in the order below: all words but the last
+    suffix: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # in the order below: all words but the first
+
+
+class Keys:
+    """Finds hashes among ascending ones by their first bits: a few steps each, however many there are."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, bits = keys, max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits))])
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        head = (q >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        out, open_ = np.full(len(q), -1, np.int64), np.flatnonzero(at < end)
+        while len(open_):
+            place = at[open_]
+            same = self.keys[place] == q[open_]
+            out[open_[same]] = place[same]
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
+
+
+class Automaton:
+    """States are 0, the empty context; 1 + i, the i-th word; 1 + n + j, the j-th pair of words.
+
+    arcs: of each order, the n-grams of training text, found by hash, each with log10 probability and target state.
+    """
+
+    def __init__(self, model: Model, orders: list[Order]) -> None:
+        one, two, three = orders
+        self.words, self.n = one.hash, len(one.hash)
+        p = model.unigrams(one.total)
+        self.start = np.log10(p), np.where(one.total > 0, 1 + np.arange(self.n), 0)
+        self.state_hash = np.concatenate([np.zeros(1, np.uint64), one.hash, two.hash])
+        self.fail = np.concatenate([[0], np.zeros(self.n, np.int64), 1 + two.suffix])
+        left = [np.where(o.total > 0, DISCOUNT * o.types / np.maximum(o.total, 1), 1.0) for o in (one, two)]
+        with np.errstate(divide="ignore"):  # nothing follows an end
+            self.left = np.log10(np.concatenate([[1.0], *left]))
+        self.arcs: list[tuple[Keys, np.ndarray, np.ndarray]] = []
+        for lower, weight, o, target in ((one, left[0], two, 1 + self.n + np.arange(len(two.hash))), (two, left[1], three, 1 + self.n + three.suffix)):
+            p = np.maximum(o.total - DISCOUNT, 0) / np.maximum(lower.total[o.context], 1) + weight[o.context] * p[o.suffix]
+            seen = np.flatnonzero(o.total)
+            self.arcs.append((Keys(o.hash[seen]), np.log10(p[seen]), target[seen]))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each state goes on a word, and at what weight."""
+        state, gain, to = state.copy(), np.zeros(len(state)), np.full(len(state), -1, np.int64)
+        for length in (2, 1):
+            at = np.flatnonzero((state > self.n) if length == 2 else (state > 0) & (to < 0))
+            if not len(at):
+                continue
+            keys, weight, target = self.arcs[length - 1]
+            arc = keys.find(extended(self.state_hash[state[at]], self.words[word[at]]))
+            hit, miss = arc >= 0, at[arc < 0]
+            to[at[hit]] = target[arc[hit]]
+            gain[at[hit]] += weight[arc[hit]]
+            gain[miss] += self.left[state[miss]]
+            state[miss] = self.fail[state[miss]]
+        at = np.flatnonzero(to < 0)
+        gain[at] += self.start[0][word[at]]
+        to[at] = self.start[1][word[at]]
+        return to, gain
+
+    def read(self, token: np.ndarray, size: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """log10 probability of each text; size: tokens of each, at least 1."""
+        lanes = -(-size // lane)
+        text = np.repeat(np.arange(len(size)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        warm = np.where(nth > 0, min(2, lane), 0)
+        begin = (np.cumsum(size) - size)[text] + nth * lane - warm
+        length = np.minimum(size[text] - nth * lane, lane) + warm
+        order = np.argsort(-length, kind="stable")
+        begin, length, warm, text = begin[order], length[order], warm[order], text[order]
+        live = len(length) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0))), side="right")
+        state, total = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for t, k in enumerate(live.tolist()):
+            state[:k], gain = self.step(state[:k], token[begin[:k] + t])
+            total[:k] += np.where(warm[:k] <= t, gain, 0.0)
+        return np.bincount(text, weights=total, minlength=len(size))
+
+
+def _orders(x: Block, figures: list[tuple[np.ndarray, np.ndarray]]) -> list[Order]:
+    """The block's n-grams of each order with (total, types) of each."""
+    out, below = [], x.token
+    for k, (total, types) in enumerate(figures, 1):
+        distinct, at = x.grams(k)
+        o = Order(distinct, total, types)
+        if k > 1:
+            ends = np.flatnonzero(at >= 0)
+            o.context, o.suffix = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            o.context[at[ends]], o.suffix[at[ends]] = below[ends - 1], below[ends]
+        out.append(o)
+        below = at
+    return out
 
 
 def _scored(uri: str, m: Model):
@@ -357,18 +372,12 @@ def _scored(uri: str, m: Model):
         block = key[0].as_py()
         x = Block(uri, block)
         replies = replies.sort_by("share")
-        c, types = _whole(replies, "total"), _whole(replies, "types")
-        p = m.unigrams(c)[x.token]
-        below = x.token
-        lower, follow = c, types
+        figures = [(_whole(replies, "total"), _whole(replies, "types"))]
         for order in (2, 3):
             b = _unpacked(get(uri, f"totals-{order}-{block}"))
-            total, more = unplanes(b["total"][0].as_py()), unplanes(b["types"][0].as_py())
-            _, at = x.grams(order)
-            ends = np.flatnonzero(at >= 0)
-            context = below[ends - 1]
-            _backed_off(p, ends, total[at[ends]], lower[context], follow[context])
-            below, lower, follow = at, total, more
+            figures.append((unplanes(b["total"][0].as_py()), unplanes(b["types"][0].as_py())))
+        c = figures[0][0]
+        log_p = Automaton(m, _orders(x, figures)).read(x.token, x.size)
         starts = np.cumsum(x.size) - x.size
         out = pa.table(
             {
@@ -378,7 +387,7 @@ def _scored(uri: str, m: Model):
                 "n_known": np.add.reduceat((c > 0)[x.token].astype(np.int64), starts),
                 "train_tokens": np.full(len(x.size), m.n, np.int64),
                 "base_score": np.add.reduceat(m.base(c)[x.token], starts),
-                "score": np.add.reduceat(np.log10(p), starts),
+                "score": log_p,
             }
         )
         release()
@@ -400,16 +409,17 @@ def score(docs: DataFrame, *, id: str = "doc_id", text: str = "text", scratch: S
     kind = rows.schema["id"].dataType.simpleString()
     blocks = scratch.save(rows.mapInArrow(_blocks(uri), "block long, n_train long, n long"), "blocks")
     n, tokens, count = (int(x or 0) for x in blocks.agg(F.sum("n_train"), F.sum("n"), F.count("*")).first())
-    shares = max(1, -(-tokens // GRAMS_OF_A_SHARE))
-    requests = blocks.select("block").repartition(max(1, count)).mapInArrow(_first(uri, shares), REQUEST)
+    bits = max(0, (-(-tokens // GRAMS_OF_A_SHARE) - 1).bit_length())
+    by_block, by_share = tasks(count), tasks(1 << bits)
+    requests = blocks.select("block").repartition(by_block).mapInArrow(_first(uri, bits), REQUEST)
     for order in (3, 2, 1):
-        replies = requests.repartition(shares, "share").groupBy("share").applyInArrow(_totals(order, shares), REPLY)
+        replies = requests.repartition(by_share, "share").groupBy("share").applyInArrow(_totals(order, bits), REPLY)
         replies = scratch.save(replies, f"replies-{order}", free=True)
         scratch.drop(f"replies-{order + 1}")
         if order > 1:
-            requests = replies.repartition(max(1, count), "block").groupBy("block").applyInArrow(_next(uri, order, shares), REQUEST)
+            requests = replies.repartition(by_block, "block").groupBy("block").applyInArrow(_next(uri, order, bits), REQUEST)
     known, once, twice = (int(x or 0) for x in replies.agg(F.sum("known"), F.sum("once"), F.sum("twice")).first())
     discount = min(MOST, max(LEAST, once / (once + 2 * twice))) if once + twice else DISCOUNT
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    mine = replies.where("block >= 0").select("block", "share", "total", "types").repartition(max(1, count), "block")
-    return mine.groupBy("block").applyInArrow(_scored(uri, Model(None, n, known, discount)), out)
+    mine = replies.where("block >= 0").select("block", "share", "total", "types").repartition(by_block, "block")
+    return mine.groupBy("block").applyInArrow(_scored(uri, Model(n, known, discount)), out)

@@ -56,6 +56,30 @@ def base_scores(docs):
     return [(i, held, len(w), sum(train[x] > 0 for x in w), n, sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, held, w in rows]
 
 
+def lm_scores(docs, discount=0.75):
+    """{id: log10 probability} by an interpolated trigram model with absolute discounts, written out; for distinct ids."""
+    texts = [(i, [*WORD.findall(lower(t)), None]) for i, t in docs]
+    count, follow = Counter(), defaultdict(set)
+    for i, w in texts:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            for k in (1, 2, 3):
+                for j in range(len(w) - k + 1):
+                    g = tuple(w[j : j + k])
+                    count[g] += 1
+                    follow[g[:-1]].add(g[-1])
+    words = [c for g, c in count.items() if len(g) == 1]
+    n, v, once, twice = sum(words), len(words), words.count(1), words.count(2)
+    d = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else discount
+
+    def p(g):
+        if len(g) == 1:
+            return 1.0 if not n else (count[g] - d) / n if count[g] else d * v / n
+        head = count[g[:-1]]
+        return p(g[1:]) if not head else (max(count[g] - discount, 0) + discount * len(follow[g[:-1]]) * p(g[1:])) / head
+
+    return {i: sum(math.log10(p(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))) for i, w in texts}
+
+
 def topk(rows, k=20):
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []

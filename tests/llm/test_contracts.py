@@ -125,61 +125,70 @@ def test_neardup_repeats_and_nulls(spark):
 def test_lm(spark, table):
     got = by_id(queries.op3_lm_score(spark, table[0]))
     want = {r[0]: r for r in brute.base_scores(table[1])}
+    scores = brute.lm_scores(table[1])
     assert set(got) == set(want)
     for i, r in got.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[i][1:5]
         assert math.isclose(r.base_score, want[i][5], rel_tol=1e-9)
+        assert math.isclose(r.score, scores[i], rel_tol=1e-9, abs_tol=1e-9), i
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_lm_automaton_sums_to_one_and_walks():
+def automaton(texts):
+    """The automaton of a few texts, all but the last for training; their tokens and sizes."""
     import numpy as np
 
-    total = np.array([50, 40, 30], np.int64)
-    frequent = lm.Frequent(np.arange(3, dtype=np.uint64), total, 150)
-    grams = {2: (np.array([0 * 3 + 1, 1 * 3 + 2]), np.array([20, 10])), 3: (np.array([(0 * 3 + 1) * 3 + 2]), np.array([8]))}
-    a = lm.Automaton(frequent, grams)
-    m = lm.Model(a, 150, 5, 0.5)  # two more words of 15 each
-    unigram = m.unigrams(np.array([50, 40, 30, 15, 15, 0]))
-    assert math.isclose(unigram.sum(), 1)
-    words = [0, 1, 2, -1, -1, -1]
-    for context in ([], [0], [1], [2], [0, 1], [1, 2]):
-        p = [a.probabilities(np.array([*context, w]), np.zeros(len(context) + 1), np.array([0.1] * len(context) + [u]))[-1] for w, u in zip(words, unigram)]
-        assert math.isclose(sum(p), 1)
-    f = np.array([0, 1, 2, -1, 0, 1, 1, 2, 0])
-    u = np.array([unigram[w] for w in f])
-    assert math.isclose(np.log10(a.probabilities(f, np.zeros(len(f)), u)).sum(), a.walk(f.tolist(), u.tolist()))
+    x = object.__new__(lm.Block)
+    x.words, x.token = np.unique(np.concatenate(texts), return_inverse=True)
+    x.size = np.array([len(t) for t in texts])
+    x.doc = np.repeat(np.arange(len(texts)), x.size)
+    x.train = x.doc < len(texts) - 1
+    figures = []
+    for k in (1, 2, 3):
+        distinct, at = x.grams(k)
+        total = x.counts(len(distinct), at)
+        types = np.zeros(len(distinct), int)
+        if k < 3:
+            longer, ends = x.grams(k + 1)
+            heads = {int(longer_) : int(at[e - 1]) for e, longer_ in enumerate(ends) if longer_ >= 0 and x.train[e]}
+            for h in heads.values():
+                types[h] += 1
+        figures.append((total, types))
+    total = figures[0][0]
+    return lm.Automaton(lm.Model(int(total.sum()), int((total > 0).sum()), 0.5), lm._orders(x, figures)), x
+
+
+def test_lm_states_sum_to_one_and_lanes_agree():
+    import numpy as np
+
+    from quiremill.llm.words import mix
+
+    rnd = np.random.Generator(np.random.PCG64(4))
+    vocabulary = mix(np.arange(1, 30, dtype=np.uint64))
+    texts = [np.append(vocabulary[rnd.integers(0, 25, rnd.integers(0, 80)) ** 2 // 25], lm.END) for _ in range(40)]
+    texts.append(np.append(vocabulary[[0, 28, 1, 0, 1]], lm.END))  # one word unknown
+    a, x = automaton(texts)
+    alive = np.unique([0, *a.start[1], *(s for _, _, target in a.arcs for s in target)])
+    words = np.arange(len(x.words))
+    assert (a.start[1] == 0).sum() == 1 and len(alive) > 100
+    for s in alive:
+        if not np.isneginf(a.left[s]):  # not after an end
+            assert math.isclose((10 ** a.step(np.full(len(words), s), words)[1]).sum(), 1)
+    whole = a.read(x.token, x.size, 10**6)
+    for lane in (1, 2, 3, 7, 64):
+        assert np.allclose(a.read(x.token, x.size, max(2, lane)), whole, rtol=1e-12)
+    assert a.read(np.zeros(0, int), np.zeros(0, int)).tolist() == []
 
 
 def test_lm_holds_every_ngram(spark):
-    """Texts of rare words against the automaton written out over all their n-grams, over several blocks, with one share and with many."""
+    """Texts of rare words over several blocks, with one share and with many, tasks of several groups among them."""
     import random
 
-    import numpy as np
-
     rnd = random.Random(5)
     docs = [(i, " ".join(f"w{int(rnd.paretovariate(0.4)) % 4000}" for _ in range(rnd.randint(0, 60)))) for i in range(400)]
-    docs += [(400 + i, docs[i][1]) for i in range(40)] + [(None, "only here twice only here twice"), (900, ""), (901, None)]
-    held = {i for i, _ in docs if i is not None and zlib.crc32(str(i).encode()) % 10 == 0}
-    texts = [(i, [*(t or "").split(), None]) for i, t in docs]
-    words = sorted({w for _, t in texts for w in t}, key=str)
-    at = {w: k for k, w in enumerate(words)}
-    count = [defaultdict(int) for _ in range(4)]
-    for i, t in texts:
-        for order in (1, 2, 3):
-            for k in range(len(t) - order + 1) if i not in held else ():
-                count[order][tuple(at[w] for w in t[k : k + order])] += 1
-    size, n, v = len(words), sum(count[1].values()), len(count[1])
-    total = np.array([count[1][(k,)] for k in range(size)])
-    grams = {}
-    for order in (2, 3):
-        code = {sum(x * size ** (order - 1 - j) for j, x in enumerate(g)): c for g, c in count[order].items()}
-        grams[order] = np.array(sorted(code)), np.array([code[k] for k in sorted(code)])
-    a = lm.Automaton(lm.Frequent(np.arange(size, dtype=np.uint64), total, n), grams)
-    once, twice = (total == 1).sum(), (total == 2).sum()
-    unigram = lm.Model(a, n, v, min(lm.MOST, max(lm.LEAST, once / (once + 2 * twice)))).unigrams(total)
-    want = {i: a.walk([at[w] for w in t], [unigram[at[w]] for w in t]) for i, t in texts}
+    docs += [(400 + i, docs[i][1]) for i in range(40)] + [(None, "only here twice only here twice"), (900, ""), (901, None), (902, "long " * 3000)]
+    want = brute.lm_scores(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     for grams_of_a_share in (1 << 21, 700):
         old, lm.GRAMS_OF_A_SHARE = lm.GRAMS_OF_A_SHARE, grams_of_a_share
@@ -188,7 +197,13 @@ def test_lm_holds_every_ngram(spark):
         finally:
             lm.GRAMS_OF_A_SHARE = old
         assert set(got) == set(want)
-        assert all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
+def test_lm_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b")], "doc_id long, text string")
+    rows = sorted((r.doc_id or 0, r.n_tokens, round(r.score, 9)) for r in lm.score(docs).collect())
+    assert [r[:2] for r in rows] == [(0, 3), (1, 2), (1, 3), (1, 3)] and rows[0][2] == rows[2][2] == rows[3][2]
 
 
 def test_topk(spark, sf):
