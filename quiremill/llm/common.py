@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,20 @@ def regroup(batches: Iterable[pa.RecordBatch], size: int = BATCH_BYTES, rows: in
     release()
 
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit whole numbers in as few bytes each as the largest needs, byte planes one after another: high bytes compress well."""
+    x = x.astype("<i8").view("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    p = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((p.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = p.T
+    return out.view("<i8").reshape(-1)
+
+
 def blocks_for(docs: DataFrame, text: str, size: int = BLOCK_BYTES) -> int:
     """How many blocks of about `size` bytes the texts make: follows the input, so a block fits a worker at any size."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long") + 16)).first()[0] or 0

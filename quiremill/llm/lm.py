@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, regroup, release, small_batches, tasks
+from .common import Scratch, only, planes, regroup, release, small_batches, tasks, unplanes
 from .tokenfile import get, put
 from .words import Words, extended, grams, whole
 
@@ -120,19 +120,6 @@ class Block:
         return np.bincount(at[(at >= 0) & self.train], minlength=n)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, byte planes one after another: high bytes compress well."""
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def unplanes(raw: bytes) -> np.ndarray:
-    p = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
-    out = np.zeros((p.shape[1], 8), np.uint8)
-    out[:, : raw[0]] = p.T
-    return out.view("<i8").reshape(-1)
-
-
 def _bound(share: np.ndarray, bits: int) -> np.ndarray:
     """Where shares of the hash space begin, of which there are 2**bits."""
     return share.astype(np.uint64) << np.uint64(64 - bits) if bits else np.zeros(len(share), np.uint64)

@@ -2,12 +2,13 @@
 
 Reference blocks of window // 2 words that do not overlap are indexed in every document, and probed with every rolling
 run of as many words; a window of `window` words always holds a whole block, so a block that no other run equals rules
-out all windows around it. The windows around hit blocks are compared whole, by 64-bit hash, and those that another,
-earlier place has too are joined to maximal exact repeats, whose words go.
+out all windows around it. The windows around hit blocks are compared whole, and those that another, earlier place has
+too are joined to maximal exact repeats, whose words go. Two windows are the same if 128 bits agree that are mixed from
+128 bits of each of their words, word by word: among 10**13 windows any two agree by chance at odds of 1 to 10**12.
 
 Documents are handled in blocks of bounded bytes, by a hash of id and text. What leaves a block is combined there first,
 so a passage that a third of all rows share counts at most twice a block as a probe and once as a window. Keys travel as
-sorted, delta-coded arrays, one for each block and share of the hash space.
+sorted, delta-coded arrays, one for each block and each share of the hash space that the block has keys in.
 
 Defined results: the earlier place is that with the smaller (id, start); a null id comes after all others. Rows with one
 id and the same text are one document: neither takes words from the other, and all lose the same words. Null and empty
@@ -25,29 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_for, release, small_batches
-from .words import Words, grams, mix, whole
+from .common import blocks_for, planes, release, small_batches, tasks, unplanes
+from .words import Words, runs, whole
 
 WINDOW = 20
 KEY_BITS = 30
-#: Probes of one share of the hash space: about as many whatever the input.
-SHARE = 1 << 21
+#: Text of one block: a worker holds its words, their hashes and windows at once.
+BLOCK = 12 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Ascending keys, repeats included, as differences in 16 bits; 65535 adds that much and continues."""
-    gaps = np.diff(keys.astype(np.int64), prepend=0)
-    over = gaps // 65535
-    at = np.cumsum(over + 1) - 1
-    out = np.full(int(at[-1]) + 1 if len(at) else 0, 65535, np.uint16)
-    out[at] = gaps - over * 65535
-    return out.tobytes()
+    """Ascending keys, repeats included, as differences."""
+    return planes(np.diff(keys.astype(np.int64), prepend=0))
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    gaps = np.frombuffer(raw, np.uint16)
-    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
+    return np.cumsum(unplanes(raw))
+
+
+def spans(share: np.ndarray) -> list[tuple[int, int, int]]:
+    """(share, begin, end) of each run of one share in an ascending column."""
+    first = np.flatnonzero(np.diff(share, prepend=-1))
+    return list(zip(share[first].tolist(), first.tolist(), np.append(first[1:], len(share)).tolist()))
 
 
 class Block:
@@ -62,9 +63,9 @@ class Block:
         self.step = window // 2
         self.window = window
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the run at each word, and whether it lies within a document."""
-        return grams(self.hash, self.step), whole(self.rows, self.step)
+    def probes(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Share and key, in one number, of the run at each word, and whether it lies within a document."""
+        return runs(self.hash, self.step) >> np.uint64(64 - KEY_BITS - bits), whole(self.rows, self.step)
 
     def aligned(self, n: int) -> np.ndarray:
         """Which of the first n words start a reference block."""
@@ -75,170 +76,150 @@ class Block:
         row = self.rows[at]
         return self.ids[row], at - self.words.at[:-1][row]
 
-    def windows(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of windows that hold a hit reference block whole. hits: by word, as aligned()."""
+    def windows(self, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and both hashes of windows that hold a hit reference block whole. hits: by word, as aligned()."""
         n = len(self.rows) - self.window + 1
         if n <= 0 or not hits.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         near = np.concatenate([[0], np.cumsum(np.append(hits, np.zeros(len(self.rows) - len(hits), bool)))])
         span = self.window - self.step + 1  # a block may start at any of so many words of the window
         at = np.flatnonzero((near[span : span + n] > near[:n]) & whole(self.rows, self.window))
-        out = np.empty(len(at), np.uint64)
-        for lo in range(0, len(at), 1 << 19):  # only around hits
-            p = at[lo : lo + (1 << 19)]
-            acc = np.full(len(p), self.window, np.uint64)
-            for j in range(self.window):
-                acc *= np.uint64(0xD6E8FEB86659FD93)
-                acc += self.hash[p + j]
-            out[lo : lo + len(p)] = mix(acc)
-        return at, out
+        return at, runs(self.hash, self.window)[at], runs(self.words.hashes(1), self.window)[at]
+
+
+def _first(one: np.ndarray, two: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (hashes, id, start); where in it other hashes begin; and of each place in it, the first with its hashes."""
+    order = np.lexsort((starts, ids, two, one))
+    a, b = one[order], two[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
+    return order, new, order[np.flatnonzero(new)][np.cumsum(new) - 1]
+
 
+PROBES = "block long, share long, keys binary, anchors binary"
+HITS = "block long, share long, hits binary"
+WINDOWS = "block long, share long, one binary, two binary, ids binary, starts binary"
+LATE = "block long, share long, late binary"
 
-def _first(hash_: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Order by (hash, id, start)."""
-    return np.lexsort((starts, ids, hash_))
 
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns)})
 
-def _probes(shares: int, window: int):
-    """Block -> for each share of the hash space, the keys of all its runs, each at most twice."""
+
+def _probes(bits: int, window: int):
+    """Block -> for each share of the hash space that it has runs in, their keys, each at most twice."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         b = Block(table, window)
-        value, ok = b.runs()
-        rows: dict[str, list] = {"block": [], "share": [], "keys": [], "anchors": []}
-        if ok.any():
-            anchor = (ok & b.aligned(len(value)))[ok]
-            value = value[ok]
-            share = (value >> np.uint64(KEY_BITS)) % np.uint64(shares)
-            full = (share << np.uint64(KEY_BITS)) | (value & np.uint64((1 << KEY_BITS) - 1))
-            marked = np.unique(full[anchor])
-            full = np.sort(full)
-            third = np.zeros(len(full), bool)
-            third[2:] = full[2:] == full[:-2]
-            full = full[~third]
-            edges = np.searchsorted(full, np.arange(shares + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
-            mark_edges = np.searchsorted(marked, np.arange(shares + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
-            mask = np.uint64((1 << KEY_BITS) - 1)
-            for s in np.flatnonzero(np.diff(edges)):
-                rows["block"].append(key[0].as_py())
-                rows["share"].append(int(s))
-                rows["keys"].append(pack(full[edges[s] : edges[s + 1]] & mask))
-                rows["anchors"].append(pack(marked[mark_edges[s] : mark_edges[s + 1]] & mask))
-        return pa.table(rows, schema=pa.schema([("block", pa.int64()), ("share", pa.int64()), ("keys", pa.binary()), ("anchors", pa.binary())]))
+        value, ok = b.probes(bits)
+        if not ok.any():
+            return _table(PROBES, [])
+        marked = np.unique(value[ok & b.aligned(len(value))])
+        value = np.sort(value[ok])
+        third = np.zeros(len(value), bool)
+        third[2:] = value[2:] == value[:-2]
+        value = value[~third]
+        mask, out = np.uint64((1 << KEY_BITS) - 1), []
+        shares = spans((value >> np.uint64(KEY_BITS)).astype(np.int64))
+        bounds = np.array([s for s, _, _ in shares], np.uint64)
+        begin, end = np.searchsorted(marked, bounds << np.uint64(KEY_BITS)), np.searchsorted(marked, (bounds << np.uint64(KEY_BITS)) | mask, side="right")
+        for (s, x, y), p, q in zip(shares, begin, end):
+            out.append((key[0].as_py(), s, pack(value[x:y] & mask), pack(marked[p:q] & mask)))
+        return _table(PROBES, out)
 
     return run
 
 
 def _hits(key: tuple, table: pa.Table) -> pa.Table:
     """Share -> for each block, those of its reference blocks' keys that two runs or more have."""
-    parts = [unpack(x.as_py()) for x in table["keys"]]
-    every = np.sort(np.concatenate(parts))
+    every = np.sort(np.concatenate([unpack(x.as_py()) for x in table["keys"]]))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
-    rows: dict[str, list] = {"block": [], "share": [], "hits": []}
+    out = []
     for block, raw in zip(table["block"], table["anchors"]):
         mine = unpack(raw.as_py())
         at = np.minimum(np.searchsorted(twice, mine), max(0, len(twice) - 1))
         mine = mine[twice[at] == mine] if len(twice) else mine[:0]
         if len(mine):
-            rows["block"].append(block.as_py())
-            rows["share"].append(key[0].as_py())
-            rows["hits"].append(pack(mine))
-    return pa.table(rows, schema=pa.schema([("block", pa.int64()), ("share", pa.int64()), ("hits", pa.binary())]))
+            out.append((block.as_py(), key[0].as_py(), pack(mine)))
+    return _table(HITS, out)
 
 
-def _hit_words(b: Block, hits: pa.Table, shares: int) -> np.ndarray:
+def _hit_words(b: Block, hits: pa.Table, bits: int) -> np.ndarray:
     """By word: starts a reference block that was hit."""
-    value, ok = b.runs()
+    value, ok = b.probes(bits)
     found = [unpack(h.as_py()).astype(np.uint64) | (np.uint64(s.as_py()) << np.uint64(KEY_BITS)) for s, h in zip(hits["share"], hits["hits"])]
-    if not found or not len(value):
-        return np.zeros(len(value), bool)
-    at = np.flatnonzero(ok & b.aligned(len(value)))
-    full = (((value[at] >> np.uint64(KEY_BITS)) % np.uint64(shares)) << np.uint64(KEY_BITS)) | (value[at] & np.uint64((1 << KEY_BITS) - 1))
     out = np.zeros(len(value), bool)
-    out[at[np.isin(full, np.concatenate(found))]] = True
+    if found:
+        at = np.flatnonzero(ok & b.aligned(len(value)))
+        out[at[np.isin(value[at], np.concatenate(found))]] = True
     return out
 
 
-def _windows(shares: int, window: int):
+def _distinct(b: Block, hits: pa.Table, bits: int):
+    """A block's windows around hits: positions; their order by hashes and places, where other hashes begin, the first of
+    each; ids and starts; and of the distinct ones, ascending, which share compares them."""
+    at, one, two = b.windows(_hit_words(b, hits, bits))
+    ids, starts = b.places(at)
+    order, new, head = _first(one, two, ids, starts)
+    heads = order[new]
+    share = (one[heads] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(heads), np.int64)
+    return at, one, two, order, new, head, ids, starts, spans(share)
+
+
+def _windows(bits: int, window: int):
     """Block and hits -> for each share, its distinct windows around hits, each with its first place here."""
 
     def run(key: tuple, docs: pa.Table, hits: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"block": [], "share": [], "win": [], "ids": [], "starts": []}
-        if docs.num_rows and hits.num_rows:
-            b = Block(docs, window)
-            at, value = b.windows(_hit_words(b, hits, shares))
-            ids, starts = b.places(at)
-            order = _first(value, ids, starts)
-            value, ids, starts = value[order], ids[order], starts[order]
-            first = np.append(True, value[1:] != value[:-1])[: len(value)]
-            value, ids, starts = value[first], ids[first], starts[first]
-            share = (value >> np.uint64(40)).astype(np.int64) % shares
-            order = np.argsort(share, kind="stable")
-            edges = np.searchsorted(share[order], np.arange(shares + 1))
-            for s in np.flatnonzero(np.diff(edges)):
-                o = order[edges[s] : edges[s + 1]]
-                rows["block"].append(key[0].as_py())
-                rows["share"].append(int(s))
-                rows["win"].append(value[o].tobytes())
-                # byte planes: the many zero bytes then vanish in the shuffle's compression
-                rows["ids"].append(np.ascontiguousarray(ids[o].view(np.uint8).reshape(-1, 8).T).tobytes())
-                rows["starts"].append(np.ascontiguousarray(starts[o].astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
-        return pa.table(rows, schema=pa.schema([("block", pa.int64()), ("share", pa.int64()), ("win", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())]))
+        if not docs.num_rows or not hits.num_rows:
+            return _table(WINDOWS, [])
+        _, one, two, order, new, _, ids, starts, shares = _distinct(Block(docs, window), hits, bits)
+        heads, out = order[new], []
+        for s, x, y in shares:
+            h = heads[x:y]
+            out.append((key[0].as_py(), s, one[h].tobytes(), two[h].tobytes(), planes(ids[h]), planes(starts[h])))
+        return _table(WINDOWS, out)
 
     return run
 
 
-def _plane(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
-
-
 def _later(key: tuple, table: pa.Table) -> pa.Table:
-    """Share -> for each block, those of its windows that have an earlier place in another block."""
-    win = [np.frombuffer(x.as_py(), np.uint64) for x in table["win"]]
-    size = np.array([len(w) for w in win])
-    value = np.concatenate(win)
-    ids, starts = (np.concatenate([_plane(x.as_py()) for x in table[c]]) for c in ("ids", "starts"))
-    owner = np.repeat(np.arange(len(win)), size)
-    order = _first(value, ids, starts)
-    new = np.append(True, value[order][1:] != value[order][:-1])
-    group = np.cumsum(new) - 1
-    head = order[np.flatnonzero(new)][group]
+    """Share -> for each block, which of its windows have an earlier place in another block: bits in the block's order."""
+    one, two = (np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table[c]]) for c in ("one", "two"))
+    parts = [unplanes(x.as_py()) for x in table["ids"]]
+    ids, starts = np.concatenate(parts), np.concatenate([unplanes(x.as_py()) for x in table["starts"]])
+    order, _, head = _first(one, two, ids, starts)
     # the same (id, start) elsewhere is a repeated row: as early
-    late = order[(ids[order] != ids[head]) | (starts[order] != starts[head])]
-    rows: dict[str, list] = {"block": [], "late": []}
-    late = late[np.argsort(owner[late], kind="stable")]
-    edges = np.searchsorted(owner[late], np.arange(len(win) + 1))
-    for i in np.flatnonzero(np.diff(edges)):
-        rows["block"].append(table["block"][int(i)].as_py())
-        rows["late"].append(value[late[edges[i] : edges[i + 1]]].tobytes())
-    return pa.table(rows, schema=pa.schema([("block", pa.int64()), ("late", pa.binary())]))
+    late = np.zeros(len(one), bool)
+    late[order] = (ids[order] != ids[head]) | (starts[order] != starts[head])
+    ends = np.cumsum([len(p) for p in parts])
+    mine = [late[e - len(p) : e] for p, e in zip(parts, ends)]
+    return _table(LATE, [(block.as_py(), key[0].as_py(), np.packbits(m).tobytes()) for block, m in zip(table["block"], mine) if m.any()])
 
 
-def _removed(b: Block, hits: pa.Table, late: pa.Table, shares: int) -> np.ndarray:
+def _removed(b: Block, hits: pa.Table, late: pa.Table, bits: int) -> np.ndarray:
     """By word: covered by a window that starts earlier too."""
     gone = np.zeros(len(b.words) + 1, np.int64)
-    at, value = b.windows(_hit_words(b, hits, shares))
-    if len(at):
-        ids, starts = b.places(at)
-        order = _first(value, ids, starts)
-        v = value[order]
-        new = np.append(True, v[1:] != v[:-1])
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if hits.num_rows:
+        at, _, _, order, new, head, ids, starts, shares = _distinct(b, hits, bits)
         bad = (ids[order] != ids[head]) | (starts[order] != starts[head])
-        if late.num_rows:
-            bad |= np.isin(v, np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in late["late"]]))
+        marks = dict(zip(late["share"].to_pylist(), late["late"].to_pylist()))
+        elsewhere = [np.unpackbits(np.frombuffer(marks[s], np.uint8), count=y - x).astype(bool) if s in marks else np.zeros(y - x, bool) for s, x, y in shares]
+        if elsewhere:
+            bad |= np.concatenate(elsewhere)[np.cumsum(new) - 1]
         start = at[order[bad]]
         np.add.at(gone, start, 1)
         np.add.at(gone, start + b.window, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
-def _rebuild(shares: int, window: int, report: bool):
+def _rebuild(bits: int, window: int, report: bool):
     def run(key: tuple, docs: pa.Table, marks: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({})
         b = Block(docs, window)
-        gone = _removed(b, marks.filter(marks["hits"].is_valid()), marks.filter(marks["late"].is_valid()), shares)
+        gone = _removed(b, marks.filter(marks["hits"].is_valid()), marks.filter(marks["late"].is_valid()), bits)
         data, starts, ends = b.words.data.tobytes(), b.words.starts, b.words.ends
         total = np.concatenate([[0], np.cumsum(gone)])
         removed = total[b.words.at[1:]] - total[b.words.at[:-1]]
@@ -267,19 +248,20 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, id: str = "doc_id", text:
         raise ValueError("window must be even")
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = blocks_for(docs, text)
-    shares = max(1, blocks * 2)  # a block of text has about as many words as a share has keys
+    blocks = blocks_for(docs, text, BLOCK)
+    bits = blocks.bit_length()  # a block of text has about as many words as a share has keys
+    by_block, by_share = tasks(blocks), tasks(1 << bits)
     names = [id] if report else [c for c in docs.columns if c != text]
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("rest"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks).cast("long"))).repartition(blocks, "block")
-    by_block = rows.groupBy("block")
-    probes = by_block.applyInArrow(_probes(shares, window), "block long, share long, keys binary, anchors binary")
-    hits = probes.repartition(shares, "share").groupBy("share").applyInArrow(_hits, "block long, share long, hits binary")
-    wins = by_block.cogroup(hits.repartition(blocks, "block").groupBy("block")).applyInArrow(_windows(shares, window), "block long, share long, win binary, ids binary, starts binary")
-    late = wins.repartition(shares, "share").groupBy("share").applyInArrow(_later, "block long, late binary")
-    marks = hits.select("block", "share", "hits", F.lit(None).cast("binary").alias("late")).unionByName(late.select("block", F.lit(None).cast("long").alias("share"), F.lit(None).cast("binary").alias("hits"), "late"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks).cast("long"))).repartition(by_block, "block")
+    grouped = rows.groupBy("block")
+    hits = grouped.applyInArrow(_probes(bits, window), PROBES).repartition(by_share, "share").groupBy("share").applyInArrow(_hits, HITS)
+    wins = grouped.cogroup(hits.repartition(by_block, "block").groupBy("block")).applyInArrow(_windows(bits, window), WINDOWS)
+    late = wins.repartition(by_share, "share").groupBy("share").applyInArrow(_later, LATE)
+    nothing = F.lit(None).cast("binary")
+    marks = hits.select("block", "share", "hits", nothing.alias("late")).unionByName(late.select("block", "share", nothing.alias("hits"), "late"))
     out = T.StructType([rows.schema["rest"], *T._parse_datatype_string("n_words long, n_removed long, out string").fields])
-    return by_block.cogroup(marks.repartition(blocks, "block").groupBy("block")).applyInArrow(_rebuild(shares, window, report), out)
+    return grouped.cogroup(marks.repartition(by_block, "block").groupBy("block")).applyInArrow(_rebuild(bits, window, report), out)
 
 
 def report(docs: DataFrame) -> DataFrame:
