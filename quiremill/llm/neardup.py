@@ -4,6 +4,7 @@ Two small collections of m half-bands are computed, each half-band a hash of `ro
 (i, j) of one half-band from either collection, so that m*m tables cost only 2*m*rows minhashes. Two documents of
 similarity t share no key with probability at most 2 * (1 - t**rows)**m; m is chosen for that to stay below MISS.
 
+Shingles are hashes while candidates are sought; a link is confirmed on the words themselves, by their bytes.
 Texts with one set of shingles fall together first (a grouped 128-bit sum over the whole set). Half-bands that nothing
 else shares are dropped before keys are formed. In each table entry every member is confirmed against the smallest
 member; entries left with several components then compare all pairs of members from different components, in cells of
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, only, regroup, small_batches
 from .components import components
-from .words import Words, grams, mix, whole
+from .words import Words, coded_runs, grams, mix, whole
 
 ROWS = 2
 MISS = 1e-4
@@ -116,20 +117,31 @@ def _signatures(k: int, m: int, rows: int):
     return run
 
 
+def linked(u: pa.Array, v: pa.Array, k: int, share: Fraction, lower: bool = True) -> np.ndarray:
+    """Which pairs of texts have shingle sets that reach the share. Shingles are compared by their words' bytes."""
+    n = len(u)
+    w = Words(pa.concat_arrays([u, v]), lower=lower)
+    code, counts = w.coded(), w.counts()
+    ok = whole(w.rows(), k)
+    value, row = coded_runs(code, k)[ok], w.rows()[: len(ok)][ok].astype(np.int64)
+    distinct, value = np.unique(value, return_inverse=True)
+    size = max(1, len(distinct))
+    a, b = np.unique(row[row < n] * size + value[row < n]), np.unique((row[row >= n] - n) * size + value[row >= n])
+    inter = np.bincount(np.intersect1d(a, b, assume_unique=True) // size, minlength=n)
+    union = np.bincount(a // size, minlength=n) + np.bincount(b // size, minlength=n) - inter
+    good = (union > 0) & (share.denominator * inter >= share.numerator * union)
+    for i in np.flatnonzero((counts[:n] == counts[n:]) & (counts[:n] > 0) & (counts[:n] < k)):  # whole short texts
+        good[i] = (code[w.at[i] : w.at[i + 1]] == code[w.at[n + i] : w.at[n + i + 1]]).all()
+    return good
+
+
 def _confirm(k: int, share: Fraction):
-    """Of candidate pairs with both texts, those whose sets reach the share."""
+    """Of candidate pairs with both texts, those that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in regroup(batches):
-            (x, x_at), (y, y_at) = shingle_sets(b["u_text"], k), shingle_sets(b["v_text"], k)
-            good = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                p, q = x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]]
-                both = np.sort(np.concatenate([p, q]))
-                inter = int((both[1:] == both[:-1]).sum())
-                union = len(p) + len(q) - inter
-                good[i] = union > 0 and share.denominator * inter >= share.numerator * union
-            yield pa.RecordBatch.from_arrays([b["u"].filter(pa.array(good)), b["v"].filter(pa.array(good))], names=["u", "v"])
+            good = pa.array(linked(b["u_text"], b["v_text"], k, share))
+            yield pa.RecordBatch.from_arrays([b["u"].filter(good), b["v"].filter(good)], names=["u", "v"])
 
     return run
 
