@@ -1,16 +1,19 @@
 """BPE encoding and decoding with the tokenizers library, exact, for texts of any length.
 
-A batch's texts are cut at bytes where that cannot change a token (see cuts()); each distinct piece is encoded once and
-its ids are gathered by index. A pre-token of more than LONG characters (text that the tokenizer cannot split) is
-encoded by tree concatenation: its leaves are encoded as rows of their own, so by different tasks, and at each join a
-window that grows to both sides is encoded anew until it agrees with either half in a whole token: the last one taken
-over from the left half, and the first one from the right half.
+Texts of more than LEAF bytes are encoded by tree concatenation: they are cut into halves until these are short, wherever
+that falls, all halves of a batch are encoded side by side, and around each join a window that grows to both sides is
+encoded anew until it agrees with either half in whole pieces. Pieces end where a cut cannot change a token (see cuts());
+each distinct piece of a batch is encoded once and its ids are gathered by index.
 
-Why one token on each side is enough: a sequence of BPE tokens is the encoding of its text if and only if each two
-neighbours are the encoding of theirs. After a join each two neighbours come from one half or from the window.
+A pre-token of more than LONG characters (text that the tokenizer cannot split, so that it is one piece) has its leaves
+encoded as rows of their own, by different tasks. There windows agree by tokens: the last one taken over from the left
+half, and the first one from the right half. Why one token on each side is enough: a sequence of BPE tokens is the
+encoding of its text if and only if each two neighbours are the encoding of theirs. After a join each two neighbours come
+from one half or from the window.
 
 Defined results: a null text is empty and has no ids. The special tokens' strings in a text are those tokens, as the
-library has it by default. Repeated rows are encoded each. Null ids of rows are kept. Other columns are never read.
+library has it by default; such a text is encoded in one call. Repeated rows are encoded each. Null ids of rows are kept.
+Other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ from .common import only, regroup, small_batches
 from .words import text_bytes
 
 #: Characters of a pre-token from which on its leaves are encoded apart, and of each leaf.
-LONG = 1 << 14
-#: First window on either side of a join, in characters.
+LONG = 1 << 12
+#: Bytes of a half that is not cut any further.
+LEAF = 1 << 11
+#: First window on either side of a join, in characters; in pieces, where the text has pieces.
 WINDOW = 64
+PIECES = 2
 #: Distinct pieces that a worker remembers from batch to batch.
 KEEP = 600_000
 #: Pieces that are encoded in one call.
@@ -199,6 +205,41 @@ class Encoder:
             self.edge = np.concatenate([self.edge, self.edge[-1] + np.cumsum(n)])
         return every, begin, size
 
+    def joined(self, data: np.ndarray, edges: np.ndarray, seams: np.ndarray, rows: np.ndarray, every: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces' ids with those around the joins of halves encoded anew.
+
+        seams: pieces that begin a right half, ascending; rows: pieces that begin a row. begin, size: of pieces in every.
+        """
+        row = np.searchsorted(rows, seams, side="right")
+        first, last = rows[row - 1], rows[row]
+        reach = np.full(len(seams), PIECES)
+        open_ = np.arange(len(seams))
+        found: list[tuple[int, int, np.ndarray]] = []
+        while len(open_):
+            lo, hi = np.maximum(seams[open_] - reach[open_], first[open_]), np.minimum(seams[open_] + reach[open_], last[open_])
+            new = np.append(True, lo[1:] >= np.maximum.accumulate(hi)[:-1])  # windows that meet are one window
+            group = np.cumsum(new) - 1
+            lo, hi, head, tail = lo[new], np.maximum.reduceat(hi, np.flatnonzero(new)), first[open_][new], last[open_][new]
+            flat, at = self.many([data[edges[a] : edges[b]].tobytes().decode() for a, b in zip(lo, hi)])
+            again = np.zeros(len(lo), bool)
+            for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
+                w = flat[at[i] : at[i + 1]]
+                x, y = every[begin[a] : begin[a] + size[a]], every[begin[b - 1] : begin[b - 1] + size[b - 1]]
+                # at a row's edge there is no half to agree with
+                left = a == head[i] or (0 < len(x) <= len(w) and (w[: len(x)] == x).all())
+                right = b == tail[i] or (0 < len(y) <= len(w) and (w[len(w) - len(y) :] == y).all())
+                again[i] = not (left and right)
+            redo = np.isin(head, head[again])  # all windows of such a row: those that grow may meet others
+            found += [(int(lo[i]), int(hi[i]), flat[at[i] : at[i + 1]]) for i in np.flatnonzero(~redo)]
+            reach[open_[again[group]]] *= 2
+            open_ = open_[redo[group]]
+        begin, size, base = begin.copy(), size.copy(), len(every)
+        for a, b, w in found:
+            begin[a], size[a : b] = base, 0
+            size[a] = len(w)
+            base += len(w)
+        return np.concatenate([every, *[w for _, _, w in found]]), begin, size
+
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows and the n+1 row edges."""
         if isinstance(texts, pa.ChunkedArray):
@@ -210,15 +251,18 @@ class Encoder:
             special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         easy = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         data, off = text_bytes(easy)
-        cut = np.flatnonzero(cuts(data, off))
+        seams = halves(data, off)
+        cut = np.flatnonzero(cuts(data, np.union1d(off, seams)))
         edges = np.append(cut, len(data)).astype(np.int32)
         pieces = pa.StringArray.from_buffers(len(cut), pa.py_buffer(edges), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
         index = coded.indices.to_numpy()
         often = np.bincount(index, minlength=len(coded.dictionary)) > 1
         every, begin, size = self.distinct(coded.dictionary, often)
-        size = size[index]
-        flat = gather(every, begin[index], size)
+        begin, size = begin[index], size[index]
+        if len(seams):
+            every, begin, size = self.joined(data, edges, np.searchsorted(cut, seams), np.searchsorted(cut, off), every, begin, size)
+        flat = gather(every, begin, size)
         row = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(cut, off)]
         if special.any():
             parts = [encode_one(self.t, texts[i].as_py()).astype(self.dtype) if special[i] else flat[row[i] : row[i + 1]] for i in range(n)]
@@ -268,6 +312,20 @@ def cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
+def halves(data: np.ndarray, off: np.ndarray, leaf: int = 0) -> np.ndarray:
+    """Bytes before which the rows of more than `leaf` bytes are cut into halves, and these again; whole characters."""
+    out, size = [], np.diff(off)
+    for i in np.flatnonzero(size > (leaf or LEAF)):
+        parts = 1 << int(-(-int(size[i]) // (leaf or LEAF)) - 1).bit_length()
+        out.append(off[i] + size[i] * np.arange(1, parts, dtype=np.int64) // parts)
+    if not out:
+        return np.zeros(0, np.int64)
+    at = np.concatenate(out)
+    for _ in range(3):  # on to a character's first byte
+        at = at + ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
+    return np.setdiff1d(at, off)
+
+
 def gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[begin : begin + size] of every run, one after another."""
     total = int(size.sum())
