@@ -4,8 +4,9 @@ Each distinct payload of a task's rows is stored once, as an 8-bit grey PNG 64 s
 stored bytes as its member's name. Rows carry digest, shard, offset and length and never the payload. Shards are written
 whole by one task, named by their task, and moved into place, so that a second attempt ends in the same bytes.
 
-features() reads only the first 33 bytes of each payload; verified() reads payloads whole. Rows of one shard follow one
-another in the manifest, so reading needs no shuffle and each stored payload is read once.
+features() fills the metadata columns from the first 33 bytes of each payload; verified() then reads payloads whole, for
+their digests, and holds them to these columns. Rows of one shard follow one another in the manifest, so reading needs
+no shuffle and each stored payload is read whole once.
 
 Defined results: a null or empty text is a payload of 64 zero bytes. Equal texts have equal payloads and stored bytes,
 within one shard one copy. Repeated rows and null ids are kept. Other columns are never read.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, only, regroup, small_batches
@@ -79,10 +81,10 @@ def _member(name: str, raw: bytes) -> bytes:
 class Shards:
     """Writes tar shards of one task, each payload once a shard."""
 
-    def __init__(self, uri: str, task: int) -> None:
+    def __init__(self, uri: str, task: int, most: int = SHARD_BYTES) -> None:
         self.fs, self.base = pafs.FileSystem.from_uri(uri)
         self.fs.create_dir(self.base, recursive=True)
-        self.task, self.seq, self.out = task, 0, None
+        self.task, self.seq, self.out, self.most = task, 0, None, most
 
     def add(self, media: bytes) -> tuple[bytes, str, int, int]:
         """digest, shard, offset and length of the stored bytes."""
@@ -96,7 +98,7 @@ class Shards:
             self.seen[digest] = self.size + tarfile.BLOCKSIZE
             self.size += len(raw)
         found = digest, self.name, self.seen[digest], len(media)
-        if self.size >= SHARD_BYTES:
+        if self.size >= self.most:
             self.close()
         return found
 
@@ -108,11 +110,11 @@ class Shards:
             self.out, self.seq = None, self.seq + 1
 
 
-def _stored(uri: str, kind: pa.DataType):
+def _stored(uri: str, kind: pa.DataType, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shards = Shards(uri, TaskContext.get().partitionId())
+        shards = Shards(uri, TaskContext.get().partitionId(), most)
         for b in regroup(batches):
             rows = []
             for text in b["text"].to_pylist():
@@ -125,14 +127,14 @@ def _stored(uri: str, kind: pa.DataType):
     return run
 
 
-def store(docs: DataFrame, *, id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, str]:
+def store(docs: DataFrame, *, id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, scratch: Scratch | None = None) -> tuple[DataFrame, str]:
     """Store every text's payload; returns the manifest (id, n_bytes, digest, shard, at, length) and the shards' folder."""
     small_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "media")
     rows = only(docs, id=id, text=text)
     kind = rows.schema["id"].dataType
     uri = scratch.path("shards")
-    return scratch.save(rows.mapInArrow(_stored(uri, to_arrow_type(kind)), f"id {kind.simpleString()}, n_bytes long, digest binary, shard string, at long, length long"), "manifest"), uri
+    return scratch.save(rows.mapInArrow(_stored(uri, to_arrow_type(kind), shard_bytes), f"id {kind.simpleString()}, n_bytes long, digest binary, shard string, at long, length long"), "manifest"), uri
 
 
 def _ranges(uri: str):
@@ -158,29 +160,33 @@ def features(manifest: DataFrame, uri: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _ranges(uri)
         for b in batches:
-            heads = [png_header(read(s, a, HEADER)) for s, a in zip(b["shard"].to_pylist(), b["at"].to_pylist())]
+            heads, last, head = [], None, (0, 0, 0)
+            for at in zip(b["shard"].to_pylist(), b["at"].to_pylist()):
+                if at != last:  # copies often follow one another
+                    last, head = at, png_header(read(*at, HEADER))
+                heads.append(head)
             cols = list(zip(*heads)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, pa.int32()) for c in cols]], names=[*b.schema.names, "width", "height", "bits"])
 
-    from pyspark.sql import types as T
-
     return manifest.mapInArrow(run, T.StructType([*manifest.schema.fields, *T._parse_datatype_string("width int, height int, bits int").fields]))
 
 
 def verified(manifest: DataFrame, uri: str) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from stored bytes."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from stored bytes.
+
+    manifest: as features() gives it; a payload that does not fit its columns, or its digest, is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _ranges(uri)
         last: dict[tuple[str, int], tuple] = {}
         for b in batches:
             rows = []
-            for shard, at, length, digest in zip(*(b[c].to_pylist() for c in ("shard", "at", "length", "digest"))):
+            for shard, at, length, digest, width, height, bits in zip(*(b[c].to_pylist() for c in ("shard", "at", "length", "digest", "width", "height", "bits"))):
                 if (shard, at) not in last:
                     media = read(shard, at, length)
-                    width, height, bits = png_header(media[:HEADER])
                     raw = from_png(media)
-                    if hashlib.sha256(media).digest() != digest or len(raw) != width * height:
+                    if hashlib.sha256(media).digest() != digest or len(raw) != width * height * bits // 8:
                         raise ValueError(f"{shard} at {at}: stored bytes do not match their digest")
                     if len(last) > 50_000:
                         last.clear()
@@ -195,8 +201,9 @@ def verified(manifest: DataFrame, uri: str) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Store every payload, then read it back."""
-    return verified(*store(docs))
+    """Store every payload, fill its metadata columns from its header, then read it back whole."""
+    manifest, uri = store(docs)
+    return verified(features(manifest, uri), uri)
 
 
 def members(raw: bytes) -> list[tuple[str, bytes]]:
