@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, only, regroup, small_batches
+from .common import Scratch, only, regroup, small_batches, tasks
 
 LENGTH = 4096
 END = 2
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, end: int = END, id
     kind = rows.schema["id"].dataType
     ids = scratch.save(rows.mapInArrow(_encoded(path, end), f"id {kind.simpleString()}, key long, ids binary"), "ids")
     total = ids.agg(F.sum(F.octet_length("ids").cast("long") + 16)).first()[0] or 0
-    parts = max(1, -(-total // PART_BYTES))
+    parts = tasks(-(-total // PART_BYTES))
     # copies share a key: the id, and for repeated ids the ids' hash, split them
     tie = F.xxhash64("ids")
     curve = ids.repartitionByRange(parts, "key", "id", tie).sortWithinPartitions("key", "id", tie)

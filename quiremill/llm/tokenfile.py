@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import Scratch, blocks_for, only, regroup, small_batches
+from .common import Scratch, blocks_for, only, regroup, small_batches, tasks
 
 MAGIC = b"QMIDS\0\0\1"
 #: Ids after which a task begins another shard.
 SHARD_IDS = 1 << 23
+#: Writing tasks whose shards are summed together.
+RUN = 1024
 _LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
@@ -141,7 +143,7 @@ def write(docs: DataFrame, path: str, *, end: int = 0, id: str = "doc_id", text:
     scratch = scratch or Scratch(spark, "tokenfile")
     rows = only(docs, id=id, text=text).withColumn("id", F.col("id").cast("long"))
     tie = F.xxhash64("text")  # an id that many rows share may still be split
-    placed = rows.repartitionByRange(blocks_for(docs, text), "id", tie).sortWithinPartitions("id", tie)
+    placed = rows.repartitionByRange(tasks(blocks_for(docs, text)), "id", tie).sortWithinPartitions("id", tie)
     uri = scratch.path("shards")
     return scratch.save(placed.mapInArrow(_written(path, end, uri), "task long, seq long, name string, n_ids long"), "manifest"), uri
 
@@ -158,10 +160,19 @@ def read(manifest: DataFrame, uri: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(base + ends - counts, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row a shard: a running sum over a row for each 2**23 ids is small for one task
-    before = Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return shards.repartition(max(1, manifest.count()), "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based(manifest).repartition(tasks(manifest.count()), "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def based(manifest: DataFrame) -> DataFrame:
+    """The manifest with base, the ids of all shards before: a running sum within each run of tasks, and one over the runs."""
+    run = F.floor(F.col("task") / RUN).cast("long")
+    rows = manifest.withColumn("run", run)
+    runs = rows.groupBy("run").agg(F.sum("n_ids").alias("ids"))
+    # a row for each RUN tasks: some thousands where shards are millions
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("run_base"))
+    within = Window.partitionBy("run").orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(runs, "run").withColumn("base", F.col("run_base") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).drop("run", "run_base")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
