@@ -55,8 +55,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.report(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(_documents(spark, sf_dir))
+def op10_secret_scan(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """ledger: a folder whose ledger is read and appended to; without one, a new ledger for this run."""
+    return secrets.report(_documents(spark, sf_dir), ledger=ledger)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,8 +1,10 @@
 """Secret scans over an incremental blob ledger, in DataFrame expressions only.
 
-Each version of a text is a blob under its SHA-256. A ledger holds, for every (blob, rule version) scanned so far, the
-spans found. A scan looks up which blobs the ledger lacks, scans one copy of each, adds them, and joins the findings
-back to every row (path) that has the blob. Without a ledger everything is unseen.
+Each version of a text is a blob under its SHA-256. A ledger is a table in a folder that holds, for every (blob, rule
+version) scanned so far, the spans found. A scan reads it, looks up which blobs it lacks, scans one copy of each, appends
+them to it, and joins the findings back to every row (path) that has the blob. An empty or missing folder is a ledger
+that has seen nothing; without a folder, a new one serves this scan alone. Every scan appends one folder of files, which
+appears whole or not at all; blobs that two scans added at once count once.
 
 Spans are in code points, end exclusive. Per kind: matches from the left, not overlapping, then those too short dropped.
 Defined results: a null text is empty; a null id is kept as its row's id; repeated rows each get their findings; nothing
@@ -11,9 +13,10 @@ found gives counts of 0 and empty strings. Other columns are never read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, only
@@ -86,57 +89,84 @@ def version_of(rules: tuple[Rule, ...]) -> str:
     return f"{VERSION}-{hashlib.sha256(repr(rules).encode()).hexdigest()[:12]}"
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, *, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, blob, spans) of every row, and the ledger rows (blob, rules, spans) that this scan adds.
+LEDGER = "blob binary, rules string, spans array<struct<start:int,ord:int,end:int>>"
+
+
+class Ledger:
+    """The table of scanned blobs in a folder; see LEDGER for its columns."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def read(self, version: str) -> DataFrame | None:
+        """blob and spans of all blobs that were scanned under a rule version; None if no scan was ever added."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/scan=*")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+            return None
+        rows = self.spark.read.schema(LEDGER).parquet(f"{self.path}/scan=*")
+        return rows.where(F.col("rules") == version).dropDuplicates(["blob"]).select("blob", "spans")
+
+    def append(self, found: DataFrame, version: str) -> DataFrame:
+        """Add blob and spans under a rule version; the rows added, as read back."""
+        at = f"{self.path}/scan={uuid.uuid4().hex}"
+        found.select("blob", F.lit(version).alias("rules"), "spans").write.parquet(at)
+        return self.spark.read.schema(LEDGER).parquet(at)
+
+
+def scan(docs: DataFrame, ledger: str | None = None, *, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, blob, spans) of every row; (blob, spans) of every blob with spans; and the ledger rows that this scan added.
 
     One row of each unseen blob, that with the smallest id, is scanned; rows with one id and text are one version.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "secrets")
+    spark = docs.sparkSession
+    table = Ledger(spark, ledger or (scratch or Scratch(spark, "secrets")).path("ledger"))
     version = version_of(rules)
+    known = table.read(version)
     rows = only(docs, id=id, text=text).select("id", F.coalesce("text", F.lit("")).alias("text"))
     paths = rows.select("id", F.unhex(F.sha2("text", 256)).alias("blob"))
     owners = paths.groupBy("blob").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("o"))
-    if ledger is not None:
-        owners = owners.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
+    if known is not None:
+        owners = owners.join(known.select("blob"), "blob", "left_anti")
     owners = owners.select("blob", F.col("o.id").alias("id"))
     unseen = rows.withColumn("blob", F.unhex(F.sha2("text", 256))).join(owners.withColumnsRenamed({"blob": "b", "id": "i"}), F.col("blob").eqNullSafe(F.col("b")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
     found = unseen.select("blob", found_in(F.col("text"), rules).alias("spans"))
-    added = scratch.save(found.dropDuplicates(["blob"]).select("blob", F.lit(version).alias("rules"), "spans"), "found")
-    seen = added if ledger is None else added.unionByName(ledger.where(F.col("rules") == version).select("blob", "rules", "spans"))
-    return paths.join(seen.where(F.size("spans") > 0).select("blob", "spans"), "blob", "left"), added
+    added = table.append(found.dropDuplicates(["blob"]), version)
+    seen = added.select("blob", "spans") if known is None else added.select("blob", "spans").unionByName(known)
+    hits = seen.where(F.size("spans") > 0)
+    return paths.join(hits, "blob", "left"), hits, added
 
 
 def of_kind(order: int):
     return lambda s: s["ord"] == order
 
 
-def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
     """Counts and spans of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows, _ = scan(docs, rules=rules)
+    rows, _, _ = scan(docs, ledger, rules=rules)
     spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<start:int,ord:int,end:int>>"))
     count = [F.size(F.filter(spans, of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     base = joined(F.filter(spans, lambda s: s["ord"] < len(BASE)), rules)
     return rows.select(F.col("id").alias("doc_id"), *count, F.sha2(base, 256).alias("base_sha256"), joined(spans, rules).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", *, id: str = "doc_id", ledger: DataFrame | None = None) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", *, id: str = "doc_id", ledger: str | None = None) -> DataFrame:
     """The documents with each span of a secret replaced by [kind]; overlapping spans become one, named by the first.
 
-    The spans are those of scan(): one copy of each text that the ledger lacks is scanned. A null text stays null.
+    The spans are those of scan(): one copy of each text that the ledger lacks is scanned. A null text stays null. The
+    columns stay as they are, whatever their names.
     """
-    _, seen = scan(docs, ledger, id=id, text=text, rules=rules)
-    if ledger is not None:
-        seen = seen.unionByName(ledger.where(F.col("rules") == version_of(rules)).select("blob", "rules", "spans"))
-    hits = seen.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    _, hits, _ = scan(docs, ledger, id=id, text=text, rules=rules)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in rules])
-    t = F.col(f"`{text}`")
+    t = F.col("row").getField(text)
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
         put = F.concat(acc["done"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(kinds, s["ord"] + 1))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, put).otherwise(acc["done"]).alias("done"))
 
-    merged = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc["done"], F.substring(t, acc["at"] + 1, F.length(t))))
-    rows = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))).join(hits, "__blob", "left")
-    return rows.withColumn(text, F.when(F.size("__spans") > 0, merged).otherwise(t)).select(*[f"`{c}`" for c in docs.columns])
+    merged = F.aggregate(F.col("spans"), start, step, lambda acc: F.concat(acc["done"], F.substring(t, acc["at"] + 1, F.length(t))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("blob", F.unhex(F.sha2(F.coalesce(t, F.lit("")), 256))).join(hits, "blob", "left")
+    cut = F.when(F.size("spans") > 0, merged).otherwise(t)
+    return rows.select(*[cut.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
