@@ -1,14 +1,15 @@
 """Quality classifier: zstandard dictionaries of good and bad labelled text; compressed sizes become a calibrated score.
 
 A text is cut into pieces of PIECE bytes, each compressed under both dictionaries, so that a long text cannot serve as
-its own dictionary. The score is a logistic function, fitted on other labelled rows than those in the dictionaries, of
-the normalised difference of the two compressed sizes and of each size against the text's own. A short text says little,
-so these are drawn towards their means there, and the text's length has a weight as well. The sample holds both labels
+its own dictionary. The difference of the two compressed sizes, normalised by the text's own size, is all that the score
+looks at: a logistic function of it is fitted on other labelled rows than those in the dictionaries. A short text says
+little, so its difference is drawn towards the mean difference, half way at HALF bytes. The sample holds both labels
 alike; the fit weighs them by their shares among all labels, so that the score is a probability. Whole texts are scored.
 
 Defined results: a null or empty text scores the share of label 1 among all labels; with labels of one class only, every
-text scores that share; without any labelled row, 0.5. A document labelled twice counts with its lower label. Labels of
-unknown documents, null labels and null ids are not learnt from. Other columns are never read.
+text scores that share; without any labelled row, 0.5. A document labelled twice counts with its lower label, one with
+several texts with the first of them in binary order. Labels of unknown documents, null labels and null ids are not
+learnt from. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,19 +20,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only, small_batches
 
-PIECE = 256
+PIECE = 512
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
-#: The bounded training sample: so many labelled rows of each class, texts above MAX_TEXT characters left out.
+#: The bounded training sample, which the driver holds: so many labelled rows of each class, texts above MAX_TEXT
+#: characters left out, and so many bytes of text of each class.
 PER_CLASS = 3000
 MAX_TEXT = 1 << 16
-#: Bytes of text at which its own figures and their means weigh the same.
-HALF = 100
+MAX_BYTES = 32 << 20
+#: Bytes of text at which its own difference and the mean difference weigh the same.
+HALF = 20
 
 
 def pieces(text: str | None) -> list[bytes]:
@@ -66,9 +69,9 @@ class Sizer:
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: list[float]  # intercept, then one for each feature
+    weights: list[float]  # intercept and slope
     base: float
-    center: tuple[float, ...] = ()
+    center: float = 0.0
 
     def sizers(self) -> tuple[Sizer, Sizer]:
         return Sizer(self.good), Sizer(self.bad)
@@ -77,8 +80,7 @@ class QualityModel:
         parts = pieces(text)
         if not parts or not self.weights:
             return self.base
-        x = drawn(features(parts, *sizers), self.center, sum(map(len, parts)))
-        z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x))
+        z = self.weights[0] + self.weights[1] * drawn(*difference(parts, *sizers), self.center)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     def column(self, text: Column) -> Column:
@@ -94,14 +96,15 @@ class QualityModel:
         return quality(text)
 
 
-def features(parts: list[bytes], good: Sizer, bad: Sizer) -> tuple[float, float, float]:
-    g, b, n = good(parts), bad(parts), sum(map(len, parts))
-    return (b - g) / max(1, b + g), g / n, b / n
+def difference(parts: list[bytes], good: Sizer, bad: Sizer) -> tuple[float, int]:
+    """The normalised difference of the compressed sizes, higher for good text, and the text's size."""
+    n = sum(map(len, parts))
+    return (bad(parts) - good(parts)) / n, n
 
 
-def drawn(x: tuple[float, ...], center: tuple[float, ...], size: int) -> tuple[float, ...]:
-    """Features as distances from their means, less for short texts, and how short the text is."""
-    return (*[(v - c) * size / (size + HALF) for v, c in zip(x, center)], 1 / (size + 20) ** 0.5)
+def drawn(x: float, size: int, center: float) -> float:
+    """A difference's distance from the mean one, less for short texts."""
+    return (x - center) * size / (size + HALF)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> list[float]:
@@ -126,17 +129,17 @@ def fit_texts(good: list[str], bad: list[str], share: float | None = None) -> Qu
         return QualityModel(b"", b"", [], base)
     dicts = [dictionary([p for t in texts[::2] for p in pieces(t)]) for texts in (good, bad)]
     sizers = Sizer(dicts[0]), Sizer(dicts[1])
-    rows = [(features(p, *sizers), sum(map(len, p)), y) for y, texts in ((1, good), (0, bad)) for t in (texts[1::2] or texts) if (p := pieces(t))]
+    rows = [(*difference(p, *sizers), y) for y, texts in ((1, good), (0, bad)) for t in (texts[1::2] or texts) if (p := pieces(t))]
     y = np.array([r[2] for r in rows], float)
     if len(set(y)) < 2:
         return QualityModel(*dicts, [], base)
-    center = tuple(float(v) for v in np.array([r[0] for r in rows]).mean(0))
+    center = float(np.mean([r[0] for r in rows]))
     weight = np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean()))
-    return QualityModel(*dicts, logistic(np.array([drawn(x, center, n) for x, n, _ in rows]), y, weight), base, center)
+    return QualityModel(*dicts, logistic(np.array([[drawn(x, n, center)] for x, n, _ in rows]), y, weight), base, center)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", train: Column | None = None, per_class: int = PER_CLASS, max_text: int = MAX_TEXT) -> QualityModel:
-    """Fit on a bounded sample: at most per_class rows of either label, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality", train: Column | None = None, per_class: int = PER_CLASS, max_text: int = MAX_TEXT, max_bytes: int = MAX_BYTES) -> QualityModel:
+    """Fit on a bounded sample: at most per_class documents of either label, by a hash of the id, and max_bytes of their texts.
 
     train: which rows of labels (by their column id) may be learnt from.
     """
@@ -148,8 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "
     order = F.xxhash64(F.lit("sample"), F.col("id"))
     picked = known.where("label = 1").orderBy(order, "id").limit(per_class).unionByName(known.where("label = 0").orderBy(order, "id").limit(per_class))
     # at most 2 * per_class ids: the bound that the broadcast needs
-    rows = only(docs, id=id, text=text).join(F.broadcast(picked), "id").where(F.length("text") <= max_text).select("id", "label", "text").collect()
-    rows = sorted({(r.id, r.label, r.text) for r in rows}, key=lambda r: (hash_id(r[0]), r))
+    texts = only(docs, id=id, text=text).join(F.broadcast(picked), "id").where(F.length("text") <= max_text)
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))  # one text of each id, however often it occurs
+    held = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.withColumn("held", held).where(F.col("held") <= max_bytes).select("id", "label", "text").collect()
+    rows = sorted((tuple(r) for r in rows), key=lambda r: (hash_id(r[0]), r))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else None
     return fit_texts([t for _, y, t in rows if y == 1], [t for _, y, t in rows if y == 0], share)
