@@ -81,6 +81,56 @@ def test_quality(spark, table):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
 
 
+def test_quality_against_a_plain_version(spark, sf):
+    """Scores computed anew: dictionaries and fit from the labelled rows by hand, sizes by one call a piece."""
+    import numpy as np
+    import zstandard
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    got = by_id(queries.op1_quality_classifier(spark, sf))
+    rows = sorted((zlib.crc32(f"order {i}".encode()), i, y) for i, y in labels.items())
+    cut = lambda t: [t.encode()[i : i + 512] for i in range(0, len(t.encode()), 512)]
+    texts = {y: [docs[i] for _, i, z in rows if z == y] for y in (0, 1)}
+
+    def size(raw):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return lambda t: sum(len(c.compress(p)) - len(c.compress(b"")) for p in cut(t))
+
+    good, bad = (size(quality.dictionary([p for t in texts[y][::2] for p in cut(t)])) for y in (1, 0))
+    diff = lambda t: (bad(t) - good(t)) / len(t.encode())
+    cal = [(diff(t), len(t.encode()), y) for y in (1, 0) for t in texts[y][1::2] if t]
+    center, share = np.mean([x for x, _, _ in cal]), sum(labels.values()) / len(labels)
+    x, y = np.array([(d - center) * n / (n + 20) for d, n, _ in cal]), np.array([c[2] for c in cal], float)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    m, s = x.mean(), x.std() + 1e-9
+    a, b = 0.0, 0.0
+    for _ in range(200_000):  # plain gradient steps on the same loss
+        p = 1 / (1 + np.exp(-(a + b * (x - m) / s)))
+        ga, gb = (weight * (y - p)).sum() - 1e-3 * a, (weight * (y - p) * (x - m) / s).sum() - 1e-3 * b
+        a, b = a + 0.5 * ga / len(x), b + 0.5 * gb / len(x)
+        if max(abs(ga), abs(gb)) < 1e-7:
+            break
+    for i, t in docs.items():
+        if t:
+            z = a + b * ((diff(t) - center) * len(t.encode()) / (len(t.encode()) + 20) - m) / s
+            assert math.isclose(got[i].score, 1 / (1 + math.exp(-z)), rel_tol=1e-3, abs_tol=1e-3), i
+
+
+def test_quality_repeats_and_nulls(spark):
+    """Repeated labels count with the lower one, null labels and ids not at all, a repeated document once."""
+    docs = spark.createDataFrame([(1, "good words here"), (1, "good words here"), (2, "bad bad bad"), (None, "good"), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (2, None), (None, 1), (9, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.base == 2 / 3  # 1 and 9 against 2
+    rows = quality.classify(docs, labels).collect()
+    assert len(rows) == 6 and {r.score for r in rows if r.doc_id in (3, 4)} == {r.score for r in rows if r.doc_id == 3}
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1
+    many = docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id")
+    assert quality.fit(many.unionByName(docs), labels).weights == model.weights
+    assert quality.fit(docs, labels, max_bytes=3).good == b""
+
+
 def test_quality_held_out_accuracy(spark):
     at = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
