@@ -37,6 +37,16 @@ def undecodable_count(s: Column) -> Column:
     return F.length(s) - F.length(F.regexp_replace(s, UNDECODABLE, ""))
 
 
+def not_blank(s: Column) -> Column:
+    """Holds anything but white space, of any kind that Unicode knows; null is blank."""
+    return F.coalesce(s.rlike(r"(?U)\S"), F.lit(False))
+
+
+def strip(s: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def has_alnum(s: Column) -> Column:
     return s.rlike(r"[\p{L}\p{Nd}]")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import Box
-from ..functions.text import pipe_escape
+from ..functions.text import not_blank, pipe_escape
 from ..sources.tables import PAGE, in_order
 from .layer import row_clusters, row_text
 from .order import center_bands
@@ -136,7 +136,7 @@ def region_markdown(claimed: DataFrame, ordered: DataFrame, tables: DataFrame |
     r = ordered.where("type <> 'PageFurniture'").join(flat, TABLE, "left").join(rows, TABLE, "left")
     r = r.join(tables.select(*TABLE, F.col("markdown").alias("grid")), TABLE, "left") if tables is not None else r.withColumn("grid", F.lit(None).cast("string"))
     md = F.when(F.col("type") == "Title", F.concat(F.lit("## "), "flat")).when(F.col("type") == "Caption", F.concat(F.lit("*"), "flat", F.lit("*"))).otherwise(F.coalesce("grid", "rows"))
-    return r.select(*PAGE, F.col("reading_rank").cast("int").alias("seq"), "y1", md.alias("md")).where(F.trim("md") != "")
+    return r.select(*PAGE, F.col("reading_rank").cast("int").alias("seq"), "y1", md.alias("md")).where(not_blank(F.col("md")))
 
 
 def orphan_blocks(claimed: DataFrame) -> DataFrame:

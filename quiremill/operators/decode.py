@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import PAGE
@@ -21,8 +21,9 @@ def region_types(detected: DataFrame) -> DataFrame:
 
 
 def read_order(lines: DataFrame) -> DataFrame:
-    """Recognised lines by rows of twenty, then from the left."""
-    return lines.orderBy(*PAGE, F.bround(F.col("y1") / 20), "x1")
+    """Recognised lines with line_idx: their place in the page, by rows of twenty, then from the left."""
+    place = Window.partitionBy(*PAGE).orderBy(F.bround(F.col("y1") / 20), "x1", "y1", "text")
+    return lines.withColumn("line_idx", (F.row_number().over(place) - 1).cast("int"))
 
 
 def letterbox(image: np.ndarray, size: int = 1024, fill: int = 114) -> tuple[np.ndarray, float, tuple[int, int]]:

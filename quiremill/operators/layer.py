@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import Box
-from ..functions.text import undecodable_count, word_count
+from ..functions.text import not_blank, strip, undecodable_count, word_count
 from ..sources.tables import PAGE, in_order
 
 
@@ -77,9 +77,9 @@ def layer_quality(words: DataFrame) -> DataFrame:
     """Of each page: kept words, share of characters in words without area, share of undecodable characters."""
     box = Box.of()
     flat = (box.width <= 0) | (box.height <= 0)
-    size = F.length(F.trim("text"))
+    size = F.length(strip(F.col("text")))
     lost, kept = F.sum(F.when(flat, size).otherwise(0)), F.sum(F.when(flat, 0).otherwise(size))
-    return words.where(F.trim("text") != "").groupBy(*PAGE).agg(
+    return words.where(not_blank(F.col("text"))).groupBy(*PAGE).agg(
         F.sum(F.when(flat, 0).otherwise(1)).alias("word_count"),
         F.coalesce(lost / F.nullif(lost + kept, F.lit(0)), F.lit(0.0)).alias("dropped_fraction"),
         F.coalesce(F.sum(undecodable_count(F.col("text"))) / F.nullif(F.sum(F.length("text")), F.lit(0)), F.lit(0.0)).alias("undecodable_fraction"),

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.geometry import Box
 from ..functions.text import leading_number
-from ..sources.tables import PAGE
+from ..sources.tables import PAGE, spare
 
 MIN_GAP = 12.0
 WIDE = 1.3
@@ -26,8 +26,8 @@ def gap_bands(items: DataFrame, idx: str, axis: str = "y", keys: list[str] | Non
     lo, hi = f"{axis}1", f"{axis}2"
     w = Window.partitionBy(*keys).orderBy(lo, idx)
     reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col(lo) > reach + gap, 1).otherwise(0)
-    return items.withColumn("__new", new).withColumn("band", F.sum("__new").over(w).cast("int")).drop("__new")
+    (new,) = spare(items, "new")
+    return items.withColumn(new, F.when(F.col(lo) > reach + gap, 1).otherwise(0)).withColumn("band", F.sum(new).over(w).cast("int")).drop(new)
 
 
 def widest_gap(items: DataFrame, idx: str, axis: str = "y", keys: list[str] | None = None, gap: float = MIN_GAP) -> DataFrame:
@@ -42,22 +42,24 @@ def widest_gap(items: DataFrame, idx: str, axis: str = "y", keys: list[str] | No
 def center_bands(items: DataFrame, idx: str, keys: list[str] | None = None, share: float = 0.8) -> DataFrame:
     """band of every line by centre-y: a new one where centres are more than 0.8 upper-median heights apart."""
     keys = keys or PAGE
-    heights = F.array_sort(F.collect_list(F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))))
-    middle = items.groupBy(*keys).agg(heights.alias("h")).select(*keys, F.element_at("h", F.floor(F.size("h") / 2).cast("int") + 1).alias("mid_h"))
+    group = Window.partitionBy(*keys)
+    heights = F.array_sort(F.collect_list(F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))).over(group))
+    middle = F.element_at(heights, F.floor(F.count("*").over(group) / 2).cast("int") + 1)
     cy = (F.col("y1") + F.col("y2")) / 2
-    w = Window.partitionBy(*keys).orderBy(cy, idx)
-    i = items.join(middle, keys).withColumn("cy", cy)
-    i = i.withColumn("new", F.when(F.col("cy") - F.lag("cy").over(w) > share * F.col("mid_h"), 1).otherwise(0))
-    return i.withColumn("band", F.sum("new").over(w).cast("int")).drop("new", "cy", "mid_h")
+    w = group.orderBy(cy, idx)
+    step, mid, new = spare(items, "step", "mid", "new")
+    i = items.withColumn(step, cy - F.lag(cy).over(w)).withColumn(mid, middle)
+    i = i.withColumn(new, F.when(F.col(step) > share * F.col(mid), 1).otherwise(0))
+    return i.withColumn("band", F.sum(new).over(w).cast("int")).drop(step, mid, new)
 
 
 def masked(regions: DataFrame) -> DataFrame:
     """Regions with masked: wide titles, tables and figures that overlap two others in x, on pages of four or more."""
     page = Window.partitionBy(*PAGE)
-    r = regions.withColumn("n", F.count("*").over(page)).withColumn("wide", F.col("x2") - F.col("x1"))
-    middle = regions.groupBy(*PAGE).agg(F.percentile(F.col("x2") - F.col("x1"), 0.5).alias("mid"))
-    r = r.join(middle, PAGE)
-    some = r.where((F.col("n") >= 4) & F.col("type").isin(*WIDE_TYPES) & (F.col("wide") > WIDE * F.col("mid"))).select(*PAGE, "region_idx", "x1", "x2")
+    wide = F.col("x2") - F.col("x1")
+    n, mid = spare(regions, "n", "mid")
+    r = regions.withColumn(n, F.count("*").over(page)).withColumn(mid, F.percentile(wide, 0.5).over(page))
+    some = r.where((F.col(n) >= 4) & F.col("type").isin(*WIDE_TYPES) & (wide > WIDE * F.col(mid))).select(*PAGE, "region_idx", "x1", "x2")
     a, b = some.alias("a"), regions.select(*PAGE, "region_idx", "x1", "x2").alias("b")
     same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number")) & (F.col("a.region_idx") != F.col("b.region_idx"))
     over = a.join(b, same & (F.least("a.x2", "b.x2") > F.greatest("a.x1", "b.x1"))).groupBy(*[F.col(f"a.{c}").alias(c) for c in (*PAGE, "region_idx")]).agg(F.count("*").alias("k")).where("k >= 2").withColumn("masked", F.lit(True)).drop("k")
@@ -67,11 +69,10 @@ def masked(regions: DataFrame) -> DataFrame:
 def separator_bands(masks: DataFrame) -> DataFrame:
     """band of every region: for flow regions the number of masked ones strictly above its centre, by one window."""
     cy = (F.col("y1") + F.col("y2")) / 2
-    above = Window.partitionBy(*PAGE).orderBy("cy").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    m = masks.withColumn("cy", cy)
+    above = Window.partitionBy(*PAGE).orderBy(cy).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum(F.when(F.col("masked"), 1).otherwise(0)).over(above)
-    level = F.sum(F.when(F.col("masked"), 1).otherwise(0)).over(Window.partitionBy(*PAGE, "cy"))
-    return m.withColumn("band", (upto - level).cast("int")).drop("cy")
+    level = F.sum(F.when(F.col("masked"), 1).otherwise(0)).over(Window.partitionBy(*PAGE, cy))
+    return masks.withColumn("band", (upto - level).cast("int"))
 
 
 # per page, in Python
@@ -205,14 +206,14 @@ def enumerators(ordered: DataFrame) -> DataFrame:
     ordered: reading_rank, top_text (topmost row). Only pages with three or more numbered regions, numbered 1 to k.
     """
     page = Window.partitionBy(*PAGE)
-    r = ordered.withColumn("number", leading_number(F.col("top_text")))
-    carries = F.col("number").isNotNull()
-    r = r.withColumn("k", F.count("number").over(page)).withColumn("top", F.max("number").over(page)).withColumn("low", F.min("number").over(page)).withColumn("kinds", F.size(F.collect_set("number").over(page)))
-    acts = carries & (F.col("k") >= 3) & (F.col("low") == 1) & (F.col("top") == F.col("k")) & (F.col("kinds") == F.col("k"))
+    number, slots, acts = spare(ordered, "number", "slots", "acts")
+    r = ordered.withColumn(number, leading_number(F.col("top_text")))
+    n, kinds = F.count(number).over(page), F.size(F.collect_set(number).over(page))
+    whole = (n >= 3) & (F.min(number).over(page) == 1) & (F.max(number).over(page) == n) & (kinds == n)
     # the i-th number takes the i-th slot of its page
-    slots = F.array_sort(F.collect_list(F.when(carries, F.col("reading_rank"))).over(page))
-    r = r.withColumn("slots", slots)
-    return r.withColumn("reading_rank", F.when(acts, F.get("slots", F.col("number") - 1)).otherwise(F.col("reading_rank"))).drop("number", "k", "top", "low", "kinds", "slots")
+    held = F.array_sort(F.collect_list(F.when(F.col(number).isNotNull(), F.col("reading_rank"))).over(page))
+    r = r.withColumn(slots, held).withColumn(acts, whole & F.col(number).isNotNull())
+    return r.withColumn("reading_rank", F.when(F.col(acts), F.get(slots, F.col(number) - 1)).otherwise(F.col("reading_rank"))).drop(number, slots, acts)
 
 
 def merge_bands(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import not_blank
 from ..sources.tables import PAGE, in_order
 
 FAST_KINDS = ("FormPage", "DigitalText", "Empty")
@@ -23,7 +24,7 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
 
     documents: doc_id, status, has_xfa, page_count. Not processed: pages 1 to page_count, all Unprocessable. No classified
     page: the same, all Mixed. Else just the classified pages; XFA makes them Mixed. A page_count that is not set is the
-    number of classified pages. Filled pages without a signal have confidence 1 and no rulings.
+    number of classified pages. Filled pages have confidence 1 and no rulings, whatever a signal says.
     """
     n = signals.groupBy("doc_id").agg(F.count("*").alias("n"))
     d = documents.join(n, "doc_id", "left").select("doc_id", "status", "has_xfa", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
@@ -31,7 +32,7 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     every = stopped | (F.col("n") == 0)
     count = F.when(F.col("page_count") > 0, F.col("page_count")).otherwise(F.col("n")).cast("int")
     filled = d.where(every).withColumn("count", count).where("count > 0").select("doc_id", "status", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("page_number"))
-    filled = filled.join(signals, PAGE, "left").select(*PAGE, F.when(stopped, "Unprocessable").otherwise("Mixed").alias("kind"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("rulings", F.lit(0)).alias("rulings"))
+    filled = filled.select(*PAGE, F.when(stopped, "Unprocessable").otherwise("Mixed").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rulings"))
     own = d.where(~every).select("doc_id", "has_xfa").join(signals, "doc_id")
     own = own.select(*PAGE, F.when(F.col("has_xfa"), "Mixed").otherwise(page_kind(F.col("class"))).alias("kind"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("rulings", F.lit(0)).alias("rulings"))
     return filled.unionByName(own)
@@ -100,7 +101,7 @@ def prose(runs: DataFrame, idx: str = "run_idx") -> DataFrame:
     A run stays on the line within 0.6 of the larger font below the run before; beyond 1.8 a paragraph ends. A space
     goes between runs of a line where the gap exceeds half a space's width and neither side has white space.
     """
-    r = runs.where(~F.col("is_ocr_layer") & (F.trim("text") != ""))
+    r = runs.where(~F.col("is_ocr_layer") & not_blank(F.col("text")))
     page = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", idx)
     font = F.when(F.col("font_size") > 0, F.col("font_size"))
     known = F.coalesce(font, F.last(font, ignorenulls=True).over(page), F.lit(10.0))

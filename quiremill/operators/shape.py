@@ -52,4 +52,4 @@ def top_offenders(pages: DataFrame, n: int = 10) -> DataFrame:
 
 def seeded_sample(items: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n items by a hash of key and seed: the same at every run."""
-    return items.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return items.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), key).limit(n)

@@ -64,19 +64,20 @@ def visual_rows(d: Data) -> DataFrame:
 
 
 def _spliced(d: Data) -> DataFrame:
-    """Words with some control characters and some boxes without area."""
+    """Words with some control characters, some that are white space alone, and some boxes without area."""
     w = d.words()
     bad = F.when((F.col("doc_id") + F.col("token_idx")) % 23 == 0, F.concat(F.col("text"), F.lit("\x07�"))).otherwise(F.col("text"))
+    bad = F.when((F.col("doc_id") + F.col("token_idx")) % 37 == 1, F.lit("\t\u00a0")).otherwise(bad)
     return w.withColumn("text", bad).withColumn("x2", F.when((F.col("doc_id") * 3 + F.col("token_idx")) % (F.col("doc_id") % 7 + 2) == 0, F.col("x1")).otherwise(F.col("x2")))
 
 
 SPLICED = """spl AS (
-  SELECT doc_id, page_number, token_idx, CASE WHEN (doc_id + token_idx) % 23 = 0 THEN text || chr(7) || chr(65533) ELSE text END AS text,
+  SELECT doc_id, page_number, token_idx, CASE WHEN (doc_id + token_idx) % 37 = 1 THEN chr(9) || chr(160) WHEN (doc_id + token_idx) % 23 = 0 THEN text || chr(7) || chr(65533) ELSE text END AS text,
     x1, CASE WHEN (doc_id * 3 + token_idx) % (doc_id % 7 + 2) = 0 THEN x1 ELSE x2 END AS x2, CASE WHEN (doc_id + token_idx) % 23 = 0 THEN 2 ELSE 0 END AS bad FROM box
 ), quality AS (
   SELECT doc_id, page_number, CAST(sum(CASE WHEN x2 > x1 THEN 1 ELSE 0 END) AS BIGINT) AS word_count,
     sum(CASE WHEN x2 > x1 THEN 0 ELSE length(text) END) / sum(length(text)) AS dropped_fraction, sum(bad) / sum(length(text)) AS undecodable_fraction
-  FROM spl GROUP BY doc_id, page_number
+  FROM spl WHERE text <> chr(9) || chr(160) GROUP BY doc_id, page_number
 )"""
 
 
@@ -184,8 +185,10 @@ def orientation_vote(d: Data) -> DataFrame:
 
 _KINDS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in routing.KIND_OF_CLASS.items())
 KINDS = f"""kinds AS (
-  SELECT s.doc_id, s.page_number, CASE WHEN status <> 'Processed' THEN 'Unprocessable' WHEN has_xfa THEN 'Mixed' ELSE CASE class {_KINDS} ELSE 'Mixed' END END AS kind, confidence, rulings
-  FROM ({I.DOCUMENTS}) d JOIN ({I.SIGNALS}) s ON s.doc_id = d.doc_id AND s.page_number <= d.page_count
+  SELECT s.doc_id, s.page_number, CASE WHEN has_xfa THEN 'Mixed' ELSE CASE class {_KINDS} ELSE 'Mixed' END END AS kind, confidence, rulings
+  FROM ({I.DOCUMENTS}) d JOIN ({I.SIGNALS}) s ON s.doc_id = d.doc_id WHERE status = 'Processed'
+  UNION ALL SELECT doc_id, CAST(unnest(range(1, page_count + 1)) AS INT), CASE WHEN status = 'Processed' THEN 'Mixed' ELSE 'Unprocessable' END, CAST(1 AS DOUBLE), 0
+  FROM ({I.DOCUMENTS}) d WHERE status <> 'Processed' OR doc_id NOT IN (SELECT doc_id FROM ({I.SIGNALS}) s)
 ), own AS (
   SELECT *, CASE WHEN kind = 'Unprocessable' THEN 'Stop' WHEN kind IN ('FormPage', 'DigitalText', 'Empty') THEN CASE WHEN confidence < 0.6 THEN 'Heavy' ELSE 'Fast' END WHEN kind = 'TableOrComplexLayout' AND rulings < 4 THEN 'Fast' ELSE 'Heavy' END AS own FROM kinds
 ), docw AS (
@@ -207,12 +210,12 @@ def _plan(d: Data) -> DataFrame:
 
 @query(f"WITH {KINDS} SELECT doc_id, page_number, kind, confidence, rulings FROM kinds")
 def page_classification(d: Data) -> DataFrame:
-    return _kinds(d).join(d.sql(I.SIGNALS).select(*PAGE), PAGE, "left_semi")
+    return _kinds(d)
 
 
 @query(f"WITH {KINDS} SELECT * FROM plan")
 def lane_plan(d: Data) -> DataFrame:
-    return routing.lane_plan(page_classification(d), ruling_threshold=4)
+    return _plan(d)
 
 
 @query(
@@ -354,10 +357,16 @@ def order_kendall_tau(d: Data) -> DataFrame:
     return verify.kendall_tau(d.sql(SNIPS), ["doc_id"]).withColumn("tau", F.round("tau", 9))
 
 
-@query()
+@query(
+    rf"""WITH {I.TOKENS}, w AS (SELECT doc_id, page_number, {norm('text')} AS w, token_idx AS t FROM box), u AS (SELECT doc_id, page_number, w, min(t) AS t FROM w WHERE length(w) >= 4 GROUP BY ALL HAVING count(*) = 1),
+g AS (SELECT doc_id, page_number, {norm('text')} AS w, min(xor(token_idx, 1)) AS g FROM twin GROUP BY ALL), n AS (SELECT doc_id, page_number FROM u GROUP BY ALL HAVING count(*) >= 8),
+p AS (SELECT u.doc_id, u.page_number, list([u.t] ORDER BY g.g, u.t) AS p FROM u JOIN g USING (doc_id, page_number, w) JOIN n USING (doc_id, page_number) GROUP BY ALL HAVING count(*) >= 8),
+k AS (SELECT doc_id, page_number, len(p) AS a, len(list_reduce(p, lambda acc, x: acc[1:len(list_filter(acc, lambda y: y < x[1]))] || x || acc[len(list_filter(acc, lambda y: y < x[1])) + 2:])) AS k FROM p)
+SELECT doc_id, page_number, CAST(a AS INT) AS anchors, CAST(k AS INT) AS in_order, round(CAST(k * 100 AS DOUBLE) / a, 9) AS order_pct FROM k"""
+)
 def order_lis(d: Data) -> DataFrame:
     w = d.words()
-    return verify.order_fidelity(w, d.twin().withColumn("token_idx", F.col("token_idx").bitwiseXOR(F.lit(1))))
+    return verify.order_fidelity(w, d.twin().withColumn("token_idx", F.col("token_idx").bitwiseXOR(F.lit(1)))).withColumn("order_pct", F.round("order_pct", 9))
 
 
 @query(
@@ -501,7 +510,7 @@ def spec_sheets(d: Data) -> DataFrame:
 
 
 PARTS_TABLE = """
-SELECT doc_id, p_partkey % 3 AS table_id, CAST(FLOOR(p_partkey / 100) + 2 AS INT) AS row, CAST(c AS INT) AS col, CASE c WHEN 0 THEN CAST(p_partkey % 50 AS STRING) WHEN 1 THEN text WHEN 2 THEN concat('P', CAST(p_partkey AS STRING)) ELSE 'each' END AS text
+SELECT doc_id, p_partkey % 3 AS table_id, CAST(p_partkey % 20 + 2 AS INT) AS row, CAST(c AS INT) AS col, CASE c WHEN 0 THEN CAST(p_partkey % 50 AS STRING) WHEN 1 THEN text WHEN 2 THEN concat('P', CAST(p_partkey AS STRING)) ELSE 'each' END AS text
 FROM (""" + I.FRAGMENTS + """) f CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t
 UNION ALL SELECT doc_id, table_id, CAST(1 AS INT), CAST(c AS INT), CASE c WHEN 0 THEN 'Qty' WHEN 1 THEN CASE WHEN doc_id % 4 = 1 THEN 'Text' ELSE 'Item description' END WHEN 2 THEN 'Part No' ELSE 'Unit' END
 FROM (SELECT DISTINCT doc_id, p_partkey % 3 AS table_id FROM (""" + I.FRAGMENTS + """) f) h CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t
@@ -537,12 +546,40 @@ def spec_roll_up(d: Data) -> DataFrame:
     return specs.roll_up(f).drop("ord")
 
 
-@query()
+_TRIM160 = "CASE WHEN length(trim({0})) <= 160 THEN trim({0}) ELSE rtrim(substr(trim({0}), 1, 160)) || '…' END"
+_COMPONENTS = rf"""{_TABLE_ROWS}, {_BULLETS}, {_KEYED},
+part AS (
+  SELECT doc_id, 1 AS strategy, CAST(table_id * 1000000 + row AS BIGINT) AS seq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS description, CAST(q AS INT) AS quantity, p AS part_number, table_id, row AS at FROM td
+  UNION ALL SELECT doc_id, 2, CAST(1000000 + line_no AS BIGINT), text, NULL, NULL, 0, line_no FROM bu
+  UNION ALL SELECT doc_id, 3, 0, 'System (spec sheet)', NULL, NULL, 0, 0 FROM kv GROUP BY doc_id HAVING count(*) >= 2
+), att AS (
+  SELECT doc_id, 1 AS strategy, CAST(table_id * 1000000 + row AS BIGINT) AS seq, pos, category, raw, value, unit FROM ta
+  UNION ALL SELECT doc_id, 2, CAST(1000000 + line_no AS BIGINT), pos, category, raw, value, unit FROM ba
+  UNION ALL SELECT doc_id, 3, 0, line_no, category, raw, value, unit FROM kv
+), own AS (SELECT p.*, lower(description) AS norm FROM part p WHERE EXISTS (SELECT 1 FROM att a WHERE a.doc_id = p.doc_id AND a.strategy = p.strategy AND a.seq = p.seq)),
+nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY strategy, seq) AS k FROM own),
+com AS (SELECT doc_id, norm, arg_min(strategy, k) AS strategy, arg_min(seq, k) AS seq, arg_max(description, length(description) * 1000 - k) AS description, arg_min(quantity, k) FILTER (WHERE quantity IS NOT NULL) AS quantity, arg_min(part_number, k) FILTER (WHERE part_number IS NOT NULL) AS part_number FROM nth GROUP BY ALL),
+uni AS (SELECT n.doc_id, n.norm, n.k, a.pos, a.category, a.raw, a.value, a.unit, row_number() OVER (PARTITION BY n.doc_id, n.norm, a.category, a.value ORDER BY n.k, a.pos) AS again FROM nth n JOIN att a ON a.doc_id = n.doc_id AND a.strategy = n.strategy AND a.seq = n.seq),
+mrg AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY k, pos) AS place FROM uni WHERE k = 1 OR again = 1),
+txt AS (SELECT doc_id, description AS t FROM com UNION ALL SELECT doc_id, raw FROM mrg), vot AS (SELECT doc_id, {_sum_matches('t')} FROM txt GROUP BY doc_id), best AS (SELECT *, greatest({', '.join(H.SYSTEMS)}) AS m FROM vot),
+kind AS (SELECT doc_id, CASE WHEN m = 0 OR {' + '.join(f'({k} = m)::INT' for k in H.SYSTEMS)} <> 1 THEN 'Unknown' {' '.join(f'WHEN {k} = m THEN ' + repr(k) for k in H.SYSTEMS)} END AS kind FROM best),
+num AS (SELECT doc_id, count(*) AS n_components, CAST(coalesce(sum(quantity), 0) AS BIGINT) AS total_quantity FROM com GROUP BY doc_id), cat AS (SELECT doc_id, CAST(count(DISTINCT category) AS INT) AS n_categories FROM mrg GROUP BY doc_id),
+prof AS (SELECT doc_id, n_components, total_quantity, n_categories, kind, round_even(least(CAST(0.95 AS DOUBLE), CAST(0.4 AS DOUBLE) + CAST(0.08 AS DOUBLE) * n_categories + CAST(0.03 AS DOUBLE) * least(n_components, 6)), 2) AS confidence FROM num JOIN cat USING (doc_id) JOIN kind USING (doc_id))"""
+
+
+@query(
+    f"WITH {_COMPONENTS} SELECT * FROM prof"
+)
 def spec_profile(d: Data) -> DataFrame:
     return specs.profile(_components(d))
 
 
-@query()
+@query(
+    f"""WITH {_COMPONENTS}, rol AS (SELECT *, row_number() OVER (PARTITION BY m.doc_id, category ORDER BY (value IS NOT NULL) DESC, length(raw) DESC, c.strategy, c.seq, place) AS i, coalesce(value, {_TRIM160.format('raw')}) AS detail FROM mrg m JOIN com c ON c.doc_id = m.doc_id AND c.norm = m.norm),
+spc AS (SELECT doc_id, string_agg(CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in specs.PHRASE.items())} ELSE 'other' END || ': ' || detail || CASE WHEN unit IS NOT NULL AND NOT contains(lower(detail), lower(unit)) THEN ' ' || unit ELSE '' END, '; ' ORDER BY CASE category {' '.join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(H.CATEGORIES))} END) AS specs FROM rol WHERE i = 1 GROUP BY doc_id),
+row AS (SELECT doc_id, string_agg('- ' || CASE WHEN quantity IS NOT NULL THEN '**Qty ' || quantity || '** — ' ELSE '' END || {_TRIM160.format('description')} || CASE WHEN part_number IS NOT NULL THEN ' · *part ' || trim(part_number) || '*' ELSE '' END, chr(10) ORDER BY strategy, seq) AS rows FROM com GROUP BY doc_id)
+SELECT doc_id, '## Hardware specifications' || chr(10) || chr(10) || 'This document specifies ' || CASE WHEN kind = 'Unknown' THEN 'hardware' ELSE 'a ' || lower(kind) END || CASE WHEN total_quantity > 0 THEN ' (total quantity ' || total_quantity || ')' ELSE '' END || '.' || CASE WHEN n_categories > 0 THEN ' Key specifications: ' || specs || '.' ELSE '' END || chr(10) || chr(10) || rows || chr(10) AS markdown FROM prof JOIN spc USING (doc_id) JOIN row USING (doc_id)"""
+)
 def spec_section_markdown(d: Data) -> DataFrame:
     return specs.section(_components(d))
 
@@ -589,7 +626,14 @@ def reading_order_xycutpp(d: Data) -> DataFrame:
     return order.reading_order(d.regions())
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REGION_CTE}, every AS (SELECT * FROM reg UNION ALL SELECT doc_id, page_number, region_idx + 1000, raw_label, type, confidence / 2, x1 + region_idx % 200, y1, x2 + region_idx % 200, y2 FROM reg),
+item AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY confidence DESC, region_idx) AS i FROM every),
+kept AS (SELECT DISTINCT doc_id, page_number, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(l VARCHAR, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[]) AS ks, FALSE AS stays FROM item
+  UNION ALL SELECT doc_id, page_number, i, CASE WHEN free THEN ks || [struct_pack(l := raw_label, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] ELSE ks END, free FROM (SELECT t.*, k.ks, len(list_filter(k.ks, lambda q: q.l = t.raw_label AND least(q.x2, t.x2) > greatest(q.x1, t.x1) AND least(q.y2, t.y2) > greatest(q.y1, t.y1)
+    AND (least(q.x2, t.x2) - greatest(q.x1, t.x1)) * (least(q.y2, t.y2) - greatest(q.y1, t.y1)) > 0.7 * least((q.x2 - q.x1) * (q.y2 - q.y1), (t.x2 - t.x1) * (t.y2 - t.y1)))) = 0 AS free FROM kept k JOIN item t ON t.doc_id = k.doc_id AND t.page_number = k.page_number AND t.i = k.i + 1) f)
+SELECT t.* EXCLUDE (i), CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY i) - 1 AS INT) AS kept_rank FROM item t JOIN kept k USING (doc_id, page_number, i) WHERE k.stays"""
+)
 def nms_regions(d: Data) -> DataFrame:
     r = d.regions()
     twin = r.withColumns({"region_idx": F.col("region_idx") + 1000, "x1": F.col("x1") + F.col("region_idx") % 200, "x2": F.col("x2") + F.col("region_idx") % 200, "confidence": F.col("confidence") / 2})
@@ -638,12 +682,14 @@ def document_markdown(d: Data) -> DataFrame:
     return S.document_markdown(d.table("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), F.col("text").alias("markdown")))
 
 
-@query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE trim(text) <> '') AS markdown FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE (conv_id + turn) % 4 <> 2 AND trim(text) <> '') AS markdown FROM conversations GROUP BY conv_id")
 def merged_markdown(d: Data) -> DataFrame:
-    return S.merged_markdown(d.table("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), F.col("text").alias("markdown")))
+    """Some pages are white space alone: line ends, a no-break space, an ideographic space."""
+    text = F.when((F.col("conv_id") + F.col("turn")) % 4 == 2, F.lit("\n\u00a0\u3000\r\n")).otherwise(F.col("text"))
+    return S.merged_markdown(d.table("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), text.alias("markdown")))
 
 
-CELL_CTE = f"cel AS ({I.CELLS}), cli AS ({I.CELL_LINES}), hit AS (SELECT c.doc_id, c.page_number, c.region_idx, c.row, c.col, l.line_idx, l.text, l.y1, l.x1 FROM cel c JOIN cli l ON c.doc_id = l.doc_id AND c.page_number = l.page_number AND c.region_idx = l.region_idx AND (l.x1 + l.x2) / 2 BETWEEN c.x1 AND c.x2 AND (l.y1 + l.y2) / 2 BETWEEN c.y1 AND c.y2)"
+CELL_CTE = f"cel AS MATERIALIZED ({I.CELLS}), cli AS MATERIALIZED ({I.CELL_LINES}), hit AS MATERIALIZED (SELECT c.doc_id, c.page_number, c.region_idx, c.row, c.col, l.line_idx, l.text, l.y1, l.x1 FROM cel c JOIN cli l ON c.doc_id = l.doc_id AND c.page_number = l.page_number AND c.region_idx = l.region_idx AND (l.x1 + l.x2) / 2 BETWEEN c.x1 AND c.x2 AND (l.y1 + l.y2) / 2 BETWEEN c.y1 AND c.y2)"
 
 
 def _cells(d: Data) -> DataFrame:
@@ -655,12 +701,12 @@ def table_cells(d: Data) -> DataFrame:
     return compose.fill_cells(_cells(d), d.sql(I.CELL_LINES)).select(*compose.TABLE, "row", "col", "text", "n_lines")
 
 
-@query(f"WITH {CELL_CTE} SELECT l.doc_id, l.page_number, l.region_idx, l.line_idx, l.text FROM cli l WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = l.doc_id AND h.region_idx = l.region_idx AND h.page_number = l.page_number AND h.line_idx = l.line_idx)")
+@query(f"WITH {CELL_CTE}, held AS (SELECT DISTINCT doc_id, page_number, region_idx, line_idx FROM hit) SELECT l.doc_id, l.page_number, l.region_idx, l.line_idx, l.text FROM cli l ANTI JOIN held h USING (doc_id, page_number, region_idx, line_idx)")
 def unassigned_lines(d: Data) -> DataFrame:
     return compose.unassigned(_cells(d), d.sql(I.CELL_LINES)).select(*compose.TABLE, "line_idx", "text")
 
 
-@query(f"WITH {CELL_CTE}, t AS (SELECT doc_id, page_number, region_idx, sum(length(text)) AS total, sum(CASE WHEN NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = l.doc_id AND h.line_idx = l.line_idx) THEN length(text) ELSE 0 END) AS lost FROM cli l GROUP BY ALL) SELECT doc_id, page_number, region_idx, 3 AS n_cols, round(lost / total, 9) AS unassigned_share, lost / total <= 0.25 AS fits FROM t")
+@query(f"WITH {CELL_CTE}, held AS (SELECT DISTINCT doc_id, page_number, region_idx, line_idx, TRUE AS is_held FROM hit), t AS (SELECT doc_id, page_number, region_idx, sum(length(text)) AS total, sum(CASE WHEN is_held IS NULL THEN length(text) ELSE 0 END) AS lost FROM cli l LEFT JOIN held USING (doc_id, page_number, region_idx, line_idx) GROUP BY ALL) SELECT doc_id, page_number, region_idx, 3 AS n_cols, round(lost / total, 9) AS unassigned_share, lost / total <= 0.25 AS fits FROM t")
 def grid_fit(d: Data) -> DataFrame:
     return compose.grid_fits(_cells(d), d.sql(I.CELL_LINES)).withColumn("unassigned_share", F.round("unassigned_share", 9))
 
@@ -670,13 +716,29 @@ def grid_markdown(d: Data) -> DataFrame:
     return compose.grid_markdown(d.sql(I.CELLS))
 
 
-@query()
+_TAB = "doc_id, page_number, region_idx"
+FEDERAL = f"""cel AS ({I.CELLS}), cli AS ({I.CELL_LINES}), rr AS (SELECT {_TAB}, row, min(y1) AS ry1, max(y2) AS ry2 FROM cel GROUP BY ALL), cc AS (SELECT {_TAB}, row, col, min(x1) AS cx1, max(x2) AS cx2 FROM cel GROUP BY ALL),
+ins AS (SELECT l.*, r.row, (l.y1 + l.y2) / 2 AS cy FROM cli l JOIN rr r USING ({_TAB}) WHERE r.row > 0 AND (l.y1 + l.y2) / 2 BETWEEN ry1 - 0.5 AND ry2 + 0.5), hh AS (SELECT {_TAB}, row, list_sort(list(greatest(1.0, y2 - y1))) AS h FROM ins GROUP BY ALL),
+cut AS (SELECT i.*, CASE WHEN cy - lag(cy) OVER (PARTITION BY {_TAB}, row ORDER BY cy, line_idx) > 0.8 * h[len(h) // 2 + 1] THEN 1 ELSE 0 END AS c FROM ins i JOIN hh USING ({_TAB}, row)), bnd AS (SELECT *, CAST(sum(c) OVER (PARTITION BY {_TAB}, row ORDER BY cy, line_idx) AS INT) AS band FROM cut),
+plc AS (SELECT b.doc_id, b.page_number, b.region_idx, b.row, b.line_idx, b.text, b.x1, b.band, min(c.col) AS col FROM bnd b LEFT JOIN cc c ON c.doc_id = b.doc_id AND c.page_number = b.page_number AND c.region_idx = b.region_idx AND c.row = b.row AND (b.x1 + b.x2) / 2 BETWEEN cx1 AND cx2 GROUP BY ALL),
+per AS (SELECT {_TAB}, row, col, count(DISTINCT band) AS b FROM plc WHERE col IS NOT NULL GROUP BY ALL), mul AS (SELECT {_TAB}, row FROM per GROUP BY ALL HAVING count(*) FILTER (WHERE b >= 2) >= 2), spl AS (SELECT {_TAB}, row FROM plc JOIN mul USING ({_TAB}, row) GROUP BY ALL HAVING count(DISTINCT band) >= 2),
+fed AS (SELECT {_TAB}, row, 0 AS part, col, text FROM cel ANTI JOIN spl USING ({_TAB}, row) UNION ALL SELECT {_TAB}, row, band, col, string_agg(text, ' ' ORDER BY x1, line_idx) FROM plc JOIN spl USING ({_TAB}, row) WHERE col IS NOT NULL GROUP BY ALL)"""
+
+
+@query(
+    f"WITH {FEDERAL} SELECT doc_id, page_number, region_idx, row, part, col, text FROM fed"
+)
 def federal_rows(d: Data) -> DataFrame:
     """Rows of tables whose cells hold two text rows each come apart."""
     return compose.expand_rows(d.sql(I.CELLS), d.sql(I.CELL_LINES))
 
 
-@query()
+@query(
+    f"""WITH {FEDERAL}, num AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_number, region_idx ORDER BY row, part) - 1 AS i FROM fed), sz AS (SELECT doc_id, page_number, region_idx, max(i) AS mi, max(col) AS mc FROM num GROUP BY ALL),
+g AS (SELECT s.doc_id, s.page_number, s.region_idx, r.i, c.c FROM sz s, LATERAL (SELECT unnest(range(0, mi + 1)) AS i) r, LATERAL (SELECT unnest(range(0, mc + 1)) AS c) c),
+l AS (SELECT g.doc_id, g.page_number, g.region_idx, g.i, '| ' || string_agg(coalesce(replace(text, '|', '\\|'), ''), ' | ' ORDER BY g.c) || ' |' || CASE WHEN g.i = 0 THEN chr(10) || '|' || repeat('---|', CAST(count(*) AS INT)) ELSE '' END AS t FROM g LEFT JOIN num n ON n.doc_id = g.doc_id AND n.page_number = g.page_number AND n.region_idx = g.region_idx AND n.i = g.i AND n.col = g.c GROUP BY g.doc_id, g.page_number, g.region_idx, g.i)
+SELECT doc_id, page_number, region_idx, string_agg(t, chr(10) ORDER BY i) AS markdown FROM l GROUP BY ALL"""
+)
 def federal_markdown(d: Data) -> DataFrame:
     return compose.grid_markdown(compose.numbered_rows(compose.expand_rows(d.sql(I.CELLS), d.sql(I.CELL_LINES))))
 
@@ -762,7 +824,15 @@ def scanned_fields(d: Data) -> DataFrame:
     return forms.scanned_fields(d.sql(I.ELEMENTS), _fractions(d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE wi AS ({I.WIDGETS}), el AS (SELECT doc_id, page_number, widget_idx, kind, 'label ' || widget_idx AS label, x1 + 0.004 AS x1, y1 + 0.004 AS y1, x2 + 0.004 AS x2, y2 + 0.004 AS y2, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY widget_idx) AS i FROM wi),
+near AS (SELECT e.doc_id, e.page_number, e.i, e.widget_idx AS element_idx, e.kind, e.label, coalesce(list(w.widget_idx ORDER BY ((e.x1 + e.x2) / 2 - (w.x1 + w.x2) / 2) ** 2 + ((e.y1 + e.y2) / 2 - (w.y1 + w.y2) / 2) ** 2, w.widget_idx) FILTER (WHERE w.widget_idx IS NOT NULL), []) AS ws
+  FROM el e LEFT JOIN wi w ON w.doc_id = e.doc_id AND w.page_number = e.page_number AND (w.x1 + w.x2) / 2 BETWEEN e.x1 - 0.01 AND e.x2 + 0.01 AND (w.y1 + w.y2) / 2 BETWEEN e.y1 - 0.01 AND e.y2 + 0.01 AND (e.x1 + e.x2) / 2 BETWEEN w.x1 - 0.01 AND w.x2 + 0.01 AND (e.y1 + e.y2) / 2 BETWEEN w.y1 - 0.01 AND w.y2 + 0.01 GROUP BY ALL),
+pick AS (SELECT DISTINCT doc_id, page_number, CAST(0 AS BIGINT) AS i, CAST([] AS INT[]) AS used, CAST(NULL AS INT) AS w FROM el
+  UNION ALL SELECT n.doc_id, n.page_number, n.i, list_filter(used || [free], lambda x: x IS NOT NULL), free FROM (SELECT n.*, p.used, list_filter(n.ws, lambda x: NOT list_contains(p.used, x))[1] AS free FROM pick p JOIN near n ON n.doc_id = p.doc_id AND n.page_number = p.page_number AND n.i = p.i + 1) n)
+SELECT n.doc_id, CAST(n.page_number AS INT) AS page_number, CAST(element_idx AS INT) AS element_idx, CAST(w AS INT) AS widget_idx, n.kind, label AS name, CASE WHEN n.kind = 'Checkbox' THEN label ELSE trim(v.value) END AS value
+FROM pick k JOIN near n ON n.doc_id = k.doc_id AND n.page_number = k.page_number AND n.i = k.i JOIN wi v ON v.doc_id = k.doc_id AND v.page_number = k.page_number AND v.widget_idx = k.w WHERE CASE WHEN n.kind = 'Checkbox' THEN v.value = 'X' ELSE trim(v.value) <> '' END"""
+)
 def template_bind(d: Data) -> DataFrame:
     w = d.sql(I.WIDGETS)
     e = w.select(*PAGE, F.col("widget_idx").alias("element_idx"), "kind", F.concat(F.lit("label "), F.col("widget_idx").cast("string")).alias("label"), F.lit(None).cast("string").alias("grp"), *[(F.col(c) + 0.004).alias(c) for c in ("x1", "y1", "x2", "y2")])
@@ -887,12 +957,16 @@ def top_offenders(d: Data) -> DataFrame:
     return shape.top_offenders(d.sql(SHAPED).select(*PAGE, "recall_pct"))
 
 
-@query()
+@query(
+    f"""SELECT doc_id, '[' || string_agg('{{"pageNumber":' || page_number || coalesce(',"recallPct":' || recall_pct, '') || ',"needsReview":' || needs_review || coalesce(',"sensitivityMarking":"' || marking || '"', '') || '}}', ',' ORDER BY page_number) || ']' AS json FROM ({SHAPED}) x GROUP BY doc_id"""
+)
 def json_export(d: Data) -> DataFrame:
     return S.page_json(d.sql(SHAPED).select(*PAGE, "recall_pct", "needs_review", F.col("marking").alias("sensitivity_marking")))
 
 
-@query()
+@query(
+    "SELECT doc_id FROM documents ORDER BY sha256('7:' || doc_id), doc_id LIMIT 20"
+)
 def seeded_sample(d: Data) -> DataFrame:
     return shape.seeded_sample(d.table("documents").select("doc_id"), "doc_id", 20)
 
@@ -907,10 +981,17 @@ def point_to_raster(d: Data) -> DataFrame:
 
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {REGION_CTE}, pr AS (SELECT t.doc_id, t.page_number, t.region_idx AS truth_idx, p.region_idx AS pred_idx, (least(t.x2, p.x2 + 20) - greatest(t.x1, p.x1 + 20)) * (least(t.y2, p.y2) - greatest(t.y1, p.y1)) / least((t.x2 - t.x1) * (t.y2 - t.y1), (p.x2 - p.x1) * (p.y2 - p.y1)) AS overlap, {norm('t.raw_label')} AS tv, {norm('p.type')} AS pv
+  FROM reg t JOIN reg p ON p.doc_id = t.doc_id AND p.page_number = t.page_number AND least(t.x2, p.x2 + 20) > greatest(t.x1, p.x1 + 20) AND least(t.y2, p.y2) > greatest(t.y1, p.y1)),
+sc AS (SELECT *, CAST(floor(overlap / 0.05) AS INT) AS bucket, contains(tv, pv) OR contains(pv, tv) AS value_match FROM pr), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY bucket DESC, value_match DESC, overlap DESC, truth_idx, pred_idx) AS i FROM sc),
+go AS (SELECT DISTINCT doc_id, page_number, CAST(0 AS BIGINT) AS i, CAST([] AS INT[]) AS ts, CAST([] AS INT[]) AS ps, FALSE AS took FROM rk
+  UNION ALL SELECT doc_id, page_number, i, CASE WHEN free THEN ts || [truth_idx] ELSE ts END, CASE WHEN free THEN ps || [pred_idx] ELSE ps END, free FROM (SELECT r.*, g.ts, g.ps, NOT list_contains(g.ts, r.truth_idx) AND NOT list_contains(g.ps, r.pred_idx) AS free FROM go g JOIN rk r ON r.doc_id = g.doc_id AND r.page_number = g.page_number AND r.i = g.i + 1) f)
+SELECT doc_id, page_number, truth_idx, pred_idx, round(overlap, 9) AS overlap, bucket, value_match FROM rk JOIN go USING (doc_id, page_number, i) WHERE took"""
+)
 def truth_pairing(d: Data) -> DataFrame:
     r = d.regions()
     cols = [*PAGE, "x1", "y1", "x2", "y2"]
     t = r.select(*cols, F.col("region_idx").alias("truth_idx"), F.col("raw_label").alias("value"))
     p = r.select(*PAGE, (F.col("x1") + 20).alias("x1"), "y1", (F.col("x2") + 20).alias("x2"), "y2", F.col("region_idx").alias("pred_idx"), F.col("type").alias("value"))
-    return forms.pair_truth(t, p)
+    return forms.pair_truth(t, p).withColumn("overlap", F.round("overlap", 9))

@@ -23,10 +23,11 @@ SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS page_number,
   CAST(l_partkey % 12 AS INT) AS rulings
 FROM (SELECT l_orderkey, l_linenumber, MAX(l_partkey) AS l_partkey, MAX(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x
 """
-#: Their documents: one in 40 was not processed, one in 29 is an XFA form.
+#: Their documents: one in 40 was not processed, one in 29 is an XFA form; 25 more of three pages have no signal at all.
 DOCUMENTS = """
 SELECT doc_id, CASE WHEN doc_id % 40 = 7 THEN 'Failed' ELSE 'Processed' END AS status, doc_id % 29 = 3 AS has_xfa, CAST(MAX(page_number) AS BIGINT) AS page_count
 FROM (""" + SIGNALS + """) s GROUP BY doc_id
+UNION ALL SELECT CAST(-1 - n_nationkey AS BIGINT), 'Processed', FALSE, CAST(3 AS BIGINT) FROM {nation}
 """
 #: Images placed on pages of 612 by 792 points.
 IMAGES = """
@@ -58,9 +59,9 @@ SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_number, CAST(r AS INT) A
   CAST(((conv_id * 7 + turn * 5 + r) % 13) * 7 AS DOUBLE) / 100 AS confidence
 FROM {conversations} CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 90 UNION ALL SELECT 180 UNION ALL SELECT 270) t
 """
-#: Parts as fragments of a parts list.
+#: Parts as fragments of parts lists, twenty a list.
 FRAGMENTS = """
-SELECT p_partkey AS fragment_id, p_partkey % 100 AS doc_id, p_partkey,
+SELECT p_partkey AS fragment_id, CAST(FLOOR(p_partkey / 20) AS BIGINT) AS doc_id, p_partkey,
   CASE p_partkey % 11
     WHEN 0 THEN concat('Intel Xeon processor ', CAST(p_size AS STRING), '-core ', CAST(p_size % 4 + 1 AS STRING), '.5ghz')
     WHEN 1 THEN concat(CAST(p_size * 2 AS STRING), 'gb ddr4 ECC memory, 2-year warranty')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import not_blank, words
 
 PAGE = ["doc_id", "page_number"]
 TOKENS_PER_ROW, ROWS_PER_PAGE, CHAR, ROW, LINE = 10, 40, 10, 30, 20
@@ -84,6 +84,17 @@ def truth_sheet(spark: SparkSession, path: str) -> DataFrame:
     return df.select([F.trim(c).alias(c.strip()) for c in df.columns])
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that the table does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def camel(name: str) -> str:
     first, *rest = name.split("_")
     return first + "".join(x.capitalize() for x in rest)
@@ -113,7 +124,7 @@ def document_markdown(pages: DataFrame) -> DataFrame:
 
 def merged_markdown(pages: DataFrame) -> DataFrame:
     """doc_id, markdown: bodies that are not blank, a blank line between them, no page comments."""
-    body = F.when(F.trim("markdown") != "", F.col("markdown"))
+    body = F.when(not_blank(F.col("markdown")), F.col("markdown"))
     return pages.groupBy("doc_id").agg(in_order(body, F.col("page_number"), separator="\n\n").alias("markdown"))
 
 

@@ -51,9 +51,10 @@ def completed(pages: DataFrame) -> DataFrame:
 
 
 def route_batches(pages: DataFrame, table: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lane_plan):
-    """Write each micro-batch's plan to a table keyed by page. Files must hold whole documents."""
+    """Write each micro-batch's plan to its own folder of the table, batch=number: a batch that is played again ends in the
+    same files. Files must hold whole documents."""
 
     def put(batch: DataFrame, number: int) -> None:
-        transform(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
+        transform(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return pages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
