@@ -11,7 +11,6 @@ from ..functions.geometry import Box
 from ..functions.text import not_blank, pipe_escape
 from ..sources.tables import PAGE, in_order
 from .layer import row_clusters, row_text
-from .order import center_bands
 
 LINE = ["line_idx", "text", "x1", "y1", "x2", "y2"]
 TABLE = [*PAGE, "region_idx"]
@@ -98,20 +97,45 @@ def expand_rows(cells: DataFrame, lines: DataFrame) -> DataFrame:
 
     A row below the header splits where its lines make two bands or more by centre-y and at least two of its columns
     hold lines in two bands. Columns of a row reach from its own cells' smallest x1 to their largest x2.
+
+    A table's cells and lines meet once, as two arrays of that table; rows, bands and columns are taken on them.
     """
-    r = cells.groupBy(*TABLE, "row").agg(F.min("y1").alias("ry1"), F.max("y2").alias("ry2"))
-    cols = cells.groupBy(*TABLE, "row", "col").agg(F.min("x1").alias("cx1"), F.max("x2").alias("cx2"))
-    cy, cx = (F.col("l.y1") + F.col("l.y2")) / 2, (F.col("l.x1") + F.col("l.x2")) / 2
-    inside = lines.alias("l").join(r.where("row > 0").alias("r"), _on("l", "r", TABLE) & cy.between(F.col("r.ry1") - 0.5, F.col("r.ry2") + 0.5)).select("l.*", "r.row")
-    banded = center_bands(inside, "line_idx", [*TABLE, "row"])
-    hit = banded.alias("l").join(cols.alias("c"), _on("l", "c", [*TABLE, "row"]) & cx.between(F.col("c.cx1"), F.col("c.cx2")), "left")
-    placed = hit.groupBy(*[F.col(f"l.{k}").alias(k) for k in (*TABLE, "row", "line_idx", "text", "x1", "band")]).agg(F.min("c.col").alias("col"))
-    per = placed.where("col is not null").groupBy(*TABLE, "row", "col").agg(F.count_distinct("band").alias("b"))
-    many = per.groupBy(*TABLE, "row").agg(F.count_if(F.col("b") >= 2).alias("multi"))
-    split = placed.groupBy(*TABLE, "row").agg(F.count_distinct("band").alias("bands")).join(many, [*TABLE, "row"]).where("bands >= 2 and multi >= 2").select(*TABLE, "row")
-    parts = placed.join(split, [*TABLE, "row"]).where("col is not null").groupBy(*TABLE, "row", F.col("band").alias("part"), "col").agg(in_order(F.col("text"), F.col("x1"), F.col("line_idx"), separator=" ").alias("text"))
-    rest = cells.join(split, [*TABLE, "row"], "left_anti").select(*TABLE, "row", F.lit(0).alias("part"), "col", "text")
-    return rest.unionByName(parts)
+    box = ["x1", "y1", "x2", "y2"]
+    c = cells.groupBy(*TABLE).agg(F.collect_list(F.struct("row", "col", *box, "text")).alias("cs"))
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    high = F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
+    l = lines.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(cy.alias("cy"), "line_idx", cx.alias("cx"), high.cast("double").alias("h"), "x1", "text"))).alias("ls"))
+    t = c.join(l, TABLE, "left").select(*TABLE, "cs", F.coalesce("ls", F.array()).alias("ls"), F.explode(F.array_distinct(F.transform("cs", lambda x: x["row"]))).alias("row"))
+    t = t.select(*TABLE, "row", F.filter("cs", lambda x: x["row"] == F.col("row")).alias("cs"), "ls")
+    low, top = F.array_max(F.transform("cs", lambda x: x["y2"])), F.array_min(F.transform("cs", lambda x: x["y1"]))
+    inside = F.when(F.col("row") > 0, F.filter("ls", lambda x: x["cy"].between(F.col("top") - 0.5, F.col("low") + 0.5))).otherwise(F.array())
+    # columns of the row, each with its reach
+    reach = lambda k: F.filter("cs", lambda x: x["col"] == k)
+    cols = F.transform(F.array_sort(F.array_distinct(F.transform("cs", lambda x: x["col"]))), lambda k: F.struct(k.alias("col"), F.array_min(F.transform(reach(k), lambda x: x["x1"])).alias("a"), F.array_max(F.transform(reach(k), lambda x: x["x2"])).alias("b")))
+    t = t.withColumn("low", low).withColumn("top", top).withColumn("ls", inside).withColumn("cols", cols)
+    t = t.withColumn("mid", F.try_element_at(F.array_sort(F.transform("ls", lambda x: x["h"])), F.floor(F.size("ls") / 2).cast("int") + 1))
+    line = "struct<cy:double,line_idx:int,cx:double,h:double,x1:double,text:string,band:int,col:int>"
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("band"), F.array().cast(f"array<{line}>").alias("out"))
+
+    def banded(acc: Column, x: Column) -> Column:
+        band = acc["band"] + F.when(x["cy"] - acc["last"] > 0.8 * F.col("mid"), 1).otherwise(0)
+        col = F.get(F.filter("cols", lambda k: x["cx"].between(k["a"], k["b"])), F.lit(0))["col"]
+        one = F.struct(x["cy"].cast("double"), x["line_idx"].cast("int"), x["cx"].cast("double"), x["h"], x["x1"].cast("double"), x["text"], band.alias("band"), col.cast("int").alias("col")).cast(line)
+        return F.struct(x["cy"].cast("double").alias("last"), band.alias("band"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    t = t.withColumn("ls", F.aggregate("ls", start, banded, lambda acc: acc["out"]))
+    bands = lambda k: F.size(F.array_distinct(F.transform(F.filter("ls", lambda x: x["col"] == k["col"]), lambda x: x["band"])))
+    split = (F.coalesce(F.array_max(F.transform("ls", lambda x: x["band"])), F.lit(0)) >= 1) & (F.size(F.filter("cols", lambda k: bands(k) >= 2)) >= 2)
+    places = F.array_distinct(F.transform(F.filter("ls", lambda x: x["col"].isNotNull()), lambda x: F.struct(x["band"].alias("part"), x["col"].alias("col"))))
+
+    def words(p: Column) -> Column:
+        mine = F.filter("ls", lambda x: (x["band"] == p["part"]) & (x["col"] == p["col"]))
+        ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x["x1"].alias("x1"), x["line_idx"].alias("line_idx"), x["text"].alias("text"))))
+        return F.struct(p["part"].alias("part"), p["col"].alias("col"), F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
+
+    whole = F.transform("cs", lambda x: F.struct(F.lit(0).alias("part"), x["col"].cast("int").alias("col"), x["text"].alias("text")))
+    t = t.withColumn("split", split).select(*TABLE, "row", F.explode(F.when(F.col("split"), F.transform(places, words)).otherwise(whole)).alias("o"))
+    return t.select(*TABLE, "row", "o.part", "o.col", "o.text")
 
 
 def numbered_rows(expanded: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import not_blank
-from ..sources.tables import PAGE, in_order
+from ..sources.tables import PAGE, in_order, spare
 
 FAST_KINDS = ("FormPage", "DigitalText", "Empty")
 PIXEL_KINDS = ("ScannedImageOnly", "ScannedWithOcr", "Mixed")
@@ -43,25 +43,31 @@ def lane_of(kind: Column, confidence: Column, rulings: Column, min_confidence: f
     return F.when(kind == "Unprocessable", "Stop").when(kind.isin(*FAST_KINDS), F.when(confidence < min_confidence, "Heavy").otherwise("Fast")).when(kind == "TableOrComplexLayout", table).otherwise("Heavy")
 
 
-def lane_plan(pages: DataFrame, min_confidence: float = 0.6, ruling_threshold: int = 0, escalation_share: float = 0.8) -> DataFrame:
-    """lane and reason of every page; one Unprocessable page stops its document, a heavy share of 0.8 escalates it.
-
-    Document rules are window aggregates over doc_id: one shuffle.
-    """
+def with_lanes(pages: DataFrame, min_confidence: float = 0.6, ruling_threshold: int = 0, escalation_share: float = 0.8) -> DataFrame:
+    """The pages with all their columns, and lane, reason, stopped and escalated; see lane_plan()."""
+    own, share = spare(pages, "own", "share")
     doc = Window.partitionBy("doc_id")
-    p = pages.withColumn("own", lane_of(F.col("kind"), F.col("confidence"), F.col("rulings"), min_confidence, ruling_threshold))
-    p = p.withColumn("stopped", F.max(F.col("kind") == "Unprocessable").over(doc)).withColumn("share", F.avg(F.when(F.col("own") == "Heavy", 1.0).otherwise(0.0)).over(doc))
-    p = p.withColumn("escalated", ~F.col("stopped") & (F.col("share") >= escalation_share))
-    lane = F.when(F.col("stopped"), "Stop").when(F.col("escalated"), "Heavy").otherwise(F.col("own"))
+    p = pages.withColumn(own, lane_of(F.col("kind"), F.col("confidence"), F.col("rulings"), min_confidence, ruling_threshold))
+    p = p.withColumn("stopped", F.max(F.col("kind") == "Unprocessable").over(doc)).withColumn(share, F.avg(F.when(F.col(own) == "Heavy", 1.0).otherwise(0.0)).over(doc))
+    p = p.withColumn("escalated", ~F.col("stopped") & (F.col(share) >= escalation_share))
+    lane = F.when(F.col("stopped"), "Stop").when(F.col("escalated"), "Heavy").otherwise(F.col(own))
     reason = (
         F.when(F.col("stopped"), "document stopped")
         .when(F.col("escalated"), "whole document escalated")
-        .when(F.col("kind").isin(*FAST_KINDS), F.when(F.col("own") == "Heavy", "low confidence").otherwise("answered by structure"))
-        .when(F.col("kind") == "TableOrComplexLayout", F.when(F.col("own") == "Fast", "few rulings: read as text").otherwise("table needs pixels"))
+        .when(F.col("kind").isin(*FAST_KINDS), F.when(F.col(own) == "Heavy", "low confidence").otherwise("answered by structure"))
+        .when(F.col("kind") == "TableOrComplexLayout", F.when(F.col(own) == "Fast", "few rulings: read as text").otherwise("table needs pixels"))
         .when(F.col("kind").isin(*PIXEL_KINDS), "needs pixels")
         .otherwise("unknown kind")
     )
-    return p.select(*PAGE, "kind", "confidence", "rulings", lane.alias("lane"), reason.alias("reason"), "stopped", "escalated")
+    return p.withColumn("lane", lane).withColumn("reason", reason).drop(own, share)
+
+
+def lane_plan(pages: DataFrame, min_confidence: float = 0.6, ruling_threshold: int = 0, escalation_share: float = 0.8) -> DataFrame:
+    """lane and reason of every page; one Unprocessable page stops its document, a heavy share of 0.8 escalates it.
+
+    Document rules are window aggregates over doc_id: one shuffle.
+    """
+    return with_lanes(pages, min_confidence, ruling_threshold, escalation_share).select(*PAGE, "kind", "confidence", "rulings", "lane", "reason", "stopped", "escalated")
 
 
 def lane_summary(plan: DataFrame) -> DataFrame:

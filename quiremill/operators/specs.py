@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hardware as H
 from ..functions.text import collapse, lines_of
-from ..sources.tables import in_order
 
 HEADERS = {
     "description": H.any_of(["component", "description", "item", "nomenclature", "services", "specification", "supplies"]),
@@ -16,6 +15,7 @@ HEADERS = {
     "unit": H.any_of(["ea", "u/?i", "unit", "unit of issue", "uom"]),
 }
 PHRASE = {"Processor": "processor", "Memory": "memory", "Storage": "storage", "Graphics": "graphics", "Display": "display", "Network": "network", "PowerSupply": "power supply", "FormFactor": "form factor", "Motherboard": "motherboard", "OperatingSystem": "operating system", "Warranty": "warranty", "Quantity": "quantity", "PartNumber": "part number"}
+SHEET = "System (spec sheet)"
 COMPONENT = ["doc_id", "strategy", "seq", "description", "quantity", "part_number", "unit_of_issue", "attributes"]
 
 
@@ -24,27 +24,81 @@ def composed_lines(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_number", F.posexplode(lines_of(F.col("markdown"))).alias("line_no", "text"))
 
 
+def _bullet_texts(lines: DataFrame) -> DataFrame:
+    body = F.regexp_extract("text", H.BULLET, 1)
+    b = lines.where((body != "") & ~F.col("text").rlike(H.KEY_VALUE)).withColumn("t", collapse(body))
+    return b.select("doc_id", F.lit(2).alias("strategy"), _at().alias("seq"), F.col("t").alias("text"), F.col("t").alias("description"), *_no_scalars(), *_no_label())
+
+
+def _keyed_texts(lines: DataFrame) -> DataFrame:
+    label, value = F.trim(F.regexp_extract("text", H.KEY_VALUE, 1)), F.trim(F.regexp_extract("text", H.KEY_VALUE, 2))
+    k = lines.withColumn("label", label).withColumn("value", value).withColumn("category", H.label_category(F.col("label"))).where("label <> '' and category is not null")
+    return k.select("doc_id", F.lit(3).alias("strategy"), _at().alias("seq"), F.col("value").alias("text"), F.lit(SHEET).alias("description"), *_no_scalars(), "label", "category")
+
+
+def _at() -> Column:
+    """A line's place in its document."""
+    return (F.col("page_number") * 1_000_000 + F.col("line_no")).cast("long")
+
+
+def _no_scalars() -> tuple[Column, ...]:
+    return (F.lit(None).cast("int").alias("quantity"), F.lit(None).cast("string").alias("part_number"), F.lit(None).cast("string").alias("unit_of_issue"))
+
+
+def _no_label() -> tuple[Column, ...]:
+    return (F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("category"))
+
+
+def _labelled(found: Column) -> Column:
+    """The attribute of a labelled value: the recogniser's own for that category, else the plain value."""
+    own = F.get(F.filter(found, lambda a: a["category"] == F.col("category")), F.lit(0))
+    plain = F.struct(F.col("category"), F.concat("label", F.lit(": "), "text").alias("raw"), F.col("text").alias("value"), F.lit(None).cast("string").alias("unit"))
+    return F.coalesce(own, plain)
+
+
 def bullets(lines: DataFrame) -> DataFrame:
     """Components of bullet lines that are no key-value lines and name hardware."""
-    body = F.regexp_extract("text", H.BULLET, 1)
-    b = lines.where((body != "") & ~F.col("text").rlike(H.KEY_VALUE)).withColumn("description", collapse(body)).withColumn("attributes", H.attributes(F.col("description")))
-    return b.where(F.size("attributes") > 0).select("doc_id", F.lit(2).alias("strategy"), (F.col("page_number") * 1_000_000 + F.col("line_no")).cast("long").alias("seq"), "description", F.lit(None).cast("int").alias("quantity"), F.lit(None).cast("string").alias("part_number"), F.lit(None).cast("string").alias("unit_of_issue"), "attributes")
+    return _bullet_texts(lines).withColumn("attributes", H.attributes(F.col("text"))).where(F.size("attributes") > 0).select(*COMPONENT)
 
 
 def key_values(lines: DataFrame) -> DataFrame:
     """One attribute for each line with a known label: the recogniser's own for that category, else the plain value."""
-    label, value = F.trim(F.regexp_extract("text", H.KEY_VALUE, 1)), F.trim(F.regexp_extract("text", H.KEY_VALUE, 2))
-    k = lines.withColumn("label", label).withColumn("value", value).withColumn("category", H.label_category(F.col("label"))).where("label <> '' and category is not null")
-    own = F.get(F.filter(H.attributes(F.col("value")), lambda a: a["category"] == F.col("category")), F.lit(0))
-    plain = F.struct(F.col("category"), F.concat("label", F.lit(": "), "value").alias("raw"), F.col("value"), F.lit(None).cast("string").alias("unit"))
-    return k.select("doc_id", "page_number", "line_no", "category", F.coalesce(own, plain).alias("attribute"))
+    k = _keyed_texts(lines).withColumn("found", H.attributes(F.col("text")))
+    return k.select("doc_id", F.floor(F.col("seq") / 1_000_000).cast("int").alias("page_number"), (F.col("seq") % 1_000_000).cast("int").alias("line_no"), "category", _labelled(F.col("found")).alias("attribute"))
 
 
 def spec_sheets(keyed: DataFrame, least: int = 2) -> DataFrame:
     """One component for each document with two labelled fields or more."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "line_no", "attribute"))), lambda x: x["attribute"])
     s = keyed.groupBy("doc_id").agg(ordered.alias("attributes")).where(F.size("attributes") >= least)
-    return s.select("doc_id", F.lit(3).alias("strategy"), F.lit(0).cast("long").alias("seq"), F.lit("System (spec sheet)").alias("description"), F.lit(None).cast("int").alias("quantity"), F.lit(None).cast("string").alias("part_number"), F.lit(None).cast("string").alias("unit_of_issue"), "attributes")
+    return s.select("doc_id", F.lit(3).alias("strategy"), F.lit(0).cast("long").alias("seq"), F.lit(SHEET).alias("description"), F.lit(None).cast("int").alias("quantity"), F.lit(None).cast("string").alias("part_number"), F.lit(None).cast("string").alias("unit_of_issue"), "attributes")
+
+
+def _table_texts(cells: DataFrame) -> DataFrame:
+    """What describes each table row below the header, by one window over the table's cells."""
+    table = Window.partitionBy("doc_id", "table_id")
+    c = cells.select("doc_id", "table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    some = F.col("text").rlike("|".join(HEADERS.values()))
+    header = F.min(F.when((F.col("row") < 4) & some, F.col("row"))).over(table)
+    c = c.withColumn("n_rows", F.max("row").over(table) + 1).withColumn("header", header).where("n_rows >= 2")
+    fits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in HEADERS.items()]))
+    heads = F.array_sort(F.collect_list(F.when(F.col("row") == F.col("header"), F.struct("col", fits.alias("fits")))).over(table))
+    c = c.withColumn("heads", heads).where(F.col("row") > F.coalesce("header", F.lit(-1)))
+
+    # left to right, a cell takes the first free kind it fits
+    def take(acc: Column, x: Column) -> Column:
+        free = F.filter(x["fits"], lambda k: ~F.array_contains(F.map_keys(acc), k))
+        return F.when(F.size(free) > 0, F.map_concat(acc, F.map_from_arrays(F.array(F.get(free, F.lit(0))), F.array(x["col"].cast("int"))))).otherwise(acc)
+
+    r = c.groupBy("doc_id", "table_id", "row").agg(F.first("heads").alias("heads"), F.collect_list(F.struct("col", F.trim("text").alias("text"), F.length("text").alias("n"))).alias("cs"))
+    r = r.withColumn("m", F.aggregate("heads", F.from_json(F.lit("{}"), "map<string,int>"), take))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    text = lambda k: F.array_max(F.transform(F.filter("cs", lambda x: x["col"] == at(k)), lambda x: x["text"]))
+    longest = F.array_max(F.transform("cs", lambda x: F.struct(x["n"].alias("n"), (-x["col"]).alias("c"), x["text"].alias("text"))))["text"]
+    r = r.withColumn("d", F.when(at("description").isNull(), longest).otherwise(F.coalesce(text("description"), F.lit("")))).where("d <> ''")
+    some_of = lambda k: F.nullif(text(k), F.lit(""))
+    seq = (F.col("table_id") * 1_000_000 + F.col("row")).cast("long")
+    return r.select("doc_id", F.lit(1).alias("strategy"), seq.alias("seq"), F.col("d").alias("text"), collapse(F.col("d")).alias("description"), H.quantity(text("quantity")).alias("quantity"), some_of("part").alias("part_number"), some_of("unit").alias("unit_of_issue"), *_no_label())
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
@@ -54,30 +108,24 @@ def table_rows(cells: DataFrame) -> DataFrame:
     cell of each kind wins, a cell counting for the first kind it fits. Without a description column the longest cell
     of the row describes it.
     """
-    t = ["doc_id", "table_id"]
-    c = cells.withColumn("text", F.coalesce("text", F.lit("")))
-    sizes = c.groupBy(*t).agg((F.max("row") + 1).alias("n_rows")).where("n_rows >= 2").select(*t)
-    c = c.join(sizes, t)
-    some = F.col("text").rlike("|".join(HEADERS.values()))
-    header = c.where("row < 4").where(some).groupBy(*t).agg(F.min("row").alias("header"))
-    h = c.join(header.withColumnRenamed("header", "row"), [*t, "row"]).select(*t, "col", "text")
-    # left to right, a cell takes the first free kind it fits
-    fits = F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in HEADERS.items()])
-    ordered = F.array_sort(F.collect_list(F.struct("col", F.array_compact(fits).alias("fits"))))
+    return _table_texts(cells).withColumn("attributes", H.attributes(F.col("text"))).where(F.size("attributes") > 0).select(*COMPONENT)
 
-    def take(acc, x):
-        free = F.filter(x["fits"], lambda k: ~F.array_contains(F.map_keys(acc), k))
-        return F.when(F.size(free) > 0, F.map_concat(acc, F.map_from_arrays(F.array(F.get(free, F.lit(0))), F.array(x["col"].cast("int"))))).otherwise(acc)
 
-    start = F.from_json(F.lit("{}"), "map<string,int>")
-    columns = h.groupBy(*t).agg(ordered.alias("cells")).select(*t, F.aggregate("cells", start, take).alias("m"))
-    columns = columns.select(*t, *[F.try_element_at("m", F.lit(k)).alias(f"{k}_col") for k in HEADERS])
-    rows = c.join(header, t, "left").where(F.col("row") > F.coalesce("header", F.lit(-1))).join(columns, t, "left")
-    text = {k: F.max(F.when(F.col("col") == F.col(f"{k}_col"), F.trim("text"))) for k in HEADERS}
-    r = rows.groupBy(*t, "row", "description_col").agg(*[text[k].alias(k) for k in HEADERS], F.max_by(F.trim("text"), F.struct(F.length("text"), -F.col("col"))).alias("longest"))
-    d = F.when(F.col("description_col").isNull(), F.col("longest")).otherwise(F.coalesce("description", F.lit("")))
-    r = r.withColumn("d", d).where("d <> ''").withColumn("attributes", H.attributes(F.col("d"))).where(F.size("attributes") > 0)
-    return r.select("doc_id", F.lit(1).alias("strategy"), (F.col("table_id") * 1_000_000 + F.col("row")).cast("long").alias("seq"), collapse(F.col("d")).alias("description"), H.quantity(F.col("quantity")).alias("quantity"), F.nullif(F.trim("part"), F.lit("")).alias("part_number"), F.nullif(F.trim("unit"), F.lit("")).alias("unit_of_issue"), "attributes")
+def components(cells: DataFrame, lines: DataFrame) -> DataFrame:
+    """Components of tables, bullets and spec sheets, not merged yet: the union of the three strategies.
+
+    The recogniser's expression is large, so it stands once, over the texts of all three. They are spread by document
+    before, which keeps it from being copied into each of them and is what all later groupings need.
+    """
+    texts = _table_texts(cells).unionByName(_bullet_texts(lines)).unionByName(_keyed_texts(lines)).repartition("doc_id")
+    sheet = F.col("strategy") == 3
+    found = texts.withColumn("found", H.attributes(F.col("text")))
+    found = found.withColumn("attributes", F.when(sheet, F.array(_labelled(F.col("found")))).otherwise(F.col("found")))
+    one = found.groupBy("doc_id", "strategy", F.when(sheet, F.lit(0).cast("long")).otherwise(F.col("seq")).alias("seq")).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("place"), "attributes"))), lambda x: x["attributes"])).alias("attributes"),
+        *[F.max(c).alias(c) for c in ("description", "quantity", "part_number", "unit_of_issue")],
+    )
+    return one.where(F.size("attributes") >= F.when(sheet, 2).otherwise(1)).select(*COMPONENT)
 
 
 def merge_components(components: DataFrame) -> DataFrame:
@@ -117,17 +165,22 @@ def system_kind(components: DataFrame) -> DataFrame:
     return t.groupBy("doc_id").agg(*n).select("doc_id", _winner().alias("kind"))
 
 
+def _documents(components: DataFrame) -> DataFrame:
+    """One row a document: cs, its components in order, and what is counted on them."""
+    c = components.groupBy("doc_id").agg(F.count("*").alias("n_components"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("total_quantity"), F.array_sort(F.collect_list(F.struct("strategy", "seq", "description", "quantity", "part_number", "attributes"))).alias("cs"))
+    texts = F.flatten(F.transform("cs", lambda x: F.concat(F.array(x["description"]), F.transform(x["attributes"], lambda a: a["raw"]))))
+    c = c.withColumn("texts", texts).withColumn("n_categories", F.size(F.array_distinct(F.flatten(F.transform("cs", lambda x: F.transform(x["attributes"], lambda a: a["category"]))))))
+    c = c.select("*", *[_votes(k, p) for k, p in H.SYSTEMS.items()])
+    return c.withColumn("kind", _winner()).drop("texts", *H.SYSTEMS)
+
+
 def profile(components: DataFrame) -> DataFrame:
     """doc_id, kind, n_components, n_categories, total_quantity, confidence. components: merged.
 
     One grouping; a document's components are one array, on which the votes and counts are taken.
     """
-    c = components.groupBy("doc_id").agg(F.count("*").alias("n_components"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("total_quantity"), F.collect_list(F.struct("description", "attributes")).alias("cs"))
-    texts = F.flatten(F.transform("cs", lambda x: F.concat(F.array(x["description"]), F.transform(x["attributes"], lambda a: a["raw"]))))
-    c = c.withColumn("texts", texts).withColumn("n_categories", F.size(F.array_distinct(F.flatten(F.transform("cs", lambda x: F.transform(x["attributes"], lambda a: a["category"]))))))
-    c = c.select("*", *[_votes(k, p) for k, p in H.SYSTEMS.items()])
     score = F.least(F.lit(0.95), 0.4 + 0.08 * F.col("n_categories") + 0.03 * F.least(F.col("n_components"), F.lit(6)))
-    return c.select("doc_id", "n_components", "total_quantity", "n_categories", _winner().alias("kind"), F.bround(score, 2).alias("confidence"))
+    return _documents(components).select("doc_id", "n_components", "total_quantity", "n_categories", "kind", F.bround(score, 2).alias("confidence"))
 
 
 def _votes(kind: str, pattern: str) -> Column:
@@ -145,25 +198,38 @@ def _winner() -> Column:
 
 
 def section(components: DataFrame) -> DataFrame:
-    """doc_id, markdown: a paragraph on the system and a bullet for each component; texts cut at 160."""
+    """doc_id, markdown: a paragraph on the system and a bullet for each component; texts cut at 160. components: merged."""
     cut = lambda s: F.when(F.length(F.trim(s)) <= 160, F.trim(s)).otherwise(F.concat(F.rtrim(F.substring(F.trim(s), 1, 160)), F.lit("…")))
     names = F.create_map(*[F.lit(x) for kv in PHRASE.items() for x in kv])
-    detail = F.coalesce("value", cut(F.col("raw")))
-    unit = F.when(F.col("unit").isNotNull() & ~F.lower(detail).contains(F.lower("unit")), F.concat(F.lit(" "), "unit")).otherwise("")
-    phrase = F.concat(F.coalesce(F.try_element_at(names, F.col("category")), F.lit("other")), F.lit(": "), detail, unit)
-    specs = roll_up(components).groupBy("doc_id").agg(in_order(phrase, F.col("ord"), separator="; ").alias("specs"))
-    line = F.concat(F.lit("- "), F.when(F.col("quantity").isNotNull(), F.concat(F.lit("**Qty "), F.col("quantity").cast("string"), F.lit("** — "))).otherwise(""), cut(F.col("description")), F.when(F.col("part_number").isNotNull(), F.concat(F.lit(" · *part "), F.trim("part_number"), F.lit("*"))).otherwise(""))
-    rows = components.groupBy("doc_id").agg(in_order(line, F.col("strategy"), F.col("seq"), separator="\n").alias("rows"))
-    p = profile(components).join(specs, "doc_id", "left").join(rows, "doc_id")
+
+    def ranked(x: Column, a: Column, i: Column) -> Column:
+        """As roll_up() prefers them: with a value, the longest, the earliest."""
+        best = F.struct(a["value"].isNotNull().alias("v"), F.length(a["raw"]).alias("n"), (-x["strategy"]).alias("st"), (-x["seq"]).alias("se"), (-i).alias("i"))
+        return F.struct(best.alias("best"), a["category"].alias("category"), a["raw"].alias("raw"), a["value"].alias("value"), a["unit"].alias("unit"))
+
+    def phrase(a: Column) -> Column:
+        detail = F.coalesce(a["value"], cut(a["raw"]))
+        unit = F.when(a["unit"].isNotNull() & ~F.lower(detail).contains(F.lower(a["unit"])), F.concat(F.lit(" "), a["unit"])).otherwise("")
+        return F.concat(F.coalesce(F.try_element_at(names, a["category"]), F.lit("other")), F.lit(": "), detail, unit)
+
+    def line(x: Column) -> Column:
+        many = F.when(x["quantity"].isNotNull(), F.concat(F.lit("**Qty "), x["quantity"].cast("string"), F.lit("** — "))).otherwise("")
+        part = F.when(x["part_number"].isNotNull(), F.concat(F.lit(" · *part "), F.trim(x["part_number"]), F.lit("*"))).otherwise("")
+        return F.concat(F.lit("- "), many, cut(x["description"]), part)
+
+    p = _documents(components)
+    every = F.flatten(F.transform("cs", lambda x: F.transform(x["attributes"], lambda a, i: ranked(x, a, i))))
+    p = p.withColumn("every", every)
+    chosen = F.transform(F.array(*[F.lit(c) for c in H.CATEGORIES]), lambda k: F.array_max(F.filter("every", lambda a: a["category"] == k)))
+    specs = F.array_join(F.transform(F.array_compact(chosen), phrase), "; ")
+    rows = F.array_join(F.transform("cs", line), "\n")
     kind = F.when(F.col("kind") == "Unknown", "hardware").otherwise(F.concat(F.lit("a "), F.lower("kind")))
     total = F.when(F.col("total_quantity") > 0, F.concat(F.lit(" (total quantity "), F.col("total_quantity").cast("string"), F.lit(")"))).otherwise("")
-    para = F.concat(F.lit("This document specifies "), kind, total, F.lit("."), F.when(F.col("n_categories") > 0, F.concat(F.lit(" Key specifications: "), "specs", F.lit("."))).otherwise(""))
-    return p.select("doc_id", F.concat(F.lit("## Hardware specifications\n\n"), para, F.lit("\n\n"), "rows", F.lit("\n")).alias("markdown"))
+    para = F.concat(F.lit("This document specifies "), kind, total, F.lit("."), F.when(F.col("n_categories") > 0, F.concat(F.lit(" Key specifications: "), specs, F.lit("."))).otherwise(""))
+    return p.select("doc_id", F.concat(F.lit("## Hardware specifications\n\n"), para, F.lit("\n\n"), rows, F.lit("\n")).alias("markdown"))
 
 
 def append_section(documents: DataFrame, sections: DataFrame) -> DataFrame:
     """Document Markdown with its section, where it has components."""
     s = sections.select("doc_id", F.col("markdown").alias("section"))
     return documents.join(s, "doc_id", "left").select("doc_id", F.concat("markdown", F.when(F.col("section").isNotNull(), F.concat(F.lit("\n\n"), "section")).otherwise("")).alias("markdown"))
-
-

@@ -8,20 +8,63 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum_lower, pipe_escape, set_recall, trigrams
+from ..functions.geometry import Box
+from ..functions.text import alnum_lower, not_blank, pipe_escape, set_recall, strip, trigrams, undecodable_count
 from ..sources.tables import PAGE
 
 
-def lost_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lines of more than two characters, no furniture, that the page's Markdown holds neither plain nor escaped.
+_LINE = ["text", "x1", "y1", "x2", "y2"]
+
+
+def page_lines() -> Column:
+    """Aggregate: the lines of a page as one array, for lost_count()."""
+    return F.collect_list(F.struct(F.struct(*_LINE).alias("line"), F.col("is_furniture").alias("furniture"))).alias("lines")
+
+
+def lost_count(lines: Column, markdown: Column) -> Column:
+    """How many lines of more than two characters, no furniture, the Markdown holds neither plain nor escaped.
 
     Furniture is told by value: a line equal to a furniture line in text and box is furniture.
     """
-    same = [*PAGE, "text", "x1", "y1", "x2", "y2"]
-    furniture = lines.where("is_furniture").select(*same).distinct()
-    body = lines.join(furniture, same, "left_anti").join(pages.select(*PAGE, "markdown"), PAGE)
-    lost = (F.length("text") > 2) & ~F.col("markdown").contains(F.col("text")) & ~F.col("markdown").contains(pipe_escape(F.col("text")))
-    return pages.select(*PAGE).join(body.groupBy(*PAGE).agg(F.count_if(lost).alias("n")), PAGE, "left").select(*PAGE, F.coalesce("n", F.lit(0)).alias("lines_lost"))
+    furniture = F.transform(F.filter(lines, lambda l: l["furniture"]), lambda l: l["line"])
+
+    def lost(l: Column) -> Column:
+        t = l["line"]["text"]
+        return (F.length(t) > 2) & ~markdown.contains(t) & ~markdown.contains(pipe_escape(t)) & ~F.array_contains(furniture, l["line"])
+
+    return F.size(F.filter(lines, lost)).cast("long")
+
+
+def lost_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """lines_lost of every page: see lost_count(). A page's lines are one array beside its Markdown, so each side is
+    read once."""
+    per = lines.groupBy(*PAGE).agg(page_lines())
+    return pages.select(*PAGE, "markdown").join(per, PAGE, "left").select(*PAGE, F.coalesce(F.when(F.col("lines").isNotNull(), lost_count(F.col("lines"), F.coalesce("markdown", F.lit("")))), F.lit(0).cast("long")).alias("lines_lost"))
+
+
+def page_words(words: DataFrame, kept: Column) -> DataFrame:
+    """word_count, dropped_fraction, undecodable_fraction, truth_words, truth_found, words and recall_pct of every page.
+
+    What layer_quality() and word_recall() say where the output is those of the page's own words for which `kept` holds:
+    one reading of the words, combined by (page, word) before the shuffle, then by page.
+    """
+    box = Box.of()
+    flat = (box.width <= 0) | (box.height <= 0)
+    size = F.when(not_blank(F.col("text")), F.length(strip(F.col("text")))).otherwise(0)
+    some = not_blank(F.col("text"))
+    w = words.select(*PAGE, alnum_lower(F.col("text")).alias("w"), kept.alias("kept"), (some & ~flat).alias("good"), F.when(flat, size).otherwise(0).alias("lost"), F.when(flat, 0).otherwise(size).alias("held"), F.when(some, undecodable_count(F.col("text"))).otherwise(0).alias("bad"), F.when(some, F.length("text")).otherwise(0).alias("chars"))
+    w = w.groupBy(*PAGE, "w").agg(F.count("*").alias("n"), F.count_if("kept").alias("words"), F.count_if("good").alias("good"), *[F.sum(c).alias(c) for c in ("lost", "held", "bad", "chars")])
+    long = F.length("w") >= 3
+    lost, held = F.sum("lost"), F.sum("held")
+    p = w.groupBy(*PAGE).agg(
+        F.sum("good").alias("word_count"),
+        F.coalesce(lost / F.nullif(lost + held, F.lit(0)), F.lit(0.0)).alias("dropped_fraction"),
+        F.coalesce(F.sum("bad") / F.nullif(F.sum("chars"), F.lit(0)), F.lit(0.0)).alias("undecodable_fraction"),
+        F.sum(F.when(long, F.col("n")).otherwise(0)).alias("truth_words"),
+        F.sum(F.when(long & (F.col("words") > 0), F.col("n")).otherwise(0)).alias("truth_found"),
+        F.sum("words").alias("words"),
+    )
+    return p.withColumn("recall_pct", recall_pct(F.col("truth_words"), F.col("truth_found")))
 
 
 def word_recall(truth: DataFrame, output: DataFrame) -> DataFrame:

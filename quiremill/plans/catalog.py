@@ -277,23 +277,17 @@ def fast_lane_form_markdown(d: Data) -> DataFrame:
 # Verification
 
 
-def _pages_md(d: Data) -> DataFrame:
-    """Markdown of every page with some lines left out or their pipes escaped."""
-    r = layer.text_runs(d.words(), exact_rows=True).where((F.col("doc_id") + F.col("line_idx")) % 19 != 0)
-    return r.groupBy(*PAGE).agg(S.in_order(X.pipe_escape(F.col("text")), F.col("line_idx"), separator="\n").alias("markdown"))
-
-
-def _flagged_lines(d: Data) -> DataFrame:
-    return layer.text_runs(d.words(), exact_rows=True).withColumn("is_furniture", F.col("line_idx") % 31 == 0)
-
-
 LOST = f"""{I.TOKENS}, {I.RUNS}, md AS (SELECT doc_id, page_number, string_agg(replace(text, '|', '\\|'), chr(10) ORDER BY line_idx) AS markdown FROM runs WHERE (doc_id + line_idx) % 19 <> 0 GROUP BY doc_id, page_number),
 lost AS (SELECT m.doc_id, m.page_number, count(*) FILTER (WHERE line_idx % 31 <> 0 AND length(text) > 2 AND NOT contains(markdown, text) AND NOT contains(markdown, replace(text, '|', '\\|'))) AS lines_lost FROM md m LEFT JOIN runs r ON m.doc_id = r.doc_id AND m.page_number = r.page_number GROUP BY m.doc_id, m.page_number)"""
 
 
 @query(f"WITH {LOST} SELECT * FROM lost")
 def coverage_lost_lines(d: Data) -> DataFrame:
-    return verify.lost_lines(_flagged_lines(d), _pages_md(d))
+    """Pages with some lines left out or their pipes escaped; pages of which nothing is left have no Markdown."""
+    r = layer.text_runs(d.words(), exact_rows=True).withColumn("is_furniture", F.col("line_idx") % 31 == 0)
+    shown = F.when((F.col("doc_id") + F.col("line_idx")) % 19 != 0, X.pipe_escape(F.col("text")))
+    pages = r.groupBy(*PAGE).agg(verify.page_lines(), S.in_order(shown, F.col("line_idx"), separator="\n").alias("markdown"), F.count(shown).alias("n"))
+    return pages.where("n > 0").select(*PAGE, verify.lost_count(F.col("lines"), F.col("markdown")).alias("lines_lost"))
 
 
 RECALL = f"""{I.TOKENS}, tw AS (SELECT doc_id, page_number, {norm('text')} AS w, count(*) AS n FROM box GROUP BY ALL), gw AS (SELECT DISTINCT doc_id, page_number, {norm('text')} AS w FROM twin),
@@ -316,9 +310,9 @@ rep AS (SELECT r.*, CAST({_PCT} AS DOUBLE) AS recall_pct, coalesce(words, 0) AS
 
 
 def _report(d: Data) -> DataFrame:
-    r = verify.word_recall(d.words(), d.twin())
-    n = d.twin().groupBy(*PAGE).agg(F.count("*").alias("words"))
-    r = r.join(n, PAGE, "left").withColumn("words", F.coalesce("words", F.lit(0)))
+    """Recall, words and quality of every page, from its words in one pass."""
+    twin = (F.col("doc_id") * 31 + F.col("token_idx")) % 17 != 0  # what degraded() keeps
+    r = verify.page_words(d.words(), twin)
     return r.withColumn("source", F.when(F.col("doc_id") % 4 == 1, "Ocr").otherwise("TextLayer")).withColumn("needs_review", F.lit(False)).withColumn("lines_lost", F.when(F.col("doc_id") % 50 == 0, 1).otherwise(0))
 
 
@@ -338,12 +332,11 @@ CASE WHEN doc_id % 50 = 0 THEN 'lines lost' WHEN truth_words = 0 THEN 'no text l
 )
 def page_quality_report(d: Data) -> DataFrame:
     """The flagship: words, layer decision, lane plan, recall of the degraded reading, flag; one row a page."""
-    q = layer.layer_quality(d.words())
+    r = _report(d)
     at = F.col("doc_id") + F.col("page_number")
     kind = F.when(at % 6 == 0, "TableOrComplexLayout").when(at % 6 == 1, "ScannedImageOnly").otherwise("DigitalText")
-    pages = q.select(*PAGE, kind.alias("kind"), (((F.col("doc_id") * 13 + F.col("page_number") * 5) % 100) / F.lit(100.0)).alias("confidence"), F.lit(0).alias("rulings"))
-    plan = routing.lane_plan(pages).select(*PAGE, "lane")
-    r = _report(d).join(q, PAGE).join(plan, PAGE)
+    r = r.withColumns({"kind": kind, "confidence": ((F.col("doc_id") * 13 + F.col("page_number") * 5) % 100) / F.lit(100.0), "rulings": F.lit(0)})
+    r = routing.with_lanes(r)
     layered = layer.uses_layer(F.lit("Auto"), F.col("word_count"), F.col("dropped_fraction"), F.col("undecodable_fraction"))
     flag = verify.flag(F.lit(None).cast("string"), F.col("lines_lost"), F.col("truth_words"), F.col("recall_pct"), F.lit(None).cast("double"))
     return r.select(*PAGE, "word_count", layered.alias("from_layer"), "lane", "truth_words", "truth_found", F.round("recall_pct", 6).alias("recall_pct"), flag.alias("flag"))
@@ -525,9 +518,7 @@ def spec_table_rows(d: Data) -> DataFrame:
 
 
 def _components(d: Data) -> DataFrame:
-    lines = d.sql(LINES)
-    every = specs.table_rows(d.sql(PARTS_TABLE)).unionByName(specs.bullets(lines)).unionByName(specs.spec_sheets(specs.key_values(lines)))
-    return specs.merge_components(every)
+    return specs.merge_components(specs.components(d.sql(PARTS_TABLE), d.sql(LINES)))
 
 
 def _sum_matches(t: str) -> str:
