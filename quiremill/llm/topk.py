@@ -33,7 +33,7 @@ DIM_BLOCK = 16
 QUERY_BLOCK = 1024
 ROW_BLOCK = 8192
 #: Blocks of either side that meet in one task.
-QUERY_GROUP, ROW_GROUP = 4, 16
+QUERY_GROUP, ROW_GROUP = 1, 4
 
 
 def branch_and_bound(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
