@@ -10,51 +10,19 @@ from pyspark.sql import functions as F
 
 from .operators import compose, forms, layer, order, routing, shape, signals, specs, verify
 from .operators.pixels import STAGES, apply_stage, register
+from .process import Corpus, Options, Result, process, process_routed
 from .sources import tables
 
 
-@dataclass(frozen=True)
-class Options:
-    """Every option that changes a result, with its default."""
-
-    dpi: int = 300
-    min_scan_dpi: int = 150
-    upscale: bool = False
-    upscale_factor: float = 2.0
-    retry_low_resolution: bool = True
-    retry_min_words: int = 3
-    retry_min_confidence: float = 0.5
-    recover_image_text: bool = True
-    min_image_coverage: float = 0.1
-    detect_markings: bool = True
-    text_layer: str = "Auto"
-    min_layer_words: int = 5
-    max_dropped: float = 0.3
-    max_undecodable: float = 0.2
-    verify: bool = True
-    enumerator_order: bool = False
-    form_fields: bool = False
-    template_routing: bool = True
-    hardware_specs: bool = False
-    pages: tuple[int, ...] | None = None
-    preprocess_scans: bool = True
-    detect_orientation: bool = True
-    fast_lane: bool = False
-    escalation_share: float = 0.8
-    min_fast_confidence: float = 0.6
-    ruling_threshold: int = 0
-    min_fast_words: int = 5
-    min_trust_runs: int = 10
-    min_decode_trust: float = 0.5
-    template_match: float = 0.85
-    block_marked: bool = False
-
-
 @dataclass
 class Engine:
     spark: SparkSession
     options: Options = field(default_factory=Options)
 
+    def process(self, corpus: Corpus, on_plan: Callable[[DataFrame], None] | None = None) -> Result:
+        """Documents of a corpus, by lanes where fast_lane is on."""
+        return process_routed(corpus, self.options, on_plan) if self.options.fast_lane else process(corpus, self.options)
+
     def with_options(self, **changes: object) -> Engine:
         return Engine(self.spark, replace(self.options, **changes))
 

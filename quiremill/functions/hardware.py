@@ -121,11 +121,6 @@ def category_order(category: Column) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), category).cast("int")
 
 
-def system_scores(text: Column) -> Column:
-    """map<kind, number of vocabulary matches>."""
-    return F.create_map(*[x for k, p in SYSTEMS.items() for x in (F.lit(k), F.regexp_count(text, F.lit(p)))])
-
-
 def quantity(text: Column) -> Column:
     """First number of at most six digits."""
     return _group(text, r"\b([0-9]{1,6})\b").try_cast("int")

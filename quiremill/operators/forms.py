@@ -261,9 +261,10 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
 # learned spans
 
 
-def pair_values(spans: DataFrame, page_width: float, most: float = 0.35) -> DataFrame:
+def pair_values(spans: DataFrame, page_width: float, most: float = 0.35, words: DataFrame | None = None) -> DataFrame:
     """Nearest key of each value: left of it by the gap, or above by the gap and a quarter of the shift; within 0.35 of
-    the page's width. A key may serve several values; values without one stay, with a null key.
+    the page's width. A key may serve several values. A value without one takes the printed words near it, where words
+    are given (see nearby_words()); else it stays, with a null key.
 
     spans: span_idx, kind (Key or Value), text, confidence, box.
     """
@@ -275,8 +276,45 @@ def pair_values(spans: DataFrame, page_width: float, most: float = 0.35) -> Data
     keys, values = spans.where("kind = 'Key'"), spans.where("kind = 'Value'")
     m = values.alias("v").join(keys.alias("k"), _on("v", "k", PAGE) & (d <= most * page_width))
     best = m.groupBy(*[F.col(f"v.{c}").alias(c) for c in (*PAGE, "span_idx")]).agg(F.min_by(F.struct(F.col("k.text").alias("key"), F.col("k.confidence").alias("kc")), F.struct(d, F.col("k.span_idx"))).alias("b"))
-    j = values.join(best, [*PAGE, "span_idx"], "left")
-    return j.select(*PAGE, "span_idx", F.col("b.key").alias("key"), F.col("text").alias("value"), F.coalesce(F.least("confidence", "b.kc"), F.col("confidence")).alias("confidence"))
+    j = values.join(best, [*PAGE, "span_idx"], "left").withColumn("key", F.col("b.key"))
+    if words is not None:
+        near = nearby_words(j.where("b is null").select(*PAGE, "span_idx", "x1", "y1", "x2", "y2"), words)
+        j = j.drop("key").join(near, [*PAGE, "span_idx"], "left").withColumn("key", F.coalesce("b.key", "near")).drop("near")
+    return j.select(*PAGE, "span_idx", "key", F.col("text").alias("value"), F.coalesce(F.least("confidence", "b.kc"), F.col("confidence")).alias("confidence"))
+
+
+def nearby_words(values: DataFrame, words: DataFrame, most: int = 10) -> DataFrame:
+    """near: the printed name of each value, by place: the run of words left of it in its row, gaps of at most two
+    heights between; else the nearest row above it. At most ten words, without colon, stop or dash at the end.
+
+    words: word_idx, text, in_value, box; those in a value, or without a letter, name nothing. A value's words are few:
+    they are one array a value, on which the run is taken.
+    """
+    v, w = Box.of("v"), Box.of("w")
+    h = F.greatest(F.lit(1.0), v.height)
+    left = (F.abs(w.cy - v.cy) <= 0.8 * F.greatest(h, w.height)) & (w.x2 <= v.x1 + 0.25 * h)
+    above = (w.y2 <= v.y1 + 0.5 * h) & (w.x2 >= v.x1 - 2 * h) & (w.x1 <= v.x2 + 2 * h) & (v.y1 - w.y2 <= 3.5 * h)
+    names = words.where(~F.col("in_value") & F.col("text").rlike(r"\p{L}"))
+    m = values.alias("v").join(names.alias("w"), _on("v", "w", PAGE) & (left | above))
+    rest = [F.col("w.x1").alias("x1"), F.col("w.x2").alias("x2"), F.col("w.y2").alias("y2"), F.col("w.text").alias("text")]
+    word = lambda order: F.struct(order.alias("o"), F.col("w.word_idx").alias("i"), *rest)
+    g = m.groupBy(*[F.col(f"v.{c}").alias(c) for c in (*PAGE, "span_idx")], v.x1.alias("edge"), h.alias("h")).agg(
+        F.array_sort(F.collect_list(F.when(left, word(-w.x2)))).alias("ls"),
+        F.array_sort(F.collect_list(F.when(above, word(-w.y2)))).alias("above"),
+    )
+    kind = g.schema["ls"].dataType.simpleString()
+    start = F.struct(F.col("edge").alias("edge"), F.lit(True).alias("goes"), F.array().cast(kind).alias("run"))
+
+    def step(acc: Column, x: Column) -> Column:
+        goes = acc["goes"] & (acc["edge"] - x["x2"] <= 2 * F.col("h"))
+        return F.struct(F.when(goes, x["x1"]).otherwise(acc["edge"]).alias("edge"), goes.alias("goes"), F.when(goes, F.concat(F.array(x), acc["run"])).otherwise(acc["run"]).alias("run"))
+
+    g = g.withColumn("run", F.aggregate("ls", start, step, lambda acc: acc["run"]))
+    row = F.filter("above", lambda x: F.element_at("above", 1)["y2"] - x["y2"] <= 0.8 * F.col("h"))
+    row = F.transform(F.array_sort(F.transform(row, lambda x: F.struct(x["x1"].alias("x1"), x["o"].alias("o"), x["i"].alias("i"), x["text"].alias("text")))), lambda x: x["text"])
+    chosen = F.when(F.size("run") > 0, F.transform("run", lambda x: x["text"])).otherwise(F.when(F.size("above") > 0, row).otherwise(F.array().cast("array<string>")))
+    text = F.regexp_replace(F.trim(F.array_join(F.slice(chosen, 1, most), " ")), r"[:.\-]+$", "")
+    return g.select(*PAGE, "span_idx", F.nullif(text, F.lit("")).alias("near"))
 
 
 def bio_spans(labels: DataFrame) -> DataFrame:

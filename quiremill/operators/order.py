@@ -228,8 +228,3 @@ def merge_bands(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
                 continue
         out.append((lo, hi))
     return out
-
-
-def box_metrics(items: DataFrame) -> DataFrame:
-    b = Box.of()
-    return items.withColumn("width", b.width).withColumn("height", b.height).withColumn("cx", b.cx).withColumn("cy", b.cy).withColumn("area", b.area)

@@ -240,18 +240,64 @@ def blur(image: np.ndarray, radius: int = 1) -> np.ndarray:
     return (sum(p[i : i + image.shape[0], j : j + image.shape[1]] for i in range(k) for j in range(k)) / (k * k)).astype(np.uint8)
 
 
+def _cubic(n: int, m: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n samples of a row of m: the four it is made of, and their Catmull-Rom weights."""
+    at = (np.arange(n) + 0.5) / factor - 0.5
+    base = np.floor(at).astype(int)
+    t = at - base
+    weight = np.stack([((-0.5 * t + 1) * t - 0.5) * t, (1.5 * t - 2.5) * t * t + 1, ((-1.5 * t + 2) * t + 0.5) * t, (0.5 * t - 0.5) * t * t])
+    return np.clip(base + np.arange(-1, 3)[:, None], 0, m - 1), weight
+
+
 def upscale(image: np.ndarray, factor: float) -> np.ndarray:
-    """Enlarge by linear interpolation; factors up to 1 change nothing."""
-    if factor <= 1:
+    """Enlarge by cubic interpolation, first along x, then along y; factors up to 1 change nothing."""
+    h, w = round(image.shape[0] * factor), round(image.shape[1] * factor)
+    if factor <= 1 or h <= image.shape[0] or w <= image.shape[1]:
         return image
-    h, w = int(image.shape[0] * factor), int(image.shape[1] * factor)
-    y, x = (np.clip((np.arange(n) + 0.5) / factor - 0.5, 0, m - 1) for n, m in ((h, image.shape[0]), (w, image.shape[1])))
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
     s = image.astype(np.float64)
-    top, low = s[y0][:, x0] * (1 - fx) + s[y0][:, x1] * fx, s[y1][:, x0] * (1 - fx) + s[y1][:, x1] * fx
-    return (top * (1 - fy) + low * fy + 0.5).astype(np.uint8)
+    at, k = _cubic(w, image.shape[1], factor)
+    s = sum(s[:, at[i]] * k[i][None, :, None] for i in range(4))
+    at, k = _cubic(h, image.shape[0], factor)
+    s = sum(s[at[i]] * k[i][:, None, None] for i in range(4))
+    return np.clip(s + 0.5, 0, 255).astype(np.uint8)
+
+
+def turn(image: np.ndarray, degrees: float, fill: float = 255) -> np.ndarray:
+    """The image turned clockwise by any angle about its centre, in a frame of its own size; what comes in is white."""
+    h, w = image.shape[:2]
+    a = np.deg2rad(degrees)
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
+    dx, dy = x - (w - 1) / 2, y - (h - 1) / 2
+    sx, sy = np.cos(a) * dx + np.sin(a) * dy + (w - 1) / 2, -np.sin(a) * dx + np.cos(a) * dy + (h - 1) / 2
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
+    p = np.pad(image.astype(np.float64), ((1, 1), (1, 1), (0, 0)), constant_values=fill)
+    at = lambda r, c: p[np.clip(r + 1, 0, h + 1), np.clip(c + 1, 0, w + 1)]
+    out = (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+    return np.clip(out + 0.5, 0, 255).astype(np.uint8)
+
+
+#: Below, an angle is noise; above, it is no skew.
+LEAST_SKEW, MOST_SKEW = 0.3, 8.0
+
+
+def deskew(image: np.ndarray) -> tuple[np.ndarray, float]:
+    """The image with its text rows level, and the skew it had; 0 if it was left alone."""
+    skew = skew_degrees(image, MOST_SKEW)
+    if not LEAST_SKEW <= abs(skew) <= MOST_SKEW:
+        return image, 0.0
+    return turn(image, -skew), skew
+
+
+def in_turn(*steps: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """One change of an image made of several, from first to last."""
+
+    def run(image: np.ndarray) -> np.ndarray:
+        for step in steps:
+            image = step(image)
+        return image
+
+    return run
 
 
 def row_split(image: np.ndarray, box: tuple[int, int, int, int], dark: float = 128) -> list[tuple[int, int]]:
@@ -271,11 +317,12 @@ def ctc_greedy(scores: np.ndarray, alphabet: str, blank: int = 0) -> tuple[str,
 
 
 def preprocess(image: np.ndarray) -> dict[str, object]:
-    """Watermark, contrast, specks, then the skew left: what a scan goes through before it is read."""
+    """Watermark, contrast, specks, then skew: what a scan goes through before it is read. skew: what was taken out."""
     image, watermark = suppress_watermark(image)
     image, contrast = stretch_contrast(image)
     image, specks = despeckle(image)
-    return {"pixels": image.tobytes(), "skew": skew_degrees(image), "watermark": watermark, "contrast": contrast, "despeckled": specks}
+    image, skew = deskew(image)
+    return {"pixels": image.tobytes(), "skew": skew, "watermark": watermark, "contrast": contrast, "despeckled": specks}
 
 
 Stage = Callable[[np.ndarray], dict[str, object]]

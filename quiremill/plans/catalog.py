@@ -887,6 +887,29 @@ def learned_pairing(d: Data) -> DataFrame:
     return forms.pair_values(d.sql(SPANS), 600.0)
 
 
+_LETTER = r"regexp_matches(w.text, '\p{L}')"
+
+
+@query(
+    f"""WITH s AS ({SPANS}), p AS (SELECT v.doc_id, v.page_number, v.span_idx, k.text AS kt, k.confidence AS kc, k.span_idx AS ki, CASE WHEN (k.y1 + k.y2) / 2 BETWEEN v.y1 - (v.y2 - v.y1) AND v.y2 + (v.y2 - v.y1) AND k.x2 <= v.x1 + 0.25 * (v.x2 - v.x1) THEN greatest(0, v.x1 - k.x2) WHEN k.y2 <= v.y1 + 0.5 * (v.y2 - v.y1) AND k.x2 >= v.x1 - (k.x2 - k.x1) AND k.x1 <= v.x2 THEN greatest(0, v.y1 - k.y2) + 0.25 * abs(k.x1 - v.x1) END AS dist FROM s v JOIN s k ON k.doc_id = v.doc_id AND k.kind = 'Key' AND v.kind = 'Value'),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, span_idx ORDER BY dist, ki) AS i FROM p WHERE dist <= 0.35 * 60) WHERE i = 1), v AS (SELECT s.*, greatest(1.0, s.y2 - s.y1) AS h FROM s ANTI JOIN b USING (doc_id, span_idx) WHERE kind = 'Value'),
+lw AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM ({I.FORM_LINES}) f), e AS (SELECT *, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS k FROM lw),
+u AS (SELECT *, greatest(1, x2 - x1) / greatest(1, list_sum(list_transform(ws, lambda x: length(x))) + len(ws) - 1) AS unit, coalesce(list_sum(list_transform(ws[1:k], lambda x: length(x) + 1)), 0) AS before FROM e),
+w AS (SELECT doc_id, line_idx * 1000 + k AS word_idx, word AS text, x1 + before * unit AS x1, y1, least(x1 + before * unit + length(word) * unit, x2) AS x2, y2 FROM u WHERE line_idx % 2 = 0),
+le AS (SELECT v.doc_id, v.span_idx, v.h, w.*, row_number() OVER o AS i, coalesce(lag(w.x1) OVER o, v.x1) - w.x2 AS gap FROM v JOIN w ON w.doc_id = v.doc_id AND {_LETTER} AND abs((w.y1 + w.y2) / 2 - (v.y1 + v.y2) / 2) <= 0.8 * greatest(h, w.y2 - w.y1) AND w.x2 <= v.x1 + 0.25 * h WINDOW o AS (PARTITION BY v.doc_id, v.span_idx ORDER BY w.x2 DESC, w.word_idx)),
+ru AS (SELECT *, max(CASE WHEN gap > 2 * h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, span_idx ORDER BY i) AS cut FROM le), rt AS (SELECT doc_id, span_idx, text, row_number() OVER (PARTITION BY doc_id, span_idx ORDER BY i DESC) AS n FROM ru WHERE cut = 0),
+ab AS (SELECT v.doc_id, v.span_idx, v.h, w.*, max(w.y2) OVER (PARTITION BY v.doc_id, v.span_idx) AS low FROM v JOIN w ON w.doc_id = v.doc_id AND {_LETTER} AND w.y2 <= v.y1 + 0.5 * h AND w.x2 >= v.x1 - 2 * h AND w.x1 <= v.x2 + 2 * h AND v.y1 - w.y2 <= 3.5 * h),
+abn AS (SELECT doc_id, span_idx, text, row_number() OVER (PARTITION BY doc_id, span_idx ORDER BY x1, y2 DESC, word_idx) AS n FROM ab WHERE low - y2 <= 0.8 * h),
+nm AS (SELECT doc_id, span_idx, string_agg(text, ' ' ORDER BY n) AS t FROM rt WHERE n <= 10 GROUP BY ALL UNION ALL SELECT doc_id, span_idx, string_agg(text, ' ' ORDER BY n) FROM abn ANTI JOIN rt USING (doc_id, span_idx) WHERE n <= 10 GROUP BY ALL)
+SELECT s.doc_id, s.page_number, s.span_idx, coalesce(b.kt, nullif(regexp_replace(trim(nm.t), '[:.-]+$', ''), '')) AS key, s.text AS value, coalesce(least(s.confidence, kc), s.confidence) AS confidence FROM s LEFT JOIN b USING (doc_id, span_idx) LEFT JOIN nm USING (doc_id, span_idx) WHERE s.kind = 'Value'"""
+)
+def learned_key_fallback(d: Data) -> DataFrame:
+    """Values beyond the reach of a learned key take the words printed left of them or above."""
+    w = forms.word_boxes(d.sql(I.FORM_LINES))
+    w = w.select(*PAGE, (F.col("line_idx") * 1000 + F.col("word_idx")).alias("word_idx"), "text", (F.col("line_idx") % 2 == 1).alias("in_value"), "x1", "y1", "x2", "y2")
+    return forms.pair_values(d.sql(SPANS), 60.0, words=w)
+
+
 BIO = "SELECT l_orderkey AS doc_id, CAST(1 AS INT) AS page_number, CAST(l_linenumber AS INT) AS word_idx, CASE CAST(MAX(l_quantity) AS INT) % 7 WHEN 0 THEN 'B-KEY' WHEN 1 THEN 'I-KEY' WHEN 2 THEN 'B-VALUE' WHEN 3 THEN 'I-VALUE' WHEN 4 THEN 'VALUE' WHEN 5 THEN 'O' ELSE 'I-VALUE' END AS label, CAST(MAX(l_discount) AS DOUBLE) AS prob FROM {lineitem} GROUP BY l_orderkey, l_linenumber"
 
 
