@@ -11,6 +11,7 @@ from ..functions import hardware as H
 from ..functions import text as X
 from ..functions.geometry import Box, from_points, to_grid
 from ..operators import compose, forms, layer, order, routing, shape, signals, specs, verify
+from ..process import Corpus, process
 from ..sources import tables as S
 from . import inputs as I
 from .inputs import Data, oracle
@@ -1009,3 +1010,21 @@ def truth_pairing(d: Data) -> DataFrame:
     t = r.select(*cols, F.col("region_idx").alias("truth_idx"), F.col("raw_label").alias("value"))
     p = r.select(*PAGE, (F.col("x1") + 20).alias("x1"), "y1", (F.col("x2") + 20).alias("x2"), "y2", F.col("region_idx").alias("pred_idx"), F.col("type").alias("value"))
     return forms.pair_truth(t, p).withColumn("overlap", F.round("overlap", 9))
+
+
+# The whole way
+
+
+@query(
+    f"""WITH {I.TOKENS}, {SPLICED}, tw AS (SELECT doc_id, page_number, count(*) FILTER (WHERE length({norm('text')}) >= 3) AS n FROM spl GROUP BY ALL),
+im AS (SELECT *, CAST(round_even(least(sample_w / (placed_w / 72.0), sample_h / (placed_h / 72.0)), 0) AS INT) AS d, placed_w * placed_h / (page_w * page_h) AS cover FROM ({I.IMAGES}) i),
+dp AS (SELECT doc_id, page_number, arg_max(d, cover * 1000 + image_idx * 0.0001) FILTER (WHERE cover >= 0.5) AS dpi, least(1.0, sum(CASE WHEN cover >= 0.01 THEN cover ELSE 0 END)) AS coverage FROM im GROUP BY ALL),
+k AS (SELECT t.doc_id, t.page_number, n, dpi, coalesce(coverage, 0) AS coverage, coalesce(word_count >= 5 AND dropped_fraction <= 0.3 AND undecodable_fraction <= 0.2, FALSE) AS ok, coalesce(undecodable_fraction <= 0.2, FALSE) AS sound FROM tw t LEFT JOIN quality q USING (doc_id, page_number) LEFT JOIN dp USING (doc_id, page_number))
+SELECT doc_id, page_number, CASE WHEN ok THEN 'TextLayer' ELSE 'Ocr' END AS source, CASE WHEN NOT ok THEN dpi END AS effective_dpi, coalesce(NOT ok AND dpi < 150, FALSE) AS low_resolution, CASE WHEN sound THEN n ELSE 0 END AS truth_words, CASE WHEN ok THEN n ELSE 0 END AS truth_found, CASE WHEN ok THEN coverage >= 0.1 ELSE NOT sound OR n = 0 END AS needs_review, CAST(0 AS BIGINT) AS lines_lost FROM k"""
+)
+def process_documents(d: Data) -> DataFrame:
+    """Documents with a text layer of mixed worth and images behind it, through all of process(); no layout, no readings."""
+    w = _spliced(d)
+    pages = w.groupBy(*PAGE).agg(F.lit(1000).alias("width_px"), F.lit(S.PAGE_HEIGHT).alias("height_px"))
+    r = process(Corpus(pages=pages, words=w, images=d.sql(I.IMAGES)))
+    return r.pages.select(*PAGE, "source", "effective_dpi", "low_resolution", "truth_words", "truth_found", "needs_review", "lines_lost")
