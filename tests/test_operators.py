@@ -203,13 +203,13 @@ def test_classify_fills_pages_as_the_reference_does(spark):
     signals = spark.createDataFrame([(1, 2, "form", 0.5, 3), (2, 1, "form", 0.5, 3), (2, 4, "other", 0.25, 0), (3, 3, "form", 0.75, 1), (5, 1, "form", 0.5, 2)], "doc_id long, page_number int, class string, confidence double, rulings int")
     got = sorted(tuple(r) for r in routing.classify(docs, signals).collect())
     assert got == [
-        *[(1, n, "Unprocessable", 0.5 if n == 2 else 1.0, 3 if n == 2 else 0) for n in (1, 2, 3, 4)],
+        *[(1, n, "Unprocessable", 1.0, 0) for n in (1, 2, 3, 4)],
         (2, 1, "FormPage", 0.5, 3),
         (2, 4, "Mixed", 0.25, 0),
         (3, 3, "Mixed", 0.75, 1),
         (4, 1, "Mixed", 1.0, 0),
         (4, 2, "Mixed", 1.0, 0),
-        (5, 1, "Unprocessable", 0.5, 2),
+        (5, 1, "Unprocessable", 1.0, 0),
     ]
 
 
