@@ -22,7 +22,7 @@ def region_types(detected: DataFrame) -> DataFrame:
 
 def read_order(lines: DataFrame) -> DataFrame:
     """Recognised lines with line_idx: their place in the page, by rows of twenty, then from the left."""
-    place = Window.partitionBy(*PAGE).orderBy(F.bround(F.col("y1") / 20), "x1", "y1", "text")
+    place = Window.partitionBy(*PAGE).orderBy(F.bround(F.col("y1") / 20), "x1", "y1")
     return lines.withColumn("line_idx", (F.row_number().over(place) - 1).cast("int"))
 
 
