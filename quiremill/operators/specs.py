@@ -27,13 +27,13 @@ def composed_lines(pages: DataFrame) -> DataFrame:
 def _bullet_texts(lines: DataFrame) -> DataFrame:
     body = F.regexp_extract("text", H.BULLET, 1)
     b = lines.where((body != "") & ~F.col("text").rlike(H.KEY_VALUE)).withColumn("t", collapse(body))
-    return b.select("doc_id", F.lit(2).alias("strategy"), _at().alias("seq"), F.col("t").alias("text"), F.col("t").alias("description"), *_no_scalars(), *_no_label())
+    return b.select("doc_id", F.lit(2).alias("strategy"), _at().alias("seq"), *_place("page_number", "line_no"), F.col("t").alias("text"), F.col("t").alias("description"), *_no_scalars(), *_no_label())
 
 
 def _keyed_texts(lines: DataFrame) -> DataFrame:
     label, value = F.trim(F.regexp_extract("text", H.KEY_VALUE, 1)), F.trim(F.regexp_extract("text", H.KEY_VALUE, 2))
     k = lines.withColumn("label", label).withColumn("value", value).withColumn("category", H.label_category(F.col("label"))).where("label <> '' and category is not null")
-    return k.select("doc_id", F.lit(3).alias("strategy"), _at().alias("seq"), F.col("value").alias("text"), F.lit(SHEET).alias("description"), *_no_scalars(), "label", "category")
+    return k.select("doc_id", F.lit(3).alias("strategy"), _at().alias("seq"), *_place("page_number", "line_no"), F.col("value").alias("text"), F.lit(SHEET).alias("description"), *_no_scalars(), "label", "category")
 
 
 def _at() -> Column:
@@ -41,6 +41,11 @@ def _at() -> Column:
     return (F.col("page_number") * 1_000_000 + F.col("line_no")).cast("long")
 
 
+def _place(page: str, line: str) -> tuple[Column, ...]:
+    """Both parts of a place by themselves: seq joins them, and a line number of a million or more reaches the next page's."""
+    return (F.col(page).cast("long").alias("part"), F.col(line).cast("long").alias("line"))
+
+
 def _no_scalars() -> tuple[Column, ...]:
     return (F.lit(None).cast("int").alias("quantity"), F.lit(None).cast("string").alias("part_number"), F.lit(None).cast("string").alias("unit_of_issue"))
 
@@ -64,7 +69,7 @@ def bullets(lines: DataFrame) -> DataFrame:
 def key_values(lines: DataFrame) -> DataFrame:
     """One attribute for each line with a known label: the recogniser's own for that category, else the plain value."""
     k = _keyed_texts(lines).withColumn("found", H.attributes(F.col("text")))
-    return k.select("doc_id", F.floor(F.col("seq") / 1_000_000).cast("int").alias("page_number"), (F.col("seq") % 1_000_000).cast("int").alias("line_no"), "category", _labelled(F.col("found")).alias("attribute"))
+    return k.select("doc_id", F.col("part").cast("int").alias("page_number"), F.col("line").cast("int").alias("line_no"), "category", _labelled(F.col("found")).alias("attribute"))
 
 
 def spec_sheets(keyed: DataFrame, least: int = 2) -> DataFrame:
@@ -98,7 +103,7 @@ def _table_texts(cells: DataFrame) -> DataFrame:
     r = r.withColumn("d", F.when(at("description").isNull(), longest).otherwise(F.coalesce(text("description"), F.lit("")))).where("d <> ''")
     some_of = lambda k: F.nullif(text(k), F.lit(""))
     seq = (F.col("table_id") * 1_000_000 + F.col("row")).cast("long")
-    return r.select("doc_id", F.lit(1).alias("strategy"), seq.alias("seq"), F.col("d").alias("text"), collapse(F.col("d")).alias("description"), H.quantity(text("quantity")).alias("quantity"), some_of("part").alias("part_number"), some_of("unit").alias("unit_of_issue"), *_no_label())
+    return r.select("doc_id", F.lit(1).alias("strategy"), seq.alias("seq"), *_place("table_id", "row"), F.col("d").alias("text"), collapse(F.col("d")).alias("description"), H.quantity(text("quantity")).alias("quantity"), some_of("part").alias("part_number"), some_of("unit").alias("unit_of_issue"), *_no_label())
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
@@ -121,8 +126,10 @@ def components(cells: DataFrame, lines: DataFrame) -> DataFrame:
     sheet = F.col("strategy") == 3
     found = texts.withColumn("found", H.attributes(F.col("text")))
     found = found.withColumn("attributes", F.when(sheet, F.array(_labelled(F.col("found")))).otherwise(F.col("found")))
-    one = found.groupBy("doc_id", "strategy", F.when(sheet, F.lit(0).cast("long")).otherwise(F.col("seq")).alias("seq")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("place"), "attributes"))), lambda x: x["attributes"])).alias("attributes"),
+    none = F.lit(0).cast("long")
+    place = [F.when(sheet, none).otherwise(F.col(c)).alias(c) for c in ("seq", "part", "line")]
+    one = found.groupBy("doc_id", "strategy", *place).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("part").alias("p"), F.col("line").alias("l"), "attributes"))), lambda x: x["attributes"])).alias("attributes"),
         *[F.max(c).alias(c) for c in ("description", "quantity", "part_number", "unit_of_issue")],
     )
     return one.where(F.size("attributes") >= F.when(sheet, 2).otherwise(1)).select(*COMPONENT)
