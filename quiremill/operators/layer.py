@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.geometry import Box
 from ..functions.text import not_blank, strip, undecodable_count, word_count
 from ..sources.tables import PAGE, in_order
+from .pagewise import Pages, folded, joined, keyed, low, pagewise
 
 
 def _fold(keys: list[str], tolerance: float):
@@ -57,20 +58,81 @@ def row_text(items: DataFrame, idx: str, keys: list[str] | None = None) -> DataF
     return items.groupBy(*keys, "row_id").agg(in_order(F.col("text"), F.col("x1"), F.col(idx), separator="  ").alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.count("*").alias("n_items"))
 
 
+def _rows(p: Pages, idx: str, exact: bool, tolerance: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+    """(order, row): items by page, row, x1 and place, and the row of each in that order."""
+    y1, y2, at = p.numbers("y1"), p.numbers("y2"), low(p.numbers(idx))
+    order = np.lexsort((at, low(y1 if exact else (y1 + y2) / 2), p.page))
+    page, y1, y2 = p.page[order], y1[order], y2[order]
+    if exact:
+        y = low(y1)
+        row = np.cumsum(np.concatenate([[True], (page[1:] != page[:-1]) | (y[1:] != y[:-1])])) if len(y) else np.empty(0, np.int64)
+    else:
+        row = folded(page, (y1 + y2) / 2, y2 - y1, tolerance)
+    again = np.lexsort((at[order], low(p.numbers("x1"))[order], row, page))
+    return order[again], row[again]
+
+
+def _starts(*parts: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(parts[0]), bool)
+    new[:1] = True
+    for x in parts:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _number(x: np.ndarray) -> pa.Array:
+    return pa.array(x, from_pandas=True)
+
+
 def text_runs(words: DataFrame, idx: str = "token_idx", exact_rows: bool = False) -> DataFrame:
     """Runs of words: rows, cut where the gap to the word before exceeds 1.5 times the row's mean height.
 
-    line_idx follows y (in steps of 20) and x.
+    line_idx follows y (in steps of 20) and x. Whole pages go through arrays, after one shuffle of packed pages.
+    exact_rows: equal y1 is one row, where rows are known to be exact.
     """
-    rows = grid_rows(words) if exact_rows else row_clusters(words, idx)
-    by_row = Window.partitionBy(*PAGE, "row_id")
-    in_row = by_row.orderBy("x1", idx)
-    gap = F.col("x1") - F.lag("x2").over(in_row)
-    cut = F.when(gap > 1.5 * F.greatest(F.lit(1.0), F.avg(F.col("y2") - F.col("y1")).over(by_row)), 1).otherwise(0)
-    runs = rows.withColumn("cut", cut).withColumn("run", F.sum("cut").over(in_row))
-    runs = runs.groupBy(*PAGE, "row_id", "run").agg(in_order(F.col("text"), F.col("x1"), F.col(idx), separator=" ").alias("text"), *[f(c).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))], F.count("*").alias("n_words"))
-    order = Window.partitionBy(*PAGE).orderBy(F.bround(F.col("y1") / 20), "x1", "row_id", "run")
-    return runs.withColumn("line_idx", (F.row_number().over(order) - 1).cast("int")).drop("row_id", "run")
+    kinds = words.schema
+
+    def step(p: Pages) -> dict[str, pa.Array]:
+        order, row = _rows(p, idx, exact_rows)
+        page, (x1, y1, x2, y2) = p.page[order], (p.numbers(c)[order] for c in ("x1", "y1", "x2", "y2"))
+        new_row = _starts(page, row)
+        first = np.flatnonzero(new_row)
+        h = y2 - y1
+        known = ~np.isnan(h)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.add.reduceat(np.where(known, h, 0.0), first) / np.add.reduceat(known.astype(np.int64), first) if len(first) else np.empty(0)
+        mean = np.repeat(np.fmax(1.0, mean), np.diff(np.append(first, len(order))))
+        cut = new_row.copy()
+        cut[1:] |= x1[1:] - x2[:-1] > 1.5 * mean[1:]
+        start = np.flatnonzero(cut)
+        text = joined(p.cols["text"], order, start, " ")
+        box = [f.reduceat(v, start) if len(start) else v for f, v in ((np.fmin, x1), (np.fmin, y1), (np.fmax, x2), (np.fmax, y2))]
+        place = np.lexsort((low(box[0]), low(np.rint(box[1] / 20)), page[start]))
+        at = page[start][place]
+        top = np.flatnonzero(_starts(at))
+        line = np.arange(len(at)) - np.repeat(top, np.diff(np.append(top, len(at))))
+        return {**keyed(p, PAGE, at), "text": text.take(pa.array(place)), **{c: _number(v[place]) for c, v in zip(("x1", "y1", "x2", "y2"), box)}, "n_words": pa.array(np.diff(np.append(start, len(order)))[place]), "line_idx": pa.array(line)}
+
+    fields = [kinds[k] for k in PAGE] + [kinds["text"]] + [kinds[c] for c in ("x1", "y1", "x2", "y2")]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("n_words", T.LongType()), T.StructField("line_idx", T.IntegerType())])
+    return pagewise(words, PAGE, [idx, "text", "x1", "y1", "x2", "y2"], step, schema)
+
+
+def visual_rows(items: DataFrame, idx: str, keys: list[str] | None = None) -> DataFrame:
+    """row_text() of row_clusters(), over whole pages at once."""
+    keys = keys or PAGE
+    kinds = items.schema
+
+    def step(p: Pages) -> dict[str, pa.Array]:
+        order, row = _rows(p, idx, False)
+        page, x1, y1 = p.page[order], p.numbers("x1")[order], p.numbers("y1")[order]
+        start = np.flatnonzero(_starts(page, row))
+        box = [np.fmin.reduceat(v, start) if len(start) else v for v in (x1, y1)]
+        return {**keyed(p, keys, page[start]), "row_id": pa.array(row[start]), "text": joined(p.cols["text"], order, start, "  "), "x1": _number(box[0]), "y1": _number(box[1]), "n_items": pa.array(np.diff(np.append(start, len(order))))}
+
+    fields = [T.StructField(k, kinds[k].dataType) for k in keys]
+    schema = T.StructType([*fields, T.StructField("row_id", T.IntegerType()), *[T.StructField(c, kinds[c].dataType) for c in ("text", "x1", "y1")], T.StructField("n_items", T.LongType())])
+    return pagewise(items, keys, [idx, "text", "x1", "y1", "y2"], step, schema)
 
 
 def layer_quality(words: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def text_runs_folded(d: Data) -> DataFrame:
 
 @query(f"WITH {I.TOKENS} SELECT doc_id, page_number, string_agg(text, '  ' ORDER BY x1) AS text, min(x1) AS x1, y1, count(*) AS n_items FROM box GROUP BY doc_id, page_number, y1")
 def visual_rows(d: Data) -> DataFrame:
-    return layer.row_text(layer.row_clusters(d.words(), "token_idx"), "token_idx").drop("row_id")
+    return layer.visual_rows(d.words(), "token_idx").drop("row_id")
 
 
 def _spliced(d: Data) -> DataFrame:
@@ -101,9 +101,8 @@ def xfa_placeholder(d: Data) -> DataFrame:
     return layer.xfa_placeholder(d.sql(XFA))
 
 
-def _shifted(d: Data) -> DataFrame:
+def _shifted(r: DataFrame) -> DataFrame:
     """Recognised lines: the runs moved right, every second one far."""
-    r = layer.text_runs(d.words(), exact_rows=True)
     by = F.when(F.col("line_idx") % 2 == 0, F.lit(10_000.0)).otherwise(F.floor((F.col("x2") - F.col("x1")) / 20) * 10 + F.col("line_idx") % 3 * 60)
     return r.withColumns({"line_idx": F.col("line_idx") + 1000, "x1": F.col("x1") + by, "x2": F.col("x2") + by})
 
@@ -116,7 +115,8 @@ UNION ALL SELECT doc_id, page_number, line_idx, text, x1, y1, x2, y2, 'Ocr' FROM
   AND (least(o.x2, r.x2) - greatest(o.x1, r.x1)) * (least(o.y2, r.y2) - greatest(o.y1, r.y1)) / greatest(1, (o.x2 - o.x1) * (o.y2 - o.y1)) > 0.3)"""
 )
 def mixed_page_merge(d: Data) -> DataFrame:
-    return layer.merge_recognised(layer.text_runs(d.words(), exact_rows=True), _shifted(d))
+    r = layer.text_runs(d.words(), exact_rows=True)
+    return layer.merge_recognised(r, _shifted(r))
 
 
 # Signals
