@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import Box
 from ..functions.text import alnum_lower, not_blank, pipe_escape, set_recall, strip, trigrams, undecodable_count
 from ..sources.tables import PAGE
+from .pagewise import Pages, keyed, low, pagewise
 
 
 _LINE = ["text", "x1", "y1", "x2", "y2"]
@@ -46,38 +50,60 @@ def page_words(words: DataFrame, kept: Column) -> DataFrame:
     """word_count, dropped_fraction, undecodable_fraction, truth_words, truth_found, words and recall_pct of every page.
 
     What layer_quality() and word_recall() say where the output is those of the page's own words for which `kept` holds:
-    one reading of the words, combined by (page, word) before the shuffle, then by page.
+    one reading of the words, packed by page before the one shuffle.
     """
     box = Box.of()
     flat = (box.width <= 0) | (box.height <= 0)
     size = F.when(not_blank(F.col("text")), F.length(strip(F.col("text")))).otherwise(0)
     some = not_blank(F.col("text"))
     w = words.select(*PAGE, alnum_lower(F.col("text")).alias("w"), kept.alias("kept"), (some & ~flat).alias("good"), F.when(flat, size).otherwise(0).alias("lost"), F.when(flat, 0).otherwise(size).alias("held"), F.when(some, undecodable_count(F.col("text"))).otherwise(0).alias("bad"), F.when(some, F.length("text")).otherwise(0).alias("chars"))
-    w = w.groupBy(*PAGE, "w").agg(F.count("*").alias("n"), F.count_if("kept").alias("words"), F.count_if("good").alias("good"), *[F.sum(c).alias(c) for c in ("lost", "held", "bad", "chars")])
-    long = F.length("w") >= 3
-    lost, held = F.sum("lost"), F.sum("held")
-    p = w.groupBy(*PAGE).agg(
-        F.sum("good").alias("word_count"),
-        F.coalesce(lost / F.nullif(lost + held, F.lit(0)), F.lit(0.0)).alias("dropped_fraction"),
-        F.coalesce(F.sum("bad") / F.nullif(F.sum("chars"), F.lit(0)), F.lit(0.0)).alias("undecodable_fraction"),
-        F.sum(F.when(long, F.col("n")).otherwise(0)).alias("truth_words"),
-        F.sum(F.when(long & (F.col("words") > 0), F.col("n")).otherwise(0)).alias("truth_found"),
-        F.sum("words").alias("words"),
-    )
+    sums = ("good", "lost", "held", "bad", "chars")
+
+    def step(p: Pages) -> dict[str, pa.Array]:
+        kept, (_, at) = p.flags("kept"), np.unique(p.codes("w"), return_inverse=True)
+        return {**keyed(p, PAGE), **{c: pa.array(p.per_page(p.ints(c))) for c in sums}, **_recall(p, at, np.ones(len(at), bool), kept), "words": pa.array(p.per_page(kept))}
+
+    figures = T.StructType([*[w.schema[k] for k in PAGE], *[T.StructField(c, T.LongType()) for c in (*sums, "truth_words", "truth_found", "words")]])
+    p = pagewise(w, PAGE, ["w", "kept", *sums], step, figures)
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+    p = p.select(*PAGE, F.col("good").alias("word_count"), share("lost", F.col("lost") + F.col("held")).alias("dropped_fraction"), share("bad", F.col("chars")).alias("undecodable_fraction"), "truth_words", "truth_found", "words")
     return p.withColumn("recall_pct", recall_pct(F.col("truth_words"), F.col("truth_found")))
 
 
+def _recall(p: Pages, at: np.ndarray, truth: np.ndarray, got: np.ndarray) -> dict[str, pa.Array]:
+    """truth_words and truth_found of each page; at numbers the words, truth and got tell whose they are."""
+    has = np.zeros(at.max(initial=-1) + 1, bool)
+    has[at[got]] = True
+    long = truth & _longer(p, 3)
+    return {"truth_words": pa.array(p.per_page(long)), "truth_found": pa.array(p.per_page(long & has[at]))}
+
+
+def _longer(p: Pages, least: int) -> np.ndarray:
+    """Words of so many characters; a null is none."""
+    return np.asarray(pc.fill_null(pc.greater_equal(pc.utf8_length(p.cols["w"]), least), False).to_numpy(zero_copy_only=False), bool)
+
+
+def _both(truth: DataFrame, place: str, output: DataFrame, other: str) -> DataFrame:
+    """w, out and at of truth (its place) and output (another number of it), to meet page by page."""
+    sides = [df.select(*PAGE, alnum_lower(F.col("text")).alias("w"), F.lit(out).alias("out"), F.col(at).cast("long").alias("at")) for df, at, out in ((truth, place, False), (output, other, True))]
+    return sides[0].unionByName(sides[1])
+
+
 def word_recall(truth: DataFrame, output: DataFrame) -> DataFrame:
     """truth_words, found and recall_pct of every page of truth. Tables of words: doc_id, page_number, text.
 
     Truth words have three characters or more once normalised and count each time; a word is found if the page's output
-    has it at all. Both sides are combined by (page, word) before they meet, so that the join is of distinct words.
+    has it at all. Both sides go by page through one shuffle of packed pages and meet there, on arrays.
     """
-    t = truth.select(*PAGE, alnum_lower(F.col("text")).alias("w"))
-    t = t.groupBy(*PAGE, "w").agg(F.count("*").alias("n"))
-    got = output.select(*PAGE, alnum_lower(F.col("text")).alias("w")).distinct().withColumn("hit", F.lit(1))
-    long = F.length("w") >= 3
-    both = t.join(got, [*PAGE, "w"], "left").groupBy(*PAGE).agg(F.sum(F.when(long, F.col("n")).otherwise(0)).alias("truth_words"), F.sum(F.when(long & F.col("hit").isNotNull(), F.col("n")).otherwise(0)).alias("truth_found"))
+    sides = [df.select(*PAGE, alnum_lower(F.col("text")).alias("w"), F.lit(out).alias("out")) for df, out in ((truth, False), (output, True))]
+
+    def step(p: Pages) -> dict[str, pa.Array]:
+        out, (_, at) = p.flags("out"), np.unique(p.codes("w"), return_inverse=True)
+        some = np.flatnonzero(p.per_page(~out))
+        return {**keyed(p, PAGE, some), **{c: v.take(pa.array(some)) for c, v in _recall(p, at, ~out, out).items()}}
+
+    figures = T.StructType([*[truth.schema[k] for k in PAGE], *[T.StructField(c, T.LongType()) for c in ("truth_words", "truth_found")]])
+    both = pagewise(sides[0].unionByName(sides[1]), PAGE, ["w", "out"], step, figures)
     return both.withColumn("recall_pct", recall_pct(F.col("truth_words"), F.col("truth_found")))
 
 
@@ -139,20 +165,39 @@ def _lis(values: list[int]) -> int:
 def order_fidelity(truth: DataFrame, output: DataFrame, least: int = 8) -> DataFrame:
     """anchors and order_pct of each page: longest increasing run of unique truth words (four characters or more).
 
-    Joins find the anchors; only their positions, one list a page, go to Python.
+    Both sides meet page by page, on arrays.
     """
-    t = truth.select(*PAGE, alnum_lower(F.col("text")).alias("w"), F.col("token_idx").alias("t")).where(F.length("w") >= 4)
-    t = t.groupBy(*PAGE, "w").agg(F.min("t").alias("t"), F.count("*").alias("n")).where("n = 1").drop("n")
-    g = output.select(*PAGE, alnum_lower(F.col("text")).alias("w"), F.col("token_idx").alias("g")).groupBy(*PAGE, "w").agg(F.min("g").alias("g"))
-    total = t.groupBy(*PAGE).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    seen = t.join(g, [*PAGE, "w"]).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "t"))), lambda x: x["t"]).alias("p"))
-
-    @F.pandas_udf("int")
-    def longest(p: pd.Series) -> pd.Series:
-        return p.map(lambda x: _lis(list(x)))
 
-    both = total.join(seen, PAGE).where(F.size("p") >= least)
-    return both.select(*PAGE, F.size("p").alias("anchors"), longest("p").alias("in_order")).withColumn("order_pct", F.col("in_order") * 100.0 / F.col("anchors"))
+    def step(p: Pages) -> dict[str, pa.Array]:
+        once, first, seen, at = _unique_words(p)
+        total = p.per_page(once)
+        a = np.flatnonzero(once & seen[at])
+        place = p.ints("at")
+        a = a[np.lexsort((place[a], first[at[a]], p.page[a]))]
+        n = np.bincount(p.page[a], minlength=p.n)
+        good = np.flatnonzero((total >= least) & (n >= least))
+        end = np.cumsum(n)
+        longest = [_lis(place[a[end[i] - n[i] : end[i]]].tolist()) for i in good]
+        return {**keyed(p, PAGE, good), "anchors": pa.array(n[good]), "in_order": pa.array(longest, pa.int32())}
+
+    figures = T.StructType([*[truth.schema[k] for k in PAGE], *[T.StructField(c, T.IntegerType()) for c in ("anchors", "in_order")]])
+    both = pagewise(_both(truth, "token_idx", output, "token_idx"), PAGE, ["w", "out", "at"], step, figures)
+    return both.withColumn("order_pct", F.col("in_order") * 100.0 / F.col("anchors"))
+
+
+def _unique_words(p: Pages) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which items are truth words of four characters or more that their page has once; of each word the first place in
+    the output and whether it is there; and the number of each item's word."""
+    out, place = p.flags("out"), p.ints("at")
+    _, at = np.unique(p.codes("w"), return_inverse=True)
+    words = at.max(initial=-1) + 1
+    truth = ~out & _longer(p, 4)
+    once = truth & (np.bincount(at[truth], minlength=words)[at] == 1)
+    first = np.full(words, np.iinfo(np.int64).max)
+    np.minimum.at(first, at[out], place[out])
+    seen = np.zeros(words, bool)
+    seen[at[out]] = True
+    return once, first, seen, at
 
 
 def lane_recall(pages: DataFrame, truth: str = "truth_md", got: str = "got_md") -> DataFrame:
@@ -206,13 +251,34 @@ def cell_correctness(truth: DataFrame, rows: DataFrame, by: list[str]) -> DataFr
 
 def gold_ranks(region_words: DataFrame, truth: DataFrame, least: int = 8) -> DataFrame:
     """Reading rank of each region by the median truth position of the unique words in it; null below two regions."""
-    w = truth.select(*PAGE, alnum_lower(F.col("text")).alias("w"), F.col("token_idx").alias("t")).where(F.length("w") >= 4)
-    w = w.groupBy(*PAGE, "w").agg(F.min("t").alias("t"), F.count("*").alias("n")).where("n = 1")
-    r = region_words.select(*PAGE, "region_idx", alnum_lower(F.col("text")).alias("w")).distinct().join(w, [*PAGE, "w"])
-    page = Window.partitionBy(*PAGE)
-    m = r.withColumn("anchors", F.count("*").over(page)).where(F.col("anchors") >= least).groupBy(*PAGE, "region_idx").agg(F.percentile("t", 0.5).alias("median"))
-    m = m.withColumn("k", F.count("*").over(page))
-    return m.withColumn("gold_rank", F.when(F.col("k") >= 2, F.row_number().over(page.orderBy("median", "region_idx")))).drop("k")
+
+    def step(p: Pages) -> dict[str, pa.Array]:
+        once, _, _, at = _unique_words(p)
+        out, place = p.flags("out"), p.numbers("at")
+        where = np.full(at.max(initial=-1) + 1, np.nan)
+        where[at[once]] = place[once]
+        a = np.flatnonzero(out & ~np.isnan(where[at]))
+        a = a[np.lexsort((at[a], low(place[a]), p.page[a]))]
+        if len(a):  # each word once a region
+            region, word = low(place[a]), at[a]
+            a = a[np.concatenate([[True], (word[1:] != word[:-1]) | (region[1:] != region[:-1])])]
+        a = a[np.bincount(p.page[a], minlength=p.n)[p.page[a]] >= least]
+        page, region, t = p.page[a], low(place[a]), where[at[a]]
+        order = np.lexsort((t, region, page))
+        page, region, t = page[order], region[order], t[order]
+        start = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (region[1:] != region[:-1])])) if len(a) else np.empty(0, np.int64)
+        n = np.diff(np.append(start, len(a)))
+        median = (t[start + (n - 1) // 2] + t[start + n // 2]) / 2
+        page, region = page[start], region[start]
+        order = np.lexsort((region, median, page))
+        page, region, median = page[order], region[order], median[order]
+        k = np.bincount(page, minlength=p.n)
+        rank = (np.arange(len(page)) - (np.cumsum(k) - k)[page] + 1).astype(np.float64)
+        rank[k[page] < 2] = np.nan
+        return {**keyed(p, PAGE, page), "region_idx": pa.array(np.where(np.isinf(region), np.nan, region), from_pandas=True), "median": pa.array(median), "gold_rank": pa.array(rank, from_pandas=True)}
+
+    ranks = T.StructType([*[truth.schema[k] for k in PAGE], T.StructField("region_idx", region_words.schema["region_idx"].dataType), T.StructField("median", T.DoubleType()), T.StructField("gold_rank", T.IntegerType())])
+    return pagewise(_both(truth, "token_idx", region_words, "region_idx"), PAGE, ["w", "out", "at"], step, ranks)
 
 
 def verdicts(pairs: DataFrame) -> DataFrame:
