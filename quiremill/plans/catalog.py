@@ -732,7 +732,7 @@ l AS (SELECT g.doc_id, g.page_number, g.region_idx, g.i, '| ' || string_agg(coal
 SELECT doc_id, page_number, region_idx, string_agg(t, chr(10) ORDER BY i) AS markdown FROM l GROUP BY ALL"""
 )
 def federal_markdown(d: Data) -> DataFrame:
-    return compose.grid_markdown(compose.numbered_rows(compose.expand_rows(d.sql(I.CELLS), d.sql(I.CELL_LINES))))
+    return compose.split_markdown(d.sql(I.CELLS), d.sql(I.CELL_LINES))
 
 
 # Forms
