@@ -23,12 +23,13 @@ def page_window(pages: DataFrame, start: int = 1, count: int = 10, block: bool =
     """Rows of at most twenty pages of each document from a page on; start and count are clamped."""
     doc = Window.partitionBy("doc_id")
     count = min(max(count, 1), WINDOW_PAGES)
-    p = pages.withColumn("total_pages", F.count("*").over(doc))
-    p = p.withColumn("from_page", F.least(F.greatest(F.lit(start), F.lit(1)), F.greatest(F.lit(1), F.col("total_pages"))))
-    p = p.where("page_number >= from_page").withColumn("i", F.row_number().over(doc.orderBy("page_number"))).where(F.col("i") <= count)
     md = redacted(F.col("markdown"), F.col("marking"), block)
     body = [cap(md, PAGE_CHARS).alias("markdown"), was_capped(md, PAGE_CHARS).alias("truncated")] if content else [F.lit(None).cast("string").alias("markdown"), F.lit(False).alias("truncated")]
-    return p.select("doc_id", "page_number", "total_pages", "from_page", *body, F.bround("recall_pct", 1).alias("recall_pct"), "needs_review", "marking")
+    # bodies are cut before they are shuffled and sorted
+    p = pages.select("doc_id", "page_number", *body, F.bround("recall_pct", 1).alias("recall_pct"), "needs_review", "marking").withColumn("total_pages", F.count("*").over(doc))
+    p = p.withColumn("from_page", F.least(F.greatest(F.lit(start), F.lit(1)), F.greatest(F.lit(1), F.col("total_pages"))))
+    p = p.where("page_number >= from_page").withColumn("i", F.row_number().over(doc.orderBy("page_number"))).where(F.col("i") <= count)
+    return p.select("doc_id", "page_number", "total_pages", "from_page", "markdown", "truncated", "recall_pct", "needs_review", "marking")
 
 
 def summary(pages: DataFrame, block: bool = False) -> DataFrame:

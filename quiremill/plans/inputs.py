@@ -6,6 +6,7 @@ DataFrame operator (sources.tables.token_boxes) and its own SQL here, TOKENS.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,17 +180,47 @@ def oracle(text: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES else m[0], text)
 
 
+#: Tables whose few bytes become many rows: the key that what is derived from them goes by, and bytes for one task.
+KEYS = {"customer": ("c_custkey", 1 << 18), "part": ("p_partkey", 1 << 18), "lineitem": ("l_orderkey", 1 << 21), "conversations": ("conv_id", 1 << 20)}
+#: Bytes of all tables for each reducer, and of an exchange's data in one reducer at most.
+FOLDER_BYTES, REDUCER_BYTES = 8 << 20, 16 << 20
+
+
+def bounded(spark: SparkSession, path: str) -> None:
+    """Reducers follow the folder's size, so that what one of them holds does not grow with it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    total = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", max(now, min(20_000, total // FOLDER_BYTES)))
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    util = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils
+    if util.byteStringAsBytes(spark.conf.get(name)) > REDUCER_BYTES:
+        spark.conf.set(name, str(REDUCER_BYTES))
+
+
 class Data:
     """The tables of one folder, and what is derived from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.at = spark, sf_dir
+        bounded(spark, sf_dir)
+
+    def keyed(self, name: str) -> str:
+        """A view of a table by its key, a bounded share a task: whatever the size of files and row groups. What is
+        grouped by that key later needs no other exchange."""
+        t = self.table(name)
+        size = int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        view = f"quiremill_{name}_{hashlib.sha256(self.at.encode()).hexdigest()[:12]}"
+        key, share = KEYS[name]
+        t.repartition(max(self.spark.sparkContext.defaultParallelism, -(-size // share)), key).createOrReplaceTempView(view)
+        return view
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.at}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{self.at}/{m[1]}.parquet`" if m[1] in TABLES else m[0], text))
+        views = {n: self.keyed(n) for n in KEYS if f"{{{n}}}" in text}
+        return self.spark.sql(re.sub(r"\{(\w+)\}", lambda m: views.get(m[1]) or (f"parquet.`{self.at}/{m[1]}.parquet`" if m[1] in TABLES else m[0]), text))
 
     def words(self) -> DataFrame:
         return token_boxes(self.table("documents"))
