@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,13 +85,17 @@ def _number(x: np.ndarray) -> pa.Array:
     return pa.array(x, from_pandas=True)
 
 
-def text_runs(words: DataFrame, idx: str = "token_idx", exact_rows: bool = False) -> DataFrame:
+PLACEHOLDER = ("please wait", "adobe reader")
+
+
+def text_runs(words: DataFrame, idx: str = "token_idx", exact_rows: bool = False, wanted: DataFrame | None = None) -> DataFrame:
     """Runs of words: rows, cut where the gap to the word before exceeds 1.5 times the row's mean height.
 
     line_idx follows y (in steps of 20) and x. Whole pages go through arrays, after one shuffle of packed pages.
-    exact_rows: equal y1 is one row, where rows are known to be exact.
+    exact_rows: equal y1 is one row, where rows are known to be exact. wanted: pages; each run then tells in wanted whether
+    its page is one of them, and in is_placeholder what xfa_placeholder() says of its page: no join moves words or runs.
     """
-    kinds = words.schema
+    kinds, judged = words.schema, wanted is not None
 
     def step(p: Pages) -> dict[str, pa.Array]:
         order, row = _rows(p, idx, exact_rows)
@@ -111,11 +116,34 @@ def text_runs(words: DataFrame, idx: str = "token_idx", exact_rows: bool = False
         at = page[start][place]
         top = np.flatnonzero(_starts(at))
         line = np.arange(len(at)) - np.repeat(top, np.diff(np.append(top, len(at))))
-        return {**keyed(p, PAGE, at), "text": text.take(pa.array(place)), **{c: _number(v[place]) for c, v in zip(("x1", "y1", "x2", "y2"), box)}, "n_words": pa.array(np.diff(np.append(start, len(order)))[place]), "line_idx": pa.array(line)}
+        told = {}
+        if judged:
+            told = {"wanted": pa.array(p.wanted[at]), "is_placeholder": pa.array(np.repeat(_placeholders(joined(text, place, top, " ")), np.diff(np.append(top, len(at)))))}
+        return {**told, **keyed(p, PAGE, at), "text": text.take(pa.array(place)), **{c: _number(v[place]) for c, v in zip(("x1", "y1", "x2", "y2"), box)}, "n_words": pa.array(np.diff(np.append(start, len(order)))[place]), "line_idx": pa.array(line)}
 
     fields = [kinds[k] for k in PAGE] + [kinds["text"]] + [kinds[c] for c in ("x1", "y1", "x2", "y2")]
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("n_words", T.LongType()), T.StructField("line_idx", T.IntegerType())])
-    return pagewise(words, PAGE, [idx, "text", "x1", "y1", "x2", "y2"], step, schema)
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("n_words", T.LongType()), T.StructField("line_idx", T.IntegerType()), *([T.StructField(c, T.BooleanType()) for c in ("wanted", "is_placeholder")] if judged else [])])
+    return pagewise(words, PAGE, [idx, "text", "x1", "y1", "x2", "y2"], step, schema, wanted)
+
+
+def _placeholders(texts: pa.Array) -> np.ndarray:
+    """Texts with both phrases. Arrow finds all that may have them; how they are lower-cased is settled for those alone."""
+    low_ = pc.utf8_lower(texts)
+    out = np.ones(len(texts), bool)
+    for phrase in PLACEHOLDER:
+        out &= np.asarray(pc.match_substring(low_, phrase).to_numpy(zero_copy_only=False), bool)
+    for i in np.flatnonzero(out).tolist():
+        out[i] = all(phrase in texts[i].as_py().lower() for phrase in PLACEHOLDER)
+    return out
+
+
+def row_texts(p: Pages, idx: str) -> dict[str, np.ndarray | pa.Array]:
+    """page, row_id, text, x1, y1 and n_items of visual_rows()."""
+    order, row = _rows(p, idx, False)
+    page, x1, y1 = p.page[order], p.numbers("x1")[order], p.numbers("y1")[order]
+    start = np.flatnonzero(_starts(page, row))
+    box = [np.fmin.reduceat(v, start) if len(start) else v for v in (x1, y1)]
+    return {"page": page[start], "row_id": row[start], "text": joined(p.cols["text"], order, start, "  "), "x1": box[0], "y1": box[1], "n_items": np.diff(np.append(start, len(order)))}
 
 
 def visual_rows(items: DataFrame, idx: str, keys: list[str] | None = None) -> DataFrame:
@@ -124,11 +152,8 @@ def visual_rows(items: DataFrame, idx: str, keys: list[str] | None = None) -> Da
     kinds = items.schema
 
     def step(p: Pages) -> dict[str, pa.Array]:
-        order, row = _rows(p, idx, False)
-        page, x1, y1 = p.page[order], p.numbers("x1")[order], p.numbers("y1")[order]
-        start = np.flatnonzero(_starts(page, row))
-        box = [np.fmin.reduceat(v, start) if len(start) else v for v in (x1, y1)]
-        return {**keyed(p, keys, page[start]), "row_id": pa.array(row[start]), "text": joined(p.cols["text"], order, start, "  "), "x1": _number(box[0]), "y1": _number(box[1]), "n_items": pa.array(np.diff(np.append(start, len(order))))}
+        r = row_texts(p, idx)
+        return {**keyed(p, keys, r["page"]), "row_id": pa.array(r["row_id"]), "text": r["text"], "x1": _number(r["x1"]), "y1": _number(r["y1"]), "n_items": pa.array(r["n_items"])}
 
     fields = [T.StructField(k, kinds[k].dataType) for k in keys]
     schema = T.StructType([*fields, T.StructField("row_id", T.IntegerType()), *[T.StructField(c, kinds[c].dataType) for c in ("text", "x1", "y1")], T.StructField("n_items", T.LongType())])
@@ -154,7 +179,7 @@ def uses_layer(mode: Column, words: Column, dropped: Column, undecodable: Column
     return F.coalesce(F.when(mode == "Never", F.lit(False)).when(mode == "Always", words > 0).otherwise(auto), F.lit(False))
 
 
-def xfa_placeholder(lines: DataFrame, first: str = "please wait", second: str = "adobe reader") -> DataFrame:
+def xfa_placeholder(lines: DataFrame, first: str = PLACEHOLDER[0], second: str = PLACEHOLDER[1]) -> DataFrame:
     """Of each page, whether its lines, joined by a space, hold both phrases in any case."""
     text = F.lower(in_order(F.col("text"), F.col("line_idx"), separator=" "))
     return lines.groupBy(*PAGE).agg(text.alias("t")).select(*PAGE, (F.col("t").contains(first) & F.col("t").contains(second)).alias("is_placeholder"))

@@ -7,11 +7,13 @@ that is enough and sends the rest through the same steps.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import form_designation, words
@@ -130,7 +132,7 @@ def _known(c: Corpus, o: Options) -> DataFrame:
     from_layer = layer.uses_layer(F.lit(o.text_layer), F.col("word_count"), F.col("dropped_fraction"), F.col("undecodable_fraction"), o.min_layer_words, o.max_dropped, o.max_undecodable)
     p = p.withColumn("from_layer", from_layer)
     if c.images is not None:
-        p = p.join(signals.effective_dpi(c.images), PAGE, "left").join(signals.image_coverage(c.images), PAGE, "left")
+        p = p.join(signals.scan_images(c.images), PAGE, "left")
     else:
         p = p.withColumn("dpi", F.lit(None).cast("int")).withColumn("coverage", F.lit(None).cast("double"))
     p = p.withColumn("dpi", F.when(~F.col("from_layer"), F.col("dpi")))
@@ -181,16 +183,18 @@ def _characters(c: Corpus, known: DataFrame, o: Options) -> tuple[DataFrame, Dat
     """(lines, known with what reading them took)."""
     runs = None
     if c.words is not None:
-        runs = layer.text_runs(c.words).withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("TextLayer")).select(*LINE)
+        runs = layer.text_runs(c.words, wanted=known.where("from_layer").select(*PAGE)).where("wanted or is_placeholder")
+        runs = _cut(runs.withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("TextLayer")).select(*LINE, "wanted", "is_placeholder"))
         if o.text_layer != "Never":
-            known = known.join(layer.xfa_placeholder(runs).where("is_placeholder").select(*PAGE, F.lit(True).alias("is_xfa")), PAGE, "left")
+            known = known.join(runs.where("is_placeholder").select(*PAGE, F.lit(True).alias("is_xfa")).distinct(), PAGE, "left")
     known = known if "is_xfa" in known.columns else known.withColumn("is_xfa", F.lit(None).cast("boolean"))
     known = known.withColumn("is_xfa", F.coalesce("is_xfa", F.lit(False)))
     parts: list[DataFrame] = []
     r = _readings(c, o)
+    own = None
     if runs is not None:
-        runs = runs.join(known.where("from_layer").select(*PAGE), PAGE, "left_semi")
-        parts.append(runs)
+        runs = runs.where("wanted")
+        own = (runs if o.text_layer == "Never" else runs.where("not is_placeholder")).select(*LINE)
     if runs is not None and r is not None and o.recover_image_text:
         # text that stands in images of a page whose own text is trusted
         seen = r.where("rotation = 0 and attempt_no = 0").join(known.where("image_suspected and not is_xfa").select(*PAGE), PAGE, "left_semi")
@@ -209,12 +213,15 @@ def _characters(c: Corpus, known: DataFrame, o: Options) -> tuple[DataFrame, Dat
         known = known.withColumn(name, F.coalesce(name, value) if name in known.columns else value)
     known = known if "recovered_via" in known.columns else known.withColumn("recovered_via", F.lit(None).cast("string"))
     if not parts:
+        if own is not None:
+            return own, known
         empty = c.pages.sparkSession.createDataFrame([], "doc_id long, page_number int, line_idx int, text string, x1 double, y1 double, x2 double, y2 double, confidence double, source string")
         return empty, known
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.join(known.where("not is_xfa").select(*PAGE), PAGE, "left_semi"), known
+    every = every.join(known.where("not is_xfa").select(*PAGE), PAGE, "left_semi")
+    return _cut(every if own is None else own.unionByName(every)), known
 
 
 def _grids(c: Corpus, claimed: DataFrame, lines: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
@@ -262,35 +269,69 @@ def _fields(c: Corpus, o: Options, lines: DataFrame, templated: DataFrame | None
     return forms.first_that_yields(every).drop("priority")
 
 
+#: Spark 4.1 on: a query removes its shuffle files when it ends. Other versions ignore it.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """What many steps read is computed once, into the session's checkpoint folder; without one it stays part of the plan."""
+    """What many steps read is computed once, into the session's checkpoint folder; without one it stays part of the plan.
+
+    It is written as compressed Parquet, its shuffle files go at once, and the folder goes when the driver ends.
+    """
     spark = df.sparkSession
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+    root = spark.sparkContext.getCheckpointDir()
+    if not root:
+        return df
+    at = f"{root}/quiremill-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, at)
+    old = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, old)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        if jvm is not None:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as why:  # at exit the gateway may be gone; files then stay for whoever owns the folder
+        if "py4j" not in type(why).__module__ and not isinstance(why, (OSError, AttributeError, AssertionError)):
+            raise
 
 
 def process(c: Corpus, o: Options = Options()) -> Result:
     """All pages: characters, reading order, tables, Markdown, checks, fields, markings, notices; and their documents."""
     c = _wanted(c, o)
-    lines, known = _characters(c, _known(c, o), o)
-    lines, known = _cut(lines), _cut(known)
-    regions = c.regions if c.regions is not None else c.pages.sparkSession.createDataFrame([], "doc_id long, page_number int, region_idx int, type string, raw_label string, confidence double, x1 double, y1 double, x2 double, y2 double")
-    ordered = order.reading_order(regions)
-    ordered = _cut(ordered)
-    claimed = _cut(compose.claim(lines, ordered))
-    if o.enumerator_order:
-        top = claimed.where("region_idx is not null").groupBy(*compose.TABLE).agg(F.min_by("text", F.struct("y1", "x1", "line_idx")).alias("top_text"))
-        ordered = order.enumerators(ordered.join(top, compose.TABLE, "left")).drop("top_text")
+    lines, known = _characters(c, _cut(_known(c, o)), o)
+    known = _cut(known)
+    if c.regions is not None:
+        ordered = _cut(order.reading_order(c.regions))
+        claimed = _cut(compose.claim(lines, ordered))
+        if o.enumerator_order:
+            top = claimed.where("region_idx is not null").groupBy(*compose.TABLE).agg(F.min_by("text", F.struct("y1", "x1", "line_idx")).alias("top_text"))
+            ordered = order.enumerators(ordered.join(top, compose.TABLE, "left")).drop("top_text")
+    else:
+        ordered = None
+        claimed = lines.withColumn("region_idx", F.lit(None).cast("int")).withColumn("region_type", F.lit(None).cast("string"))
     grids, cells = _grids(c, claimed, lines)
-    composed = _cut(compose.compose_pages(lines, ordered, grids).select(*PAGE, "markdown"))
+    blocks = compose.region_markdown(claimed, ordered, grids) if ordered is not None else None
     furniture = claimed.withColumn("is_furniture", F.coalesce(F.col("region_type") == "PageFurniture", F.lit(False)))
-    p = known.join(composed, PAGE, "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
-    p = p.join(verify.lost_lines(furniture, p.select(*PAGE, "markdown")), PAGE, "left")
-    p = p.join(_truth(c, o, p, furniture), PAGE, "left")
-    p = p.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("truth_words", "truth_found", "lines_lost")})
-    p = p.join(layer.confident_words(lines, o.retry_min_confidence).select(*PAGE, F.col("words").cast("long").alias("words")), PAGE, "left").withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
+    # words of the text layer count where the Markdown or the furniture has them, and where the layer is decodable
+    truth = c.words if o.verify else None
+    finished = _cut(compose.finished_pages(furniture, blocks, truth, o.retry_min_confidence))
+    p = known.join(finished, PAGE, "left").withColumn("markdown", F.coalesce("markdown", F.lit("")))
+    sound = F.coalesce(F.col("undecodable_fraction") <= o.max_undecodable, F.lit(False))
+    p = p.withColumns({n: F.when(sound, F.coalesce(n, F.lit(0).cast("long"))).otherwise(0) for n in ("truth_words", "truth_found")})
+    p = p.withColumn("recall_pct", verify.recall_pct(F.col("truth_words"), F.col("truth_found")))
+    p = p.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in ("lines_lost", "words")})
     p = signals.review(p, o.retry_min_words)
     if o.detect_markings:
-        banner = signals.sensitivity(furniture.join(c.pages.select(*PAGE, "height_px"), PAGE))
+        banner = signals.sensitivity(furniture.join(known.select(*PAGE, "height_px"), PAGE))
         p = p.join(banner.select(*PAGE, F.col("marking").alias("sensitivity")), PAGE, "left")
     else:
         p = p.withColumn("sensitivity", F.lit(None).cast("string"))
@@ -311,16 +352,6 @@ def process(c: Corpus, o: Options = Options()) -> Result:
     return Result(pages, lines, _appended(docs, pages, cells, o), fields)
 
 
-def _truth(c: Corpus, o: Options, p: DataFrame, lines: DataFrame) -> DataFrame:
-    """Words of the text layer that the Markdown or the furniture has; none where the layer is not decodable."""
-    if c.words is None or not o.verify:
-        return p.select(*PAGE, F.lit(0).cast("long").alias("truth_words"), F.lit(0).cast("long").alias("truth_found"), F.lit(None).cast("double").alias("recall_pct"))
-    sound = p.where(F.col("undecodable_fraction") <= o.max_undecodable).select(*PAGE)
-    shown = p.select(*PAGE, F.explode(words(F.col("markdown"))).alias("text"))
-    aside = lines.where("is_furniture").select(*PAGE, F.explode(words(F.col("text"))).alias("text"))
-    return verify.word_recall(c.words.join(sound, PAGE, "left_semi"), shown.unionByName(aside))
-
-
 def _appended(docs: DataFrame, pages: DataFrame, cells: DataFrame | None, o: Options) -> DataFrame:
     """With the hardware that their pages specify."""
     if not o.hardware_specs:
