@@ -132,7 +132,7 @@ def _pack(keys: list[str], coded: list[str], lists: list[str], names: list[str])
             blobs = []
             for i, n in enumerate(np.diff(ends).tolist()):
                 raw = b"".join([v[at[i] : at[i + 1]] for v, at in views])
-                blobs.append(struct.pack("<II", n, len(raw)) + head + codec.compress(raw, asbytes=True))
+                blobs.append(struct.pack("<II", n, len(raw)) + head + (codec.compress(raw, asbytes=True) if raw else b""))
             offsets = pa.array(ends.astype(np.int32))
             yield pa.RecordBatch.from_arrays([*[b[k].take(pa.array(start)) for k in keys], *[pa.ListArray.from_arrays(offsets, b[c]) for c in lists], pa.array(size, pa.int64()), pa.array(blobs, pa.binary())], names=names)
 
@@ -249,10 +249,11 @@ def _unpack(keys: list[str], kinds: dict[str, pa.DataType], lists: list[str], na
     return run
 
 
-def pagewise(items: DataFrame, keys: list[str], cols: list[str], step: Callable[[Pages], dict[str, pa.Array]], schema: T.StructType, wanted: DataFrame | None = None) -> DataFrame:
+def pagewise(items: DataFrame, keys: list[str], cols: list[str], step: Callable[[Pages], dict[str, pa.Array]], schema: T.StructType, wanted: DataFrame | None = None, small: bool = False) -> DataFrame:
     """step over all pages (keys) of items, whose other columns are cols: it returns the columns of schema.
 
     A page's numbers, flags and texts are one compressed value on the way; columns of other types are lists beside it.
+    small: for pages of a few dozen items, whose values are not worth compressing one by one: all columns are lists.
     wanted: pages that the step is told of; they come along as rows of keys, so that no join moves items.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -260,7 +261,7 @@ def pagewise(items: DataFrame, keys: list[str], cols: list[str], step: Callable[
     items.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     items = items.select(*keys, *cols)
     types, arrow = items.schema, to_arrow_schema(items.schema)
-    kinds = {c: arrow.field(c).type for c in cols if _codable(arrow.field(c).type)}
+    kinds = {c: arrow.field(c).type for c in cols if not small and _codable(arrow.field(c).type)}
     lists = [c for c in cols if c not in kinds]
     names = tuple(spare(items, "size", "pack", "mark"))
     fields = [*[types[k] for k in keys], *[T.StructField(c, T.ArrayType(types[c].dataType)) for c in lists], T.StructField(names[0], T.LongType()), T.StructField(names[1], T.BinaryType())]
